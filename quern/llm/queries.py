@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, conversations, mixture, unify
+from quern.llm import bpe, canon, conversations, mixture, unify
 
 QUERIES = {
+    "p1_found": canon.p1_found,
+    "p1_candidates": canon.p1_candidates,
+    "p1_unmatched": canon.p1_unmatched,
     "p4_found": conversations.p4_found,
     "p5_found": unify.p5_found,
     "p5_forms": unify.p5_forms,
