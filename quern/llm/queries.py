@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, canon, conversations, mixture, unify
+from quern.llm import bpe, canon, conversations, mixture, neardup, unify
 
 QUERIES = {
     "p1_found": canon.p1_found,
     "p1_candidates": canon.p1_candidates,
     "p1_unmatched": canon.p1_unmatched,
+    "p2_found": neardup.p2_found,
+    "p2_groups": neardup.p2_groups,
     "p4_found": conversations.p4_found,
     "p5_found": unify.p5_found,
     "p5_forms": unify.p5_forms,
