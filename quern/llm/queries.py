@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, canon, conversations, mixture, neardup, unify
+from quern.llm import bpe, canon, conversations, mixture, neardup, spans, unify
 
 QUERIES = {
     "p1_found": canon.p1_found,
@@ -16,6 +16,8 @@ QUERIES = {
     "p7_ids": bpe.p7_ids,
     "p8_mix": mixture.p8_mix,
     "p8_shares": mixture.p8_shares,
+    "p9_found": spans.p9_found,
+    "p9_share": spans.p9_share,
 }
 
 SQL = {
