@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("data",)
+MODULES = ("data", "relational")
 
 
 def collect(what: str) -> dict:
