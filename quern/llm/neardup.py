@@ -1,6 +1,6 @@
 """Near-duplicate records with small edits: problem 2.
 
-A record is its set of words. MinHash bands bring similar records together; inside a band's group 64-bit sketches
+A record is its set of words. MinHash bands bring similar records together; inside a band's group 128-bit sketches
 (one bit of a MinHash each) are compared bit-sliced: their bit planes lie vertically, 64 records to a machine
 word, carry-save adders count the differing bits of all of them at once, and blocks are dropped as soon as all
 their records are beyond the radius. What stays is checked exactly on the words.
@@ -24,12 +24,12 @@ from quern.session import kept, table
 SIMILARITY = 0.7
 #: BANDS x ROWS MinHash values: a pair of similarity 0.7 meets in a band with probability 0.977, 0.8 with 0.9999.
 BANDS, ROWS = 30, 6
-BITS = 64
-#: Bits in which sketches of a pair at SIMILARITY may differ: the mean 64 x 0.15 and four deviations.
-RADIUS = 21
+BITS = 128
+#: Bits in which sketches of a pair at SIMILARITY may differ: the mean 128 x 0.15 and four deviations.
+RADIUS = 35
 #: A group of more records is cut into blocks of this size, which are compared in tasks of their own.
 BLOCK = 4096
-#: Words of which a worker keeps the hash values (at most 40 MB).
+#: Words of which a worker keeps the hash values (at most 62 MB).
 KEPT_WORDS = 50_000
 _SEED = 20240229
 
@@ -93,10 +93,9 @@ def far_lanes(planes: list[np.ndarray], radius: int, step: int = 16) -> np.ndarr
 
 
 def vertical(sketches: np.ndarray) -> list[np.ndarray]:
-    """The bit planes of uint64 sketches, 64 records to a word; missing lanes are 0."""
-    n = len(sketches)
-    pad = -n % 64
-    bits = np.unpackbits(np.concatenate([sketches, np.zeros(pad, np.uint64)]).view(np.uint8).reshape(-1, 8), axis=1)
+    """The bit planes of sketches (records x words of uint64), 64 records to a machine word; missing lanes are 0."""
+    pad = np.zeros((-len(sketches) % 64, sketches.shape[1]), np.uint64)
+    bits = np.unpackbits(np.ascontiguousarray(np.concatenate([sketches, pad])).view(np.uint8), axis=1)
     return list(np.ascontiguousarray(np.packbits(bits.T, axis=1)).view(np.uint64))
 
 
@@ -112,7 +111,7 @@ def near_in_block(sketches: np.ndarray, others: np.ndarray | None, radius: int)
     left, right = [], []
     ones = ~np.uint64(0)
     for i, s in enumerate(sketches):
-        bits = np.unpackbits(np.array([s], np.uint64).view(np.uint8))
+        bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8))
         skip = (i + 1) // 64 if others is None else 0  # words before i hold pairs already seen
         diff = [(p[skip:] ^ ones) if bit else p[skip:] for p, bit in zip(planes, bits)]
         near = np.flatnonzero(~lanes(far_lanes(diff, radius), len(against) - 64 * skip)) + 64 * skip
@@ -127,7 +126,9 @@ def near_in_groups(keys: np.ndarray, sketches: np.ndarray, radius: int) -> tuple
 
     Groups of 64 or more are compared one against all, the pairs of smaller ones become the lanes together.
     """
-    n = len(keys)
+    same = keys[1:] == keys[:-1]
+    at = np.flatnonzero(np.append(same, False) | np.append(False, same))  # most groups are of one
+    keys, sketches, n = keys[at], sketches[at], len(at)
     if n < 2:
         return np.zeros(0, int), np.zeros(0, int)
     heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -143,10 +144,18 @@ def near_in_groups(keys: np.ndarray, sketches: np.ndarray, radius: int) -> tuple
         if len(i):
             near = ~lanes(far_lanes(vertical(sketches[i] ^ sketches[i + gap]), radius), len(i))
             left.append(i[near]), right.append(i[near] + gap)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int),) * 2
+    return (at[np.concatenate(left)], at[np.concatenate(right)]) if left else (np.zeros(0, int),) * 2
 
 
 _WORDS = re.compile(r"[^\W_]+")
+_BREAKS = str.maketrans({chr(i): " " for i in range(128) if not chr(i).isalnum()})
+
+
+def words_of(text: str) -> set[str]:
+    """Distinct runs of letters and digits of the consistent form."""
+    if text.isascii():
+        return set(text.lower().translate(_BREAKS).split())
+    return set(_WORDS.findall(one_form(text)))
 
 
 class Hashes:
@@ -161,32 +170,41 @@ class Hashes:
         self.place: dict[int, int] = {}
         self.values = np.zeros((KEPT_WORDS, n), np.uint32)
 
-    def rows(self, words: list[int]) -> np.ndarray:
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """Hash values of words (int32), one row each."""
+        x = words.view(np.uint32).astype(np.uint64)[:, None]
+        h = x * self.mul + self.add
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(32)).astype(np.uint32)
+
+    def rows(self, words: np.ndarray) -> np.ndarray:
         place = self.place
-        new = [w for w in words if w not in place]
-        if new:
-            if len(place) + len(new) > KEPT_WORDS:
-                place.clear()
-                new = words
-            x = np.array(new, np.uint64)[:, None]
-            at = len(place)
-            if len(new) > KEPT_WORDS - at:  # a record with more words than are kept
-                return (((x * self.mul + self.add) ^ (x << np.uint64(21))) * self.mul >> np.uint64(32)).astype(np.uint32)
-            h = x * self.mul + self.add
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            self.values[at : at + len(new)] = h >> np.uint64(32)
-            place.update(zip(new, range(at, at + len(new))))
-        return self.values[[place[w] for w in words]]
-
-    def sketch(self, words: list[int]) -> tuple[np.ndarray, int]:
-        """Keys of the bands and the sketch."""
-        low = self.rows(words).min(axis=0)
+        try:
+            return self.values[[place[w] for w in words.tolist()]]
+        except KeyError:
+            pass
+        if len(words) > KEPT_WORDS // 4:
+            return self.of(words)
+        new = np.array([w for w in words.tolist() if w not in place], np.int32)
+        if len(place) + len(new) > KEPT_WORDS:
+            place.clear()
+            new = words
+        self.values[len(place) : len(place) + len(new)] = self.of(new)
+        place.update(zip(new.tolist(), range(len(place), len(place) + len(new))))
+        return self.values[[place[w] for w in words.tolist()]]
+
+    def sketch(self, words: np.ndarray) -> np.ndarray:
+        """Least hash values: those of the bands, then those whose last bits are the sketch."""
+        return np.minimum.reduce(self.rows(words), axis=0)
+
+    def finish(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys and sketches of records from their least hash values."""
         k = BANDS * ROWS
-        keys = (low[:k].reshape(BANDS, ROWS) * self.fold).sum(axis=1, dtype=np.uint64)
+        keys = (low[:, :k].reshape(-1, BANDS, ROWS) * self.fold).sum(axis=2, dtype=np.uint64)
         keys ^= keys >> np.uint64(31)
         keys = (keys * np.uint64(0xBF58476D1CE4E5B9) & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)
-        return keys.view(np.int64), int(np.packbits(low[k:] & 1).view(np.int64)[0])
+        return keys.view(np.int64), np.packbits((low[:, k:] & 1).astype(np.uint8), axis=1).view(np.int64)
 
 
 _hashes: list[Hashes] = []
@@ -211,12 +229,15 @@ def word_sets(records: DataFrame, key: str, fields: list[str], needed: str) -> D
             texts = [c.to_pylist() for c in b.columns[1:]]
             classes, ends, flat = [], [0], []
             for parts in zip(*texts):
-                words = set(_WORDS.findall(one_form(" ".join(p for p in parts if p))))
+                words = words_of(" ".join(p for p in parts if p))
                 if len(seen) > 20 * KEPT_WORDS:
                     seen.clear()
                 for w in words.difference(seen):
                     seen[w] = xxhash.xxh32_intdigest(w) - (1 << 31)
-                h = np.unique(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+                h = np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
+                h.sort()
+                if len(h) > 1 and (h[1:] == h[:-1]).any():  # two words with one hash
+                    h = np.unique(h)
                 classes.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
                 flat.append(h)
                 ends.append(ends[-1] + len(h))
@@ -230,29 +251,31 @@ def word_sets(records: DataFrame, key: str, fields: list[str], needed: str) -> D
 
 
 def banded(sets: DataFrame) -> DataFrame:
-    """band, class, sketch: one row a band of each class; a task gives each class once, so copies don't pile up."""
+    """band, class, low, high (the sketch's words): one row a band of each class; a task gives each class once, so
+    copies don't pile up. Classes without words give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _shared_hashes(), set()
         for b in batches:
-            keys, ids, sketches = [], [], []
-            for c, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if c in seen or not words:
+            words, ends = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()
+            ids, least = [], []
+            for c, lo, hi in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                if c in seen or lo == hi:
                     continue
                 if len(seen) < 10 * KEPT_WORDS:
                     seen.add(c)
-                k, s = hashes.sketch([w & 0xFFFFFFFF for w in words])
-                keys.append(k), ids.append(c), sketches.append(s)
+                ids.append(c), least.append(hashes.sketch(words[lo:hi]))
             if ids:
+                keys, sketches = hashes.finish(np.stack(least))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(sketches, BANDS))], names=["band", "class", "sketch"]
+                    [pa.array(keys.ravel()), pa.array(np.repeat(ids, BANDS)), *(pa.array(np.repeat(sketches[:, i], BANDS)) for i in (0, 1))], names=["band", "class", "low", "high"]
                 )
 
-    return sets.select("class", "words").mapInArrow(run, "band long, class long, sketch long")
+    return sets.select("class", "words").mapInArrow(run, "band long, class long, low long, high long")
 
 
-_FOUND = "a long, b long, band long, block int, sketch long"
-_NAMES = ["a", "b", "band", "block", "sketch"]
+_FOUND = "a long, b long, band long, block int, low long, high long"
+_NAMES = ["a", "b", "band", "block", "low", "high"]
 
 
 def _found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -261,58 +284,75 @@ def _found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         a, b = np.unique(np.stack([a, b]), axis=1)
         a, b = a[a != b], b[a != b]
     none = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, pa.nulls(len(a), pa.int32()), none], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, pa.nulls(len(a), pa.int32()), none, none], names=_NAMES)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[list[np.ndarray]]:
+    """The columns of the batches as arrays of at least rows values, but for the last."""
+    waiting: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        waiting.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield [np.concatenate([w.column(i).to_numpy() for w in waiting]) for i in range(b.num_columns)]
+            waiting, n = [], 0
+    if n:
+        yield [np.concatenate([w.column(i).to_numpy() for w in waiting]) for i in range(waiting[0].num_columns)]
+
+
+def _sketches(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.stack([low, high], axis=1).view(np.uint64)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (band, class, sketch) to pairs of classes; groups over BLOCK come out as rows of blocks instead."""
-    rest = [np.zeros(0, np.int64)] * 3
+    """Sorted (band, class, low, high) to pairs of classes; groups over BLOCK come out as rows of blocks instead."""
+    rest = [np.zeros(0, np.int64)] * 4
     deferred: tuple[int, int] | None = None  # band of a large group under way, rows of it given out
 
-    def give_out(k: np.ndarray, c: np.ndarray, s: np.ndarray, done: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(k), pa.array(((np.arange(len(k)) + done) // BLOCK).astype(np.int32)), pa.array(s)], names=_NAMES
-        )
+    def give_out(x: list[np.ndarray], done: int) -> pa.RecordBatch:
+        k, c, low, high = x
+        block = ((np.arange(len(k)) + done) // BLOCK).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(k), pa.array(block), pa.array(low), pa.array(high)], names=_NAMES)
 
-    for b in batches:
-        k, c, s = (np.concatenate([r, x.to_numpy()]) for r, x in zip(rest, b.columns))
-        if not len(k):
-            continue
+    for columns in _gathered(batches):
+        x = [np.concatenate([r, y]) for r, y in zip(rest, columns)]
         if deferred is not None:
-            more = int(np.searchsorted(k, deferred[0], "right"))
+            more = int(np.searchsorted(x[0], deferred[0], "right"))
             if more:
-                yield give_out(k[:more], c[:more], s[:more], deferred[1])
+                yield give_out([y[:more] for y in x], deferred[1])
                 deferred = (deferred[0], deferred[1] + more)
-            k, c, s = k[more:], c[more:], s[more:]
-            if not len(k):
-                rest = [k, c, s]
+            x = [y[more:] for y in x]
+            if not len(x[0]):
+                rest = x
                 continue
             deferred = None
+        k = x[0]
         tail = int(np.searchsorted(k, k[-1]))  # the last group may go on
         if len(k) - tail > BLOCK:
-            yield give_out(k[tail:], c[tail:], s[tail:], 0)
+            yield give_out([y[tail:] for y in x], 0)
             deferred = (int(k[-1]), len(k) - tail)
-            rest = [np.zeros(0, np.int64)] * 3
+            rest = [y[:0] for y in x]
         else:
-            rest = [k[tail:], c[tail:], s[tail:]]
+            rest = [y[tail:] for y in x]
         heads = np.flatnonzero(np.append(True, k[1:tail] != k[: tail - 1])) if tail else np.zeros(0, int)
         sizes = np.diff(np.append(heads, tail))
         for h, size in zip(heads[sizes > BLOCK], sizes[sizes > BLOCK]):
-            yield give_out(k[h : h + size], c[h : h + size], s[h : h + size], 0)
+            yield give_out([y[h : h + size] for y in x], 0)
         small = np.repeat(sizes <= BLOCK, sizes) if tail else np.zeros(0, bool)
-        kk, cc, ss = k[:tail][small], c[:tail][small], s[:tail][small]
-        i, j = near_in_groups(kk, ss.view(np.uint64), RADIUS)
+        kk, cc, low, high = (y[:tail][small] for y in x)
+        i, j = near_in_groups(kk, _sketches(low, high), RADIUS)
         yield _found(cc[i], cc[j])
-    k, c, s = rest
-    i, j = near_in_groups(k, s.view(np.uint64), RADIUS)
+    k, c, low, high = rest
+    i, j = near_in_groups(k, _sketches(low, high), RADIUS)
     yield _found(c[i], c[j])
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, i, j, block, class, sketch) sorted by (band, i, j, block): block i against block j."""
+    """Rows (band, i, j, block, class, low, high) sorted by (band, i, j, block): block i against block j."""
 
     def flush(x: list[np.ndarray]) -> pa.RecordBatch:
-        block, c, s = x[3], x[4], x[5].view(np.uint64)
+        block, c, s = x[3], x[4], _sketches(x[5], x[6])
         if x[1][0] == x[2][0]:
             i, j = near_in_block(s, None, RADIUS)
             return _found(c[i], c[j])
@@ -321,8 +361,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return _found(c[i], c[cut:][j])
 
     rest: list[np.ndarray] | None = None
-    for b in batches:
-        x = [y.to_numpy() for y in b.columns]
+    for x in _gathered(batches):
         if rest is not None:
             x = [np.concatenate([r, y]) for r, y in zip(rest, x)]
         new = np.append(True, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1]) | (x[2][1:] != x[2][:-1]))
@@ -343,8 +382,8 @@ def close_sketches(bands: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     tasks = (
         large.join(blocks, "band")
-        .select("band", F.col("a").alias("class"), "sketch", "block", other)
-        .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "sketch")
+        .select("band", F.col("a").alias("class"), "low", "high", "block", other)
+        .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "low", "high")
         .repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j", "block")
     )
