@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ SKILL_LABELS = ("requirements", "qualifications", "responsibilities", "overview"
 _END = "[.,;:!?\"']+$"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, with value worked out once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def stripped(c: Column) -> Column:
     """c without white space at its ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -124,11 +130,9 @@ def negated_before(c: Column, position: Column) -> Column:
 
 def clean_skill(c: Column) -> Column:
     """A captured skill without the sentence's last words; structural labels become ''."""
-    out = F.regexp_replace(F.lower(stripped(c)), _END, "")
-    for tail in SKILL_TAILS:
-        out = F.when(out.endswith(tail), stripped(F.substring(out, F.lit(1), F.length(out) - len(tail)))).otherwise(out)
-    out = F.regexp_replace(out, _END, "")
-    return F.when(out.isin(*SKILL_LABELS), F.lit("")).otherwise(out)
+    cut = lambda out, tail: F.when(F.endswith(out, tail), stripped(F.left(out, F.length(out) - F.length(tail)))).otherwise(out)
+    out = F.aggregate(F.array(*[F.lit(t) for t in SKILL_TAILS]), F.regexp_replace(F.lower(stripped(c)), _END, ""), cut)
+    return bound(F.regexp_replace(out, _END, ""), lambda x: F.when(x.isin(*SKILL_LABELS), F.lit("")).otherwise(x))
 
 
 def printable_cp1252(c: Column) -> Column:

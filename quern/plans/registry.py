@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("data", "relational")
+MODULES = ("data", "relational", "analytics")
 
 
 def collect(what: str) -> dict:
