@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("data", "relational", "analytics")
+MODULES = ("data", "relational", "analytics", "sources")
 
 
 def collect(what: str) -> dict:
