@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -309,20 +310,22 @@ def flatten(texts: list[str | None]) -> pd.DataFrame:
 
 #: Bytes of text that are indexed at once; a longer text is indexed alone.
 BATCH_BYTES = 1 << 20
+NAMES = ["record_kind", "record_id", "section", "entry_no", "item_kind", "item_no", "value"]
 SCHEMA = "record_kind string, record_id long, section string, entry_no int, item_kind string, item_no int, value string"
 
 
-def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        texts = b.column(2).to_pylist()
         start = size = 0
-        texts = b["content"].tolist()
         for i in range(len(texts) + 1):
             if i == len(texts) or (size and size + len(texts[i] or "") > BATCH_BYTES):
-                if i > start:
-                    out = flatten(texts[start:i])
-                    at = out["doc"].to_numpy().astype(np.int64) + start
-                    out["record_kind"], out["record_id"] = b["record_kind"].to_numpy()[at], b["record_id"].to_numpy()[at]
-                    yield out[["record_kind", "record_id", "section", "entry_no", "item_kind", "item_no", "value"]]
+                out = flatten(texts[start:i])
+                if len(out):
+                    at = pa.array(out["doc"].to_numpy().astype(np.int64) + start)
+                    ints = [pa.array(out[c].to_numpy().astype(np.int32)) for c in ("entry_no", "item_no")]
+                    words = [pa.array(out[c].tolist(), pa.string()) for c in ("section", "item_kind", "value")]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), words[0], ints[0], words[1], ints[1], words[2]], names=NAMES)
                 start, size = i, 0
             if i < len(texts):
                 size += len(texts[i] or "")
@@ -335,7 +338,7 @@ def flatten_records(records: DataFrame) -> DataFrame:
     Null, empty and unreadable contents give no rows; repeated records give their rows again; columns beyond
     the three are ignored.
     """
-    return records.select("record_kind", "record_id", "content").mapInPandas(_batches, SCHEMA)
+    return records.select("record_kind", F.col("record_id").cast("long"), "content").mapInArrow(_batches, SCHEMA)
 
 
 def resume_records(spark: SparkSession, folder: str) -> DataFrame:
