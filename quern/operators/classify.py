@@ -25,17 +25,18 @@ def domain_of(title: Column, body: Column, keywords: dict[str, tuple[str, ...]]
     Hits are whole words, counted in the JVM; a domain's keywords each count for themselves. No hit, or two domains with most,
     give 'other' and confidence 0, else the confidence is the winner's part of all hits, four decimals. Null texts are empty.
     """
-    low = {c: F.lower(F.coalesce(x, F.lit(""))) for c, x in (("t", title), ("b", body))}
+    low = F.struct(F.lower(F.coalesce(title, F.lit(""))).alias("t"), F.lower(F.coalesce(body, F.lit(""))).alias("b"))
     quote = lambda k: "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in k)
 
     def hits(text: Column, words: tuple[str, ...]) -> Column:
         out = F.lit(0)
         for w in words:
-            out = out + F.regexp_count(text, F.lit(rf"\b{quote(w)}\b"))
+            # a search for bytes first: most keywords aren't there, and the pattern costs far more
+            out = out + F.when(F.contains(text, F.lit(w)), F.regexp_count(text, F.lit(rf"\b{quote(w)}\b"))).otherwise(0)
         return out
 
     names = keywords or DOMAIN_KEYWORDS
-    scores = F.array(*[F.struct((hits(low["t"], ws) * TITLE_WEIGHT + hits(low["b"], ws)).alias("s"), F.lit(d).alias("d")) for d, ws in names.items()])
+    scored = lambda x: F.array(*[F.struct((hits(x["t"], ws) * TITLE_WEIGHT + hits(x["b"], ws)).alias("s"), F.lit(d).alias("d")) for d, ws in names.items()])
 
     def decide(x: Column) -> Column:
         """x: the scores, their best and their sum."""
@@ -47,7 +48,7 @@ def domain_of(title: Column, body: Column, keywords: dict[str, tuple[str, ...]]
         )
 
     summed = lambda x: F.struct(x.alias("scores"), F.array_max(F.transform(x, lambda y: y["s"])).alias("best"), F.aggregate(x, F.lit(0), lambda a, y: a + y["s"]).alias("total"))
-    return bound(scores, lambda x: bound(summed(x), decide))
+    return bound(bound(low, scored), lambda x: bound(summed(x), decide))
 
 
 # Headings of resumes, and what speaks against one.

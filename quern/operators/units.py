@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.chars import char_class, visible
-from quern.session import table
+from quern.session import heavy, table
 
 MOST_UNITS = 10_000
 
@@ -238,7 +238,7 @@ def annual_pay(jobs: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = table(spark, folder, "jobs").select("id", "salary_range", "job_description")
+    jobs = heavy(spark, folder, "jobs", "id", "salary_range", "job_description")
     return annual_pay(jobs, table(spark, folder, "unit_factors")).withColumnRenamed("id", "job_id")
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from quern.functions import sets, text
 from quern.operators import classify, extract, quota, resumes, skills, upsert
 from quern.plans.relational import TODAY, resume_for_domain
-from quern.session import table
+from quern.session import heavy, table
 
 # --- text functions over adverts --------------------------------------------------------------------------------------
 
 
 def _jobs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, d, "jobs").select("id", *columns)
+    return heavy(spark, d, "jobs", "id", *columns)
 
 
 def t01_normalised_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -101,11 +101,11 @@ def t18_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t19_voice(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.voice(F.col("text")).alias("voice"))
+    return heavy(spark, d, "documents", "doc_id", "text").select("doc_id", text.voice(F.col("text")).alias("voice"))
 
 
 def t20_contacts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.contacts(F.col("text")).alias("c")).select("doc_id", "c.email", "c.phone", "c.linkedin", "c.github")
+    return heavy(spark, d, "documents", "doc_id", "text").select("doc_id", text.contacts(F.col("text")).alias("c")).select("doc_id", "c.email", "c.phone", "c.linkedin", "c.github")
 
 
 def t23_json_or_text(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +216,7 @@ def dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r01_sections(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "documents").select("doc_id", extract.sections(F.col("text")).alias("s"))
+    s = heavy(spark, d, "documents", "doc_id", "text").select("doc_id", extract.sections(F.col("text")).alias("s"))
     return s.select("doc_id", F.length("s.required").alias("n_required"), F.length("s.preferred").alias("n_preferred"))
 
 
@@ -226,11 +226,11 @@ def r02_experience(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r03_education(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(extract.education_of(F.col("text"))).alias("x")).select("doc_id", "x.level", "x.field", "x.is_required")
+    return heavy(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(extract.education_of(F.col("text"))).alias("x")).select("doc_id", "x.level", "x.field", "x.is_required")
 
 
 def r04_certificates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(extract.certificates_of(F.col("text"))).alias("x")).select("doc_id", "x.name", "x.is_required")
+    return heavy(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(extract.certificates_of(F.col("text"))).alias("x")).select("doc_id", "x.name", "x.is_required")
 
 
 def r05_requirements(spark: SparkSession, d: str) -> DataFrame:
@@ -261,7 +261,7 @@ def a29_by_category(spark: SparkSession, d: str) -> DataFrame:
 
 def r11_resume_text(spark: SparkSession, d: str) -> DataFrame:
     """Sections of resumes as plain text."""
-    r = table(spark, d, "documents").where("doc_type = 'resume'").select("doc_id", extract.resume_sections(F.col("text")).alias("s"))
+    r = heavy(spark, d, "documents", "doc_id", "text", "doc_type").where("doc_type = 'resume'").select("doc_id", extract.resume_sections(F.col("text")).alias("s"))
     return r.select("doc_id", F.explode("s").alias("section", "lines")).select("doc_id", "section", F.size("lines").alias("n_lines"))
 
 
@@ -277,14 +277,14 @@ def c06_resume_domains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c07_document_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", classify.document_kind(F.col("text")).alias("k")).select("doc_id", "k.*")
+    return heavy(spark, d, "documents", "doc_id", "text").select("doc_id", classify.document_kind(F.col("text")).alias("k")).select("doc_id", "k.*")
 
 
 def c11_analysis(spark: SparkSession, d: str) -> DataFrame:
     """C11: new adverts with a text: skills, domain and score for the active resume; one chain without shuffle."""
     find = extract.phrase_finder(dictionary(spark, d))
     one = _resume_skills(spark, d).where("resume_id = 7")
-    j = table(spark, d, "jobs").where((F.col("status") == "new") & (F.length(F.trim("job_description")) > 0)).select("id", "job_title", "job_description")
+    j = heavy(spark, d, "jobs", "id", "job_title", "job_description", "status").where((F.col("status") == "new") & (F.length(F.trim("job_description")) > 0)).select("id", "job_title", "job_description")
     names = lambda h: F.array_distinct(F.transform(h, lambda x: x["phrase"]))
     s = j.withColumn("s", extract.sections(F.col("job_description"))).withColumn("r", names(find(F.col("s.required")))).withColumn("p", F.array_except(names(find(F.col("s.preferred"))), "r"))
     s = s.withColumn("e", F.transform(extract.experience_of(F.col("job_description")), lambda x: x["skill"])).crossJoin(F.broadcast(one))

@@ -50,15 +50,22 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Bytes of a table that are worth a task of their own.
+TASK_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one task a core for work that costs far more than reading its rows.
+def heavy(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The table's columns for work that costs far more than reading them.
 
-    Small files make few scan tasks; a repartition without key moves rows evenly, whatever their keys.
+    A table of fewer bytes than TASK_BYTES a core lies in so few row groups that most cores would idle; its rows
+    are dealt out evenly, whatever their keys. A larger table is read as it lies, without a shuffle.
     """
-    sc = df.sparkSession.sparkContext
-    want = max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(want)
+    whole = table(spark, folder, name)
+    d = whole.select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(whole._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return d.repartition(cores) if size < cores * TASK_BYTES else d
