@@ -9,11 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.order import time_slices
+
 
 def offered_load(calls: DataFrame, key: str, at: str, seconds: int = 60) -> DataFrame:
-    """Calls with n_window, the calls of the key in the seconds up to and with it (both ends count)."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumn("n_window", F.count("*").over(w))
+    """Calls with n_window, the calls of the key in the seconds up to and with it (both ends count).
+
+    A key's time is cut into slices that are worked on apart. Calls without time are left out."""
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    reach = seconds * 1_000_000
+    w = Window.partitionBy(key, "_slice").orderBy(t).rangeBetween(-reach, 0)
+    parts = time_slices(calls.where(F.col(at).isNotNull()), t, reach, 64 * reach)
+    return parts.withColumn("n_window", F.count("*").over(w)).where("_own").drop("_slice", "_own")
 
 
 def daily_quota(calls: DataFrame, key: str, at: str, order: str, per_day: int) -> DataFrame:

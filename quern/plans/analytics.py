@@ -406,6 +406,12 @@ def a25_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chat_messages").groupBy("role").agg(F.sum(F.floor(F.length(F.coalesce("content", F.lit(""))) / 4)).alias("n_tokens"))
 
 
+def d04_durations(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds from the first to the last message of a session, two decimals."""
+    m = table(spark, d, "chat_messages").where("session_id is not null and created_at is not null")
+    return m.groupBy("session_id").agg(F.round((F.unix_micros(F.max("created_at")) - F.unix_micros(F.min("created_at"))) / 1e6, 2).alias("seconds"))
+
+
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
     """Log lines made of events."""
     kind = {"error": "ERROR 429 quota", "view": "WARNING slow", "purchase": "[scheduler] Job 'scrape_jobs' OK", "click": "[scrape_jobs] Starting"}
@@ -475,6 +481,6 @@ def a27_best_phrase(spark: SparkSession, d: str) -> DataFrame:
     return upsert.first_by_key(j, ["job_title"], F.desc_nulls_last("match_score"), "id").select("job_title", "id")
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acjkoprtuw" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acdjkoprtuw" and k[1:3].isdigit()}
 
 from quern.plans.analytics_sql import SQL  # noqa: E402, F401

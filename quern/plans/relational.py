@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import sets, text
-from quern.session import table
+from quern.functions import order, sets, text
+from quern.session import kept, table
 
 #: The day that counts as today; a parameter, so results don't depend on the clock.
 TODAY = datetime.date(2026, 1, 19)
@@ -274,10 +274,11 @@ def w02_latest_resume(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w06_next_message(spark: SparkSession, d: str) -> DataFrame:
-    """Each message with the next one of its session."""
-    w = Window.partitionBy("session_id").orderBy("created_at", "id")
-    m = table(spark, d, "chat_messages").where("session_id is not null and created_at is not null").select("id", "session_id", "created_at")
-    return m.select("id", F.lead("id").over(w).alias("next_id"), F.lag("id").over(w).alias("previous_id"))
+    """Each message with the next and the previous one of its session: equi-joins on the number, however long a session is."""
+    m = table(spark, d, "chat_messages").where("session_id is not null and created_at is not null").select("id", "session_id", F.unix_micros("created_at").alias("t"))
+    n = kept(order.numbered(m, "session_id", "t", "id").select("session_id", "n", "id"), "numbered")
+    other = lambda name, step: n.select("session_id", (F.col("n") + step).cast("int").alias("n"), F.col("id").alias(name))
+    return n.join(other("next_id", -1), ["session_id", "n"], "left").join(other("previous_id", 1), ["session_id", "n"], "left").select("id", "next_id", "previous_id")
 
 
 def w07_capped_configs(spark: SparkSession, d: str) -> DataFrame:
@@ -288,18 +289,18 @@ def w07_capped_configs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w08_idle_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Visits of a user end after 30 idle minutes."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select("user_id", "event_id", "ts")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    return e.withColumn("new", (F.coalesce(gap, F.lit(1 << 60)) > 1800 * 1_000_000).cast("int")).groupBy("user_id").agg(F.sum("new").alias("n_visits"), F.count("*").alias("n_events"))
+    """Visits of a user end after 30 idle minutes; a user's time is cut into slices that are worked on apart."""
+    gap = 1800 * 1_000_000
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    w = Window.partitionBy("user_id", "_slice").orderBy("t", "event_id")
+    last = order.time_slices(e, F.col("t"), gap, 48 * gap).withColumn("last", F.lag("t").over(w)).where("_own")
+    return last.groupBy("user_id").agg(F.count_if(F.col("last").isNull() | (F.col("t") - F.col("last") > gap)).alias("n_visits"), F.count("*").alias("n_events"))
 
 
 def w09_history(spark: SparkSession, d: str) -> DataFrame:
     """User and assistant messages of a session in order."""
-    w = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("created_at"), "id")
-    m = table(spark, d, "chat_messages").where("session_id is not null").where(F.col("role").isin("user", "assistant"))
-    return m.select("session_id", "id", F.row_number().over(w).alias("place"), "role")
+    m = table(spark, d, "chat_messages").where("session_id is not null").where(F.col("role").isin("user", "assistant")).select("session_id", "id", "role", F.unix_micros("created_at").alias("t"))
+    return order.numbered(m, "session_id", "t", "id", name="place").select("session_id", "id", "place", "role")
 
 
 def o01_recent(spark: SparkSession, d: str) -> DataFrame:
