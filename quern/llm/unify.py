@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.chars import one_form, visible
-from quern.session import table
+from quern.session import heavy
 
 #: Texts that this does not match need no replacement: ASCII, Latin-1 letters, dashes, quotes, bullet, currency signs.
 MAY_CHANGE = "[^\\x00-\\x7F\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u00FF\\u2013\\u2014\\u2018-\\u201D\\u2022\\u20AC\\u20B9\\u00A3]"
@@ -43,12 +43,17 @@ def _one_form(texts: pd.Series) -> pd.Series:
 def consistent(text: Column) -> Column:
     """text in its consistent form; null stays null, empty stays empty. Pure ASCII never leaves the JVM."""
     plain = F.lower(F.translate(F.regexp_replace(text, "\r\n?", "\n"), "\t\x0b\x0c", "   "))
-    return F.when(text.rlike("[^\\x00-\\x7F]"), _one_form(F.when(text.rlike("[^\\x00-\\x7F]"), text))).otherwise(plain)
+    return F.when(not_ascii(text), _one_form(F.when(not_ascii(text), text))).otherwise(plain)
 
 
 FIELDS = ("job_title", "company_name", "job_description")
 
 
+def not_ascii(text: Column) -> Column:
+    """Whether text has a character beyond ASCII, told by its length in bytes without a pattern."""
+    return F.octet_length(text) > F.length(text)
+
+
 def by_field(jobs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """id, field, value: one row for each non-null field."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
@@ -58,16 +63,16 @@ def by_field(jobs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 def changed_fields(jobs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """id, field of the values that hold a character to be replaced or removed. Null and empty values are none;
     repeated rows come out again. Narrow: no shuffle."""
-    return by_field(jobs, fields).where(F.col("value").rlike(MAY_CHANGE)).where(_is_case("value")).select("id", "field")
+    return by_field(jobs, fields).where(not_ascii(F.col("value")) & F.col("value").rlike(MAY_CHANGE)).where(_is_case("value")).select("id", "field")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return changed_fields(table(spark, folder, "jobs").select("id", *FIELDS)).withColumnRenamed("id", "job_id")
+    return changed_fields(heavy(spark, folder, "jobs", "id", *FIELDS)).withColumnRenamed("id", "job_id")
 
 
 def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Each advert with its three texts in the consistent form."""
-    return table(spark, folder, "jobs").select(F.col("id").alias("job_id"), *[consistent(F.col(f)).alias(f) for f in FIELDS])
+    return heavy(spark, folder, "jobs", "id", *FIELDS).select(F.col("id").alias("job_id"), *[consistent(F.col(f)).alias(f) for f in FIELDS])
 
 
 def reference_form(text: str) -> str:
