@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.session import table
+from quern.session import heavy
 
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pattern that splits text before the merges.
@@ -181,4 +181,4 @@ def token_counts(documents: DataFrame, columns: list[str], path: str = TOKENIZER
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode(table(spark, folder, "documents"))
+    return encode(heavy(spark, folder, "documents", "doc_id", "text"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.chars import one_form
-from quern.session import table
+from quern.session import heavy, table
 
 #: A longer reference list isn't broadcast but raises ValueError.
 MOST_ENTRIES = 100_000
@@ -265,7 +265,7 @@ def map_values(values: DataFrame, canon: DataFrame) -> DataFrame:
 
 def _misspelt(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     canon = table(spark, folder, "canon_values")
-    jobs = table(spark, folder, "jobs").select("id", "job_title", "location", "required_skills")
+    jobs = heavy(spark, folder, "jobs", "id", "job_title", "location", "required_skills")
     exact = F.broadcast(canon.select("kind", F.col("canon_value").alias("value")).dropna().distinct())
     return typed_values(jobs).join(exact, ["kind", "value"], "left_anti"), canon
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import token_counts
-from quern.session import kept, table
+from quern.session import heavy, kept, table
 
 SEED = 20240229
 #: Blocks the mixture is cut into.
@@ -112,7 +112,7 @@ def mixture(sizes: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: in
 
 
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").select("doc_id", "source", "text")
+    d = heavy(spark, folder, "documents", "doc_id", "source", "text")
     wanted = table(spark, folder, "mix_targets").select("source").dropna().distinct()
     return kept(token_counts(d.join(F.broadcast(wanted), "source", "left_semi"), ["doc_id", "source"]), "sizes")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.chars import one_form
-from quern.session import kept, table
+from quern.session import heavy, kept
 
 #: Records whose word sets have at least this Jaccard similarity are the same advert.
 SIMILARITY = 0.7
@@ -411,7 +411,7 @@ FIELDS = ["job_title", "company_name", "job_description"]
 
 
 def _sets(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = table(spark, folder, "jobs").select("id", *FIELDS)
+    jobs = heavy(spark, folder, "jobs", "id", *FIELDS)
     return kept(word_sets(jobs, "id", FIELDS, "job_description"), "word-sets")
 
 

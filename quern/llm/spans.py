@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.session import kept, table
+from quern.session import heavy, kept, table
 
 #: Least length of a shared span, and of the shingles from which anchors are taken, in code points.
 SPAN, GRAM = 200, 64
@@ -243,7 +243,7 @@ def shared_chars(documents: DataFrame, span: int = SPAN, gram: int = GRAM, hot_r
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return shared_chars(table(spark, folder, "documents").select("doc_id", "text").where(F.length("text") >= SPAN))
+    return shared_chars(heavy(spark, folder, "documents", "doc_id", "text").where(F.length("text") >= SPAN))
 
 
 def p9_share(spark: SparkSession, folder: str) -> DataFrame:
