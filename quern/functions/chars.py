@@ -50,16 +50,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SINGLE = str.maketrans(LOOK_ALIKES)
 
 
-def _latin(ch: str) -> bool:
-    """A Latin letter that is no look-alike itself."""
-    return ch not in LOOK_ALIKES and (ch.isascii() or "LATIN" in unicodedata.name(ch, ""))
-
-
 def _word(m: re.Match) -> str:
+    """A word that is Latin, as most of its letters without a Latin look-alike are, with Latin letters alone."""
     w = m.group()
-    if w.isascii() or not _ALIKE.search(w) or not any(map(_latin, w)):
+    if w.isascii() or not _ALIKE.search(w):
         return w
-    return w.translate(_SINGLE)
+    own = [c for c in w if c not in LOOK_ALIKES]
+    latin = sum(c.isascii() or "LATIN" in unicodedata.name(c, "") for c in own)
+    return w.translate(_SINGLE) if 2 * latin > len(own) else w
 
 
 def visible(text: str) -> str:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +44,57 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+_shipped: set[str] = set()
+_kept: list[str] = []
+
+
+def _path(spark: SparkSession, at: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once an application, by way of the shared folder.
+
+    Without a shared folder nothing is sent: workers then need the package on their path.
+    """
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    _shipped.add(spark.sparkContext.applicationId)
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # runs from an archive already
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    try:
+        at = f"{shared_folder(spark)}/quern-code-{uuid.uuid4().hex}.zip"
+    except ValueError:
+        return
+    fs, p = _path(spark, at)
+    out = fs.create(p, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(at)
+    _kept.append(at)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that kept() wrote; results that read them must have been used."""
+    for at in [a for a in _kept if not a.endswith(".zip")]:
+        fs, p = _path(spark, at)
+        fs.delete(p, True)
+        _kept.remove(at)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: a stage with several readers runs once,
     its lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    _kept.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
