@@ -66,9 +66,10 @@ def mixture(sizes: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: in
     # pre-aggregated by the finest shards: at most sources x MOST_SHARDS rows reach the driver
     fine = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(MOST_SHARDS)).cast("int")
     cells = usable.withColumn("cell", fine).groupBy("source", "cell").agg(F.sum("n_tokens").alias("tokens")).collect()
-    have: dict[str, int] = {}
+    by_source: dict[str, list] = {}
     for r in cells:
-        have[r.source] = have.get(r.source, 0) + r.tokens
+        by_source.setdefault(r.source, []).append(r)
+    have = {s: sum(r.tokens for r in rs) for s, rs in by_source.items()}
     given = sum(share[s] for s in have)
     size = min((have[s] * repeats[s] * given / share[s] for s in have), default=0.0)
     block = max(1.0, size / blocks)
@@ -77,9 +78,8 @@ def mixture(sizes: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: in
     for s, tokens in sorted(have.items()):
         n = min(MOST_SHARDS, max(1, tokens // SHARD_TOKENS))
         shards: dict[int, int] = {}
-        for r in cells:
-            if r.source == s:
-                shards[r.cell % n] = shards.get(r.cell % n, 0) + r.tokens
+        for r in by_source[s]:
+            shards[r.cell % n] = shards.get(r.cell % n, 0) + r.tokens
         got = sainte_lague(shards, quota[s], {k: int(math.ceil(t * repeats[s] / block)) for k, t in shards.items()})
         for k, t in sorted(shards.items()):
             want = min(got[k] * block, t * repeats[s])
