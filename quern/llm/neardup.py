@@ -25,8 +25,9 @@ SIMILARITY = 0.7
 #: BANDS x ROWS MinHash values: a pair of similarity 0.7 meets in a band with probability 0.977, 0.8 with 0.9999.
 BANDS, ROWS = 30, 6
 BITS = 128
-#: Bits in which sketches of a pair at SIMILARITY may differ: the mean 128 x 0.15 and four deviations.
-RADIUS = 35
+#: Bits in which sketches of a pair at SIMILARITY may differ: the mean 128 x 0.15 and three and a half deviations
+#: (one such pair in 2000 differs in more).
+RADIUS = 33
 #: A group of more records is cut into blocks of this size, which are compared in tasks of their own.
 BLOCK = 4096
 #: Words of which a worker keeps the hash values (at most 62 MB).
