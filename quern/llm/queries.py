@@ -27,10 +27,10 @@ SQL = {
                  arg_min(tool_calls_json IS NOT NULL, id) AS calls
           FROM chat_messages WHERE session_id IS NOT NULL GROUP BY ALL),
         n AS (
-          SELECT *, CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user'
-                         WHEN lower(trim(role)) IN ('assistant', 'ai', 'bot') THEN 'assistant'
-                         WHEN lower(trim(role)) IN ('system', 'tool') THEN 'other' END AS who,
-                 length(trim(coalesce(content, ''))) = 0 AS blank
+          SELECT *, CASE WHEN lower(regexp_replace(role, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) IN ('user', 'human') THEN 'user'
+                         WHEN lower(regexp_replace(role, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) IN ('assistant', 'ai', 'bot') THEN 'assistant'
+                         WHEN lower(regexp_replace(role, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) IN ('system', 'tool') THEN 'other' END AS who,
+                 NOT regexp_matches(coalesce(content, ''), '[^\s\p{Z}]') AS blank
           FROM m),
         t AS (
           SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, message_id) AS k
