@@ -409,7 +409,7 @@ def a25_tokens(spark: SparkSession, d: str) -> DataFrame:
 def d04_durations(spark: SparkSession, d: str) -> DataFrame:
     """Seconds from the first to the last message of a session, two decimals."""
     m = table(spark, d, "chat_messages").where("session_id is not null and created_at is not null")
-    return m.groupBy("session_id").agg(F.round((F.unix_micros(F.max("created_at")) - F.unix_micros(F.min("created_at"))) / 1e6, 2).alias("seconds"))
+    return m.groupBy("session_id").agg((F.round((F.unix_micros(F.max("created_at")) - F.unix_micros(F.min("created_at"))) / 1e4) / 100).alias("seconds"))
 
 
 def log_lines(spark: SparkSession, d: str) -> DataFrame:

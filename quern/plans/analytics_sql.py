@@ -240,7 +240,7 @@ SQL = {
     "a14_score_share": """SELECT user_id, share, CASE WHEN share >= 85 THEN 'strong_yes' WHEN share >= 70 THEN 'yes' WHEN share >= 50 THEN 'maybe' ELSE 'no' END AS advice
         FROM (SELECT user_id, round(sum(least(floor(abs(value)), 10)) / (count(*) * 10) * 100, 1) AS share FROM events GROUP BY user_id)""",
     "a25_tokens": "SELECT role, sum(length(coalesce(content, '')) // 4)::BIGINT AS n_tokens FROM chat_messages GROUP BY role",
-    "d04_durations": "SELECT session_id, round((epoch_us(max(created_at)) - epoch_us(min(created_at))) / 1e6::DOUBLE, 2) AS seconds FROM chat_messages WHERE session_id IS NOT NULL AND created_at IS NOT NULL GROUP BY session_id",
+    "d04_durations": "SELECT session_id, round((epoch_us(max(created_at)) - epoch_us(min(created_at))) / 1e4::DOUBLE) / 100 AS seconds FROM chat_messages WHERE session_id IS NOT NULL AND created_at IS NOT NULL GROUP BY session_id",
     "c18_log_summary": f"""WITH {_LOG} SELECT count(*) FILTER (contains(line, 'ERROR')) AS errors, count(*) FILTER (contains(line, 'WARNING')) AS warnings,
         count(*) FILTER (contains(line, 'ERROR') AND (contains(line, '429') OR contains(lower(line), 'quota'))) AS quota_errors,
         sum(coalesce(TRY_CAST(regexp_extract(line, '([0-9]+) saved,', 1) AS INT), 0))::BIGINT AS saved, sum(coalesce(TRY_CAST(regexp_extract(line, '([0-9]+) updated,', 1) AS INT), 0))::BIGINT AS updated FROM log""",
