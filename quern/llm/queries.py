@@ -20,6 +20,14 @@ QUERIES = {
     "p9_share": spans.p9_share,
 }
 
+#: All windows of 200 characters; a shared one covers up to the next shared one of its text, the last all of it.
+_SHARED = """
+    WITH w AS (SELECT doc_id, k, substr(text, k, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS k FROM documents WHERE length(text) >= 200)),
+    h AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+    c AS (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS following FROM w WHERE s IN (SELECT s FROM h))
+    SELECT doc_id, sum(least(200, coalesce(following - k, 200)))::BIGINT AS shared_chars FROM c GROUP BY doc_id
+"""
+
 SQL = {
     "p4_found": r"""
         WITH m AS (
@@ -42,4 +50,10 @@ SQL = {
         SELECT session_id, k::INT AS turn_no, message_id FROM t
         WHERE session_id NOT IN (SELECT session_id FROM bad) AND session_id IN (SELECT id FROM chat_sessions)
     """,
+    "p9_found": _SHARED,
+    "p9_share": f"""
+        SELECT d.doc_id, coalesce(length(text), 0)::INT AS n_text_chars, coalesce(shared_chars, 0)::BIGINT AS shared_chars,
+               coalesce(shared_chars / nullif(length(text), 0), 0) AS shared_part
+        FROM documents d LEFT JOIN ({_SHARED}) USING (doc_id)
+    """,
 }
