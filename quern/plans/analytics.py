@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import sets, text
-from quern.operators import classify, extract, quota, resumes, skills, upsert
+from quern.operators import classify, extract, quota, resume_text, resumes, skills, upsert
 from quern.plans.relational import TODAY, resume_for_domain
 from quern.session import heavy, table
 
@@ -265,6 +265,13 @@ def r11_resume_text(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", F.explode("s").alias("section", "lines")).select("doc_id", "section", F.size("lines").alias("n_lines"))
 
 
+def r11_resume_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Details and numbers of entries of resumes as plain text."""
+    r = heavy(spark, d, "documents", "doc_id", "text", "doc_type").where("doc_type = 'resume'").select("doc_id", resume_text.parsed_text(F.col("text")).alias("r"))
+    sizes = [F.size(f"r.{c}").alias(f"n_{c}") for c in ("positions", "education", "certifications", "projects")]
+    return r.select("doc_id", "r.personal_info.name", "r.personal_info.email", F.length("r.summary").alias("n_summary"), *sizes)
+
+
 def c05_domains(spark: SparkSession, d: str) -> DataFrame:
     return _jobs(spark, d, "job_title", "job_description").select("id", classify.domain_of(F.col("job_title"), F.col("job_description")).alias("c")).select("id", "c.domain", F.round("c.confidence", 4).alias("confidence"), "c.best", "c.total")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import sets
-from quern.operators import classify, extract, quota, resumes, skills, upsert
+from quern.operators import classify, extract, quota, resume_text, resumes, skills, upsert
 
 @pytest.fixture(autouse=True, scope="module")
 def columns(spark):
@@ -208,3 +208,41 @@ def test_quota(spark):
     adm = {r.i: (r.admitted_at - base) / 1e6 for r in quota.admissions(d, "k", "ts", "i", 1).collect()}
     assert adm[0] == 0 and adm[1] == 60.000001 and adm[2] == 120.000002 and adm[9] == 0 and adm[4] == 86400
     assert quota.admissions(d.limit(0), "k", "ts", "i", 1).count() == 0
+
+
+def test_resume_text_entries(spark):
+    t = """Ann Lee
+ann@mail.example | 555-123-4567
+Port Calder, SC  github.com/ann
+SUMMARY
+Builds things.
+EXPERIENCE
+Acme Corp 2020 - Present
+Engineer
+• Cut cost
+short
+Ran the whole platform of the firm
+Other Inc Jan 2018 - Mar 2019
+Analyst
+EDUCATION
+BSc, b.s in Maths
+Town College
+Class of 2017
+Certifications:
+- PMP
+Academic background
+none
+PROJECTS
+Rocket
+• flies
+• far
+Boat
+"""
+    r = spark.createDataFrame([(t,), (None,), ("",)], "a string").select(resume_text.parsed_text(A).alias("r")).collect()
+    x = r[0].r
+    assert (x.personal_info.name, x.personal_info.email, x.personal_info.phone, x.personal_info.location, x.personal_info.github) == ("Ann Lee", "ann@mail.example", "555-123-4567", "Port Calder, SC", "github.com/ann")
+    assert x.summary == "Builds things."
+    assert [(p.title, p.company, p.bullets) for p in x.positions] == [("Engineer", "Acme Corp 2020 - Present", ["Cut cost", "Ran the whole platform of the firm"]), ("Analyst", "Other Inc Jan 2018 - Mar 2019", [])]
+    assert [tuple(e) for e in x.education] == [("BSc, b.s in Maths", "Town College", "2017")]
+    assert x.certifications == ["PMP"] and [tuple(p) for p in x.projects] == [("Rocket", "flies far"), ("Boat", "")]
+    assert r[1].r.positions == [] and r[2].r.personal_info.name == ""
