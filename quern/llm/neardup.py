@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -306,14 +307,14 @@ def _sketches(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.stack([low, high], axis=1).view(np.uint64)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (band, class, low, high) to pairs of classes; groups over BLOCK come out as rows of blocks instead."""
+def _compare(batches: Iterator[pa.RecordBatch], size_of_block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Sorted (band, class, low, high) to pairs of classes; groups over a block come out as rows of blocks instead."""
     rest = [np.zeros(0, np.int64)] * 4
     deferred: tuple[int, int] | None = None  # band of a large group under way, rows of it given out
 
     def give_out(x: list[np.ndarray], done: int) -> pa.RecordBatch:
         k, c, low, high = x
-        block = ((np.arange(len(k)) + done) // BLOCK).astype(np.int32)
+        block = ((np.arange(len(k)) + done) // size_of_block).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(k), pa.array(block), pa.array(low), pa.array(high)], names=_NAMES)
 
     for columns in _gathered(batches):
@@ -330,7 +331,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             deferred = None
         k = x[0]
         tail = int(np.searchsorted(k, k[-1]))  # the last group may go on
-        if len(k) - tail > BLOCK:
+        if len(k) - tail > size_of_block:
             yield give_out([y[tail:] for y in x], 0)
             deferred = (int(k[-1]), len(k) - tail)
             rest = [y[:0] for y in x]
@@ -338,9 +339,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = [y[tail:] for y in x]
         heads = np.flatnonzero(np.append(True, k[1:tail] != k[: tail - 1])) if tail else np.zeros(0, int)
         sizes = np.diff(np.append(heads, tail))
-        for h, size in zip(heads[sizes > BLOCK], sizes[sizes > BLOCK]):
+        for h, size in zip(heads[sizes > size_of_block], sizes[sizes > size_of_block]):
             yield give_out([y[h : h + size] for y in x], 0)
-        small = np.repeat(sizes <= BLOCK, sizes) if tail else np.zeros(0, bool)
+        small = np.repeat(sizes <= size_of_block, sizes) if tail else np.zeros(0, bool)
         kk, cc, low, high = (y[:tail][small] for y in x)
         i, j = near_in_groups(kk, _sketches(low, high), RADIUS)
         yield _found(cc[i], cc[j])
@@ -374,9 +375,9 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield flush(rest)
 
 
-def close_sketches(bands: DataFrame) -> DataFrame:
+def close_sketches(bands: DataFrame, size_of_block: int = BLOCK) -> DataFrame:
     """a, b (a < b): classes that share a band and whose sketches are within RADIUS."""
-    found = kept(bands.repartition("band").sortWithinPartitions("band", "class").mapInArrow(_compare, _FOUND), "sketch-pairs")
+    found = kept(bands.repartition("band").sortWithinPartitions("band", "class").mapInArrow(partial(_compare, size_of_block=size_of_block), _FOUND), "sketch-pairs")
     pairs = found.where("band is null").select("a", "b")
     large = found.where("band is not null")
     blocks = large.groupBy("band").agg((F.max("block") + 1).alias("n"))
@@ -396,9 +397,9 @@ def _jaccard(x: Column, y: Column) -> Column:
     return both / (F.size(x) + F.size(y) - both)
 
 
-def similar_classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar_classes(sets: DataFrame, similarity: float = SIMILARITY, size_of_block: int = BLOCK) -> DataFrame:
     """a, b (a < b): classes whose words have at least this similarity, checked exactly."""
-    pairs = close_sketches(banded(sets))
+    pairs = close_sketches(banded(sets), size_of_block)
     words = sets.select("class", "words").dropDuplicates(["class"])
     return (
         pairs.join(words.select(F.col("class").alias("a"), F.col("words").alias("x")), "a")

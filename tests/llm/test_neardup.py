@@ -67,33 +67,19 @@ def test_pairs(spark):
     assert n.similar_pairs(sets.limit(0)).count() == 0
 
 
-def test_hot_group(spark, monkeypatch):
-    """A group over BLOCK goes through blocks, with the same result."""
+def test_hot_group(spark):
+    """Groups over a block go through tasks of their own, with the same result."""
     rng = random.Random(2)
     base = [f"x{k}" for k in range(60)]
-    rows = [(k, "t", "c", " ".join(rng.sample(base, 57))) for k in range(90)]
-    sets = n.word_sets(spark.createDataFrame(rows, SCHEMA), "id", n.FIELDS, "job_description").coalesce(1)
-    bands = n.banded(sets).toPandas().sort_values(["band", "class"])
-    import pyarrow as pa
-
-    batch = [pa.RecordBatch.from_pandas(bands.iloc[a : a + 70], preserve_index=False) for a in range(0, len(bands), 70)]
-    whole = pa.Table.from_batches(list(n._compare(iter(batch)))).to_pandas()
-    assert whole["band"].isna().all()
-    monkeypatch.setattr(n, "BLOCK", 16)
-    table = pa.Table.from_batches(list(n._compare(iter(batch))))
-    some = table.column("band").is_valid()
-    large = table.filter(some).to_pandas()
-    assert len(large) and large["block"].max() > 2 and not large.duplicated(["band", "a"]).any()
-    tasks = []
-    for band, g in large.groupby("band"):
-        for i in range(int(g["block"].max()) + 1):
-            for j in range(i, int(g["block"].max()) + 1):
-                part = g[g["block"].isin([i, j])].sort_values("block", kind="stable")
-                tasks += [(int(band), i, j, int(r.block), int(r.a), int(r.low), int(r.high)) for r in part.itertuples()]
-    t = pa.RecordBatch.from_pylist([dict(zip("pqrstuv", x)) for x in tasks])
-    more = pa.Table.from_batches(list(n._compare_blocks(iter([t.slice(a, 50) for a in range(0, t.num_rows, 50)])))).to_pandas()
-    pair = lambda f: set(zip(f["a"], f["b"]))
-    assert pair(table.filter(table.column("band").is_null()).to_pandas()) | pair(more) == pair(whole)
+    rows = [(k, "t", "c", " ".join(rng.sample(base, 57))) for k in range(90)] + [(100 + k, *r[1:]) for k, r in enumerate(adverts(3, 10))]
+    sets = n.word_sets(spark.createDataFrame(rows, SCHEMA), "id", n.FIELDS, "job_description")
+    pairs = lambda **k: sorted(map(tuple, n.similar_classes(sets, **k).collect()))
+    whole = pairs()
+    assert len(whole) > 3000
+    assert pairs(size_of_block=16) == whole
+    bands = n.banded(sets)
+    for size in (1, 7, 89, 10_000):
+        assert sorted(map(tuple, n.close_sketches(bands, size).collect())) == sorted(map(tuple, n.close_sketches(bands).collect()))
 
 
 def test_classes_and_groups(spark):
