@@ -103,15 +103,18 @@ def match_score(required: Column, preferred: Column, resume: Column, experience:
     return bound(parts, weighed)
 
 
-def has_skill(skill: Column, resume: Column) -> Column:
+def has_skill(skill: Column, resume: Column, names: Column) -> Column:
     """Skill is in the resume: the same, the same canonical name, or, from four characters on, one in the other.
 
-    resume: lower-case, stripped skills.
+    resume: lower-case, stripped skills; names: their canonical names.
     """
     s = F.lower(F.regexp_replace(skill, r"^\s+|\s+$", ""))
-    name = canonical(normalise_skill(skill))
-    near = F.exists(resume, lambda r: F.contains(r, s) | F.contains(s, r))
-    return F.array_contains(resume, s) | F.array_contains(resume, name) | F.exists(resume, lambda r: canonical(normalise_skill(r)) == name) | ((F.length(s) >= 4) & near)
+
+    def found(x: Column) -> Column:
+        near = F.exists(resume, lambda r: F.contains(r, x["s"]) | F.contains(x["s"], r))
+        return F.array_contains(resume, x["s"]) | F.array_contains(resume, x["name"]) | F.array_contains(names, x["name"]) | ((F.length(x["s"]) >= 4) & near)
+
+    return bound(F.struct(s.alias("s"), canonical(normalise_skill(skill)).alias("name")), found)
 
 
 def skill_gap(required: Column, preferred: Column, resume: Column) -> Column:
@@ -119,10 +122,13 @@ def skill_gap(required: Column, preferred: Column, resume: Column) -> Column:
     have = F.transform(none_as_empty(resume), lambda s: F.lower(F.regexp_replace(s, r"^\s+|\s+$", "")))
     n = F.size(none_as_empty(required))
 
-    def split(have: Column) -> Column:
-        hit = lambda a: F.filter(none_as_empty(a), lambda s: has_skill(s, have))
-        miss = lambda a: F.filter(none_as_empty(a), lambda s: ~has_skill(s, have))
-        return F.struct(hit(required).alias("r"), hit(preferred).alias("p"), miss(required).alias("mr"), miss(preferred).alias("mp"))
+    def split(x: Column) -> Column:
+        mark = lambda a: F.transform(none_as_empty(a), lambda s: F.struct(s.alias("s"), has_skill(s, x["have"], x["names"]).alias("ok")))
+        return F.struct(mark(required).alias("r"), mark(preferred).alias("p"))
+
+    def sorted_out(x: Column) -> Column:
+        pick = lambda a, ok: F.transform(F.filter(a, lambda m: m["ok"] == F.lit(ok)), lambda m: m["s"])
+        return F.struct(pick(x["r"], True).alias("r"), pick(x["p"], True).alias("p"), pick(x["r"], False).alias("mr"), pick(x["p"], False).alias("mp"))
 
     def told(x: Column) -> Column:
         return F.struct(
@@ -132,4 +138,5 @@ def skill_gap(required: Column, preferred: Column, resume: Column) -> Column:
             F.slice(x["mr"], 1, 5).alias("priority_gaps"),
         )
 
-    return bound(bound(have, split), told)
+    named = lambda h: F.struct(h.alias("have"), F.transform(h, lambda r: canonical(normalise_skill(r))).alias("names"))
+    return bound(bound(bound(bound(have, named), split), sorted_out), told)

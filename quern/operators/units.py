@@ -8,7 +8,6 @@ converted by an equi-join on their source unit.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import deque
 from decimal import Decimal
 

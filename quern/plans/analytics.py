@@ -143,6 +143,12 @@ def _pairs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return t.join(j, "job_id").join(_resume_skills(spark, d), "resume_id")
 
 
+def _active_resume(spark: SparkSession, d: str) -> DataFrame:
+    """The active resume of least id with its skills: one row at most."""
+    _, active = resume_for_domain(table(spark, d, "master_resumes").select("id", "domain", "is_sample", "is_active"))
+    return _resume_skills(spark, d).join(F.broadcast(active.withColumnRenamed("active_resume", "resume_id")), "resume_id")
+
+
 def _list(c: Column) -> Column:
     return F.array_join(c, "|")
 
@@ -190,7 +196,7 @@ def c04_skill_gap(spark: SparkSession, d: str) -> DataFrame:
 
 def j06_score_for_active(spark: SparkSession, d: str) -> DataFrame:
     """One resume against all adverts: the single row is broadcast."""
-    one = _resume_skills(spark, d).where("resume_id = 7")
+    one = _active_resume(spark, d)
     j = table(spark, d, "jobs").select("id", "required_skills")
     return j.crossJoin(F.broadcast(one)).select("id", F.round(skills.skill_match(F.col("required_skills"), F.col("resume_skills"))["score"], 6).alias("score"))
 
@@ -290,7 +296,7 @@ def c07_document_kinds(spark: SparkSession, d: str) -> DataFrame:
 def c11_analysis(spark: SparkSession, d: str) -> DataFrame:
     """C11: new adverts with a text: skills, domain and score for the active resume; one chain without shuffle."""
     find = extract.phrase_finder(dictionary(spark, d))
-    one = _resume_skills(spark, d).where("resume_id = 7")
+    one = _active_resume(spark, d)
     j = heavy(spark, d, "jobs", "id", "job_title", "job_description", "status").where((F.col("status") == "new") & (F.length(F.trim("job_description")) > 0)).select("id", "job_title", "job_description")
     names = lambda h: F.array_distinct(F.transform(h, lambda x: x["phrase"]))
     s = j.withColumn("s", extract.sections(F.col("job_description"))).withColumn("r", names(find(F.col("s.required")))).withColumn("p", F.array_except(names(find(F.col("s.preferred"))), "r"))

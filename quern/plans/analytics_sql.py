@@ -197,7 +197,7 @@ SQL = {
         g AS (SELECT tailored_id, a, list_filter(a, lambda s: NOT {gap_hit('s', 'have')}) AS miss, list_filter(p, lambda s: NOT {gap_hit('s', 'have')}) AS pm FROM h)
         SELECT tailored_id, {_LIST.format(a='miss')} AS missing, len(pm)::INT AS n_missing_preferred, CASE WHEN len(a) > 0 THEN round((len(a) - len(miss)) / len(a) * 100, 1) ELSE 100.0 END AS match_percentage,
         {_LIST.format(a='miss[1:5]')} AS first_gaps FROM g""",
-    "j06_score_for_active": f"WITH {SKILLS}, one AS (SELECT j2.id, j2.required_skills, rs.resume_skills FROM jobs j2, rs WHERE rs.resume_id = 7), {match('one')} SELECT id, {SCORE} AS score FROM m",
+    "j06_score_for_active": f"WITH {SKILLS}, one AS (SELECT j2.id, j2.required_skills, rs.resume_skills FROM jobs j2, rs WHERE rs.resume_id = (SELECT min(id) FROM master_resumes WHERE is_active)), {match('one')} SELECT id, {SCORE} AS score FROM m",
     "c12_candidates": f"""WITH {SKILLS}, own AS (SELECT domain, max(id) AS k FROM master_resumes WHERE NOT is_sample AND domain IS NOT NULL GROUP BY domain),
         cand AS (SELECT jb.id, jb.required_skills, coalesce(own.k, (SELECT min(id) FROM master_resumes WHERE is_active)) AS resume_id FROM jobs jb LEFT JOIN own ON own.domain = jb.domain
           WHERE status = 'analyzed' AND NOT EXISTS (SELECT 1 FROM tailored_resumes t WHERE t.job_id = jb.id)),

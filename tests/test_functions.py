@@ -22,7 +22,7 @@ def test_text(spark):
         (text.is_noise(c), "5+ years", True), (text.is_noise(c), "Remote", True), (text.is_noise(c), "sql", False), (text.looks_technical(c), "the", False), (text.looks_technical(c), "h2", True),
         (text.clean_skill(c), " Python skills and", "python skills"), (text.clean_skill(c), "Requirements:", ""), (text.clean_skill(c), "SQL experience.", "sql"), (text.printable_cp1252(c), "a→é", "a?é"),
         (text.split_list(c), " , ", None), (text.title_case(c), "o'neil data-eng", "O'Neil Data-Eng"), (text.without_markdown(c), '"**a**"', "a"), (text.voice(c), "I my me", "first_person"),
-        (text.voice(c), None, "no_pronouns"), (text.salary_text(c), " N/A ", None), (text.salary_text(c), " 5 ", "5"),
+        (text.voice(c), None, "no_pronouns"), (text.salary_text(c), " N/A ", None), (text.salary_text(c), " 5 ", "5"), (text.json_or_text(c), '"a\\n"', "a\n"), (text.json_or_text(c), "{bad", "{bad"), (text.json_or_text(c), None, None),
     ]
     for i, (e, given, want) in enumerate(cases):
         assert one(spark, e, c=given) == want, (i, given)

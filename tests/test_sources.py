@@ -76,3 +76,12 @@ def test_admission_stream(spark, tmp_path):
     out = streams.replay(streams.admitted(streams.stream_of(spark, str(tmp_path / "c")), "k", "ts", 2), "admit")
     base = int(at(0).timestamp() * 1e6)
     assert sorted((r.k, r.admitted_at - base) for r in out.collect()) == [("j", 0), ("k", 0), ("k", 10_000_000), ("k", 60_000_001)]
+
+
+def test_log_and_first_postings(spark, tmp_path):
+    (tmp_path / "app.log").write_bytes(b"a ERROR\n\xff b\n")
+    assert [r.line[0] for r in readers.read_log(spark, str(tmp_path / "app.log")).collect()] == ["a", "\ufffd"]
+    at = lambda s: datetime.datetime(2025, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(seconds=s)
+    spark.createDataFrame([("u", at(0)), ("u", at(5)), ("v", at(1))], "application_url string, date_scraped timestamp").coalesce(1).write.parquet(str(tmp_path / "p"))
+    got = streams.replay(streams.first_by_url(streams.stream_of(spark, str(tmp_path / "p")), "date_scraped"), "first").collect()
+    assert sorted(r.application_url for r in got) == ["u", "v"]
