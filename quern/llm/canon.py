@@ -179,11 +179,12 @@ class Reference:
         if not best:
             whole = "".join(ws)
             near = self.wholes.search(whole) if len(ws) <= 6 else {}
-            # also a form run together inside a longer value
+            # also a form run together inside a longer value; what may be a misspelt word is one only if exact
             for w in ws:
                 if len(w) > 5:
                     for g, d in self.wholes.search(w).items():
-                        near[g] = min(d, near.get(g, 99))
+                        if not d or not self._word(w):
+                            near[g] = min(d, near.get(g, 99))
             for g, d in near.items():
                 if len(self.whole_ids[g]) == 1:
                     (i,) = self.whole_ids[g]

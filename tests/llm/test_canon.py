@@ -8,7 +8,7 @@ from quern.llm.canon import Lists, Trie, fold, map_values, most_edits, typed_val
 LIST = [
     (1, "job_title", "Data Engineer", []), (2, "job_title", "Senior Data Engineer", []), (3, "job_title", "Recruiter", ["Talent Partner"]), (4, "job_title", "Junior Recruiter", ["Junior Talent Partner"]),
     (5, "location", "Kutor, QH", ["Kutor, Quarrin Hills"]), (6, "location", "Kutor, WR", ["Kutor, West Rhys"]), (7, "location", "São Velmo, LU", ["São Velmo, Lusmere"]), (8, "location", "Remote", ["WFH"]),
-    (9, "skill", "Python", ["py"]), (10, "skill", "Apache Spark", ["PySpark"]), (11, "skill", "Docker", []), (12, "skill", "Lean Manufacturing", []), (13, "skill", "Java", []),
+    (20, "job_title", "Machine Learning Engineer", ["ML Engineer"]), (9, "skill", "Python", ["py"]), (10, "skill", "Apache Spark", ["PySpark"]), (11, "skill", "Docker", []), (12, "skill", "Lean Manufacturing", []), (13, "skill", "Java", []),
 ]
 
 
@@ -44,7 +44,7 @@ def test_trie_against_all_words():
     ("kind", "value", "want"),
     [
         ("job_title", "Sr. Data Engr", 2), ("job_title", "ENGINEER (Senior Data)", 2), ("job_title", "We hire: Data Enigneer!", 1), ("job_title", "Jr Talent Partner | 3 openings", 4),
-        ("job_title", "Sеniоr Ｄａｔａ Engineer", 2), ("job_title", "Glass Blower", None), ("job_title", "Data Entry Clerk", None), ("location", "Kutor", None), ("location", "WR - Kuttor", 6), ("location", "sao velmo metro", 7),
+        ("job_title", "Sеniоr Ｄａｔａ Engineer", 2), ("job_title", "Glass Blower", None), ("job_title", "Data Entry Clerk", None), ("job_title", "Junior Zzzz Engineer", None), ("job_title", "MLEngineer wanted", 20), ("location", "Kutor", None), ("location", "WR - Kuttor", 6), ("location", "sao velmo metro", 7),
         ("location", "Home office / remote", 8), ("location", "Kutor West Rhys 12345", 6), ("skill", "exp. with Pyhton", 9), ("skill", "spark plugs", None), ("skill", "LeanManufacturing", 12), ("skill", "dock work", None),
         ("skill", "Javanese", None), ("skill", "Java", 13), ("skill", "• PySpark;", 10), ("skill", "", None), ("skill", "\u200b", None), ("nothing", "Java", None), ("skill", "x" * 100_000, None), ("skill", "java " * 20_000, 13),
     ],
