@@ -435,11 +435,11 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
 def c18_log_summary(spark: SparkSession, d: str) -> DataFrame:
     """What a log says in one pass of aggregates."""
     line = F.col("line")
-    number = lambda p: F.sum(F.coalesce(F.regexp_extract(line, p, 1).try_cast("int"), F.lit(0)))
+    number = lambda p, has: F.sum(F.when(line.contains(has), F.coalesce(F.regexp_extract(line, p, 1).try_cast("int"), F.lit(0))).otherwise(0))
     return log_lines(spark, d).agg(
         F.count_if(line.contains("ERROR")).alias("errors"), F.count_if(line.contains("WARNING")).alias("warnings"),
         F.count_if(line.contains("ERROR") & (line.contains("429") | F.lower("line").contains("quota"))).alias("quota_errors"),
-        number(r"(\d+) saved,").alias("saved"), number(r"(\d+) updated,").alias("updated"),
+        number(r"(\d+) saved,", "saved").alias("saved"), number(r"(\d+) updated,", "updated").alias("updated"),
     )
 
 
