@@ -18,6 +18,7 @@ QUERIES = {
     "p8_shares": mixture.p8_shares,
     "p9_found": spans.p9_found,
     "p9_share": spans.p9_share,
+    "p9_clusters": spans.p9_clusters,
 }
 
 #: All windows of 200 characters; a shared one covers up to the next shared one of its text, the last all of it.

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm.neardup import components
 from quern.session import heavy, kept, table
 
 #: Least length of a shared span, and of the shingles from which anchors are taken, in code points.
@@ -131,20 +132,20 @@ def runs(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, first int, windows int, anchor long, same long")
 
 
-def _stretches(doc: np.ndarray, at: np.ndarray, span: int) -> pa.RecordBatch:
-    """Windows, sorted by text and place, as stretches of the text."""
+def _stretches(doc: np.ndarray, at: np.ndarray, least: np.ndarray, span: int) -> pa.RecordBatch:
+    """Windows as stretches of their text; least: the least document that has the window."""
+    o = np.lexsort((at, doc))
+    doc, at, least = doc[o], at[o], least[o]
+    lo, hi = at, at + span
     if len(doc):
-        o = np.lexsort((at, doc))
-        doc, at = doc[o], at[o]
-        head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)))
+        head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1) | (least[1:] != least[:-1])))
         tail = np.append(head[1:], len(doc)) - 1
-        doc, lo, hi = doc[head], at[head], at[tail] + span
-    else:
-        lo = hi = at
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["doc_id", "lo", "hi"])
+        doc, lo, hi, least = doc[head], at[head], at[tail] + span, least[head]
+    columns = [pa.array(x.astype(t)) for x, t in ((doc, np.int64), (lo, np.int32), (hi, np.int32), (least, np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "lo", "hi", "least_id"])
 
 
-_LO_HI = "doc_id long, lo int, hi int"
+_LO_HI = "doc_id long, lo int, hi int, least_id long"
 
 
 def _windows(texts: list[str], first: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,8 +171,9 @@ def _settle(span: int):  # noqa: ANN202
             g, x, d = group[o], h[o], doc[o]
             head = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]))) if len(o) else np.zeros(0, int)
             tail = np.append(head[1:], len(o)) - 1
-            shared = np.repeat(d[head] != d[tail], np.diff(np.append(head, len(o)))) if len(o) else np.zeros(0, bool)
-            return _stretches(d[shared], at[o][shared], span)
+            size = np.diff(np.append(head, len(o)))
+            shared = np.repeat(d[head] != d[tail], size) if len(o) else np.zeros(0, bool)
+            return _stretches(d[shared], at[o][shared], np.repeat(d[head], size)[shared], span)
 
         rest: pa.Table | None = None
         for b in batches:
@@ -194,16 +196,17 @@ def _settle(span: int):  # noqa: ANN202
 
 
 def shared_stretches(documents: DataFrame, span: int = SPAN, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """doc_id, lo, hi: stretches of texts, which may overlap, of which every window lies in another document too."""
+    """doc_id, lo, hi, least_id: stretches of texts, which may overlap, of which every window lies in another document too;
+    least_id is the least document that has these windows."""
     r = runs(documents, span, gram)
     anchors = (
         r.groupBy("anchor")
         .agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.min("same").alias("x"), F.max("same").alias("y"), F.count("*").alias("n_runs"))
         .where("one <> other")
-        .select("anchor", (F.col("x") == F.col("y")).alias("alike"), (F.col("n_runs") > hot_runs).alias("hot"))
+        .select("anchor", F.col("one").alias("least_id"), (F.col("x") == F.col("y")).alias("alike"), (F.col("n_runs") > hot_runs).alias("hot"))
     )
     live = kept(r.join(anchors, "anchor"), "runs")
-    alike = live.where("alike").select("doc_id", F.col("first").alias("lo"), (F.col("first") + F.col("windows") - 1 + span).alias("hi"))
+    alike = live.where("alike").select("doc_id", F.col("first").alias("lo"), (F.col("first") + F.col("windows") - 1 + span).alias("hi"), "least_id")
     # the text of the other runs, from a second reading of their documents
     wanted = live.where("not alike").groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "anchor", "hot")).alias("cut"))
     bodies = (
@@ -224,8 +227,8 @@ def shared_stretches(documents: DataFrame, span: int = SPAN, gram: int = GRAM, h
                 )
 
     each = bodies.where("hot").select("anchor", "doc_id", "first", "body").mapInArrow(spell_out, "anchor long, doc_id long, lo int, h long")
-    twice = each.groupBy("anchor", "h").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).where("one <> other").select("anchor", "h")
-    hot = each.join(twice, ["anchor", "h"]).select("doc_id", "lo", (F.col("lo") + span).alias("hi"))
+    twice = each.groupBy("anchor", "h").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).where("one <> other").select("anchor", "h", F.col("one").alias("least_id"))
+    hot = each.join(twice, ["anchor", "h"]).select("doc_id", "lo", (F.col("lo") + span).alias("hi"), "least_id")
     return alike.unionByName(cold).unionByName(hot)
 
 
@@ -242,6 +245,21 @@ def shared_chars(documents: DataFrame, span: int = SPAN, gram: int = GRAM, hot_r
     return s.select("doc_id", fresh.alias("fresh")).groupBy("doc_id").agg(F.sum("fresh").cast("long").alias("shared_chars"))
 
 
+def clusters(documents: DataFrame, span: int = SPAN, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """doc_id, cluster_id: documents that share spans, directly or through others, with the least document of theirs.
+
+    Each shared stretch links a document with the least one that has it, so a passage in n documents makes n - 1 links.
+    """
+    links = shared_stretches(documents, span, gram, hot_runs).where("doc_id <> least_id").select(F.col("doc_id").alias("a"), F.col("least_id").alias("b"))
+    return components(links.distinct()).select(F.col("node").alias("doc_id"), F.col("group").alias("cluster_id"))
+
+
+def p9_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Removals by component: every document of a cluster but its least one is marked."""
+    found = clusters(heavy(spark, folder, "documents", "doc_id", "text").where(F.length("text") >= SPAN))
+    return found.withColumn("remove", F.col("doc_id") != F.col("cluster_id"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_chars(heavy(spark, folder, "documents", "doc_id", "text").where(F.length("text") >= SPAN))
 

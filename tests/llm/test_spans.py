@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm.spans import Prefixes, points_of, runs_of, shared_chars, sliding_min
+from quern.llm.spans import Prefixes, clusters, points_of, runs_of, shared_chars, sliding_min
 
 
 def by_force(docs, span):
@@ -42,6 +42,20 @@ def test_against_all_windows(spark, span, gram, hot):
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, shared_chars int")
     got = {r.doc_id: r.shared_chars for r in shared_chars(d, span, gram, hot).collect()}
     assert got == by_force(docs, span)
+    group = {i: i for i, _ in docs}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    seen = {}
+    for i, t in docs:
+        for k in range(len(t or "") - span + 1):
+            a, b = sorted((top(i), top(seen.setdefault(t[k : k + span], i))))
+            group[b] = a
+    want = {i: top(i) for i in got}
+    assert {r.doc_id: r.cluster_id for r in clusters(d, span, gram, hot).collect()} == want
 
 
 def test_edges(spark):
