@@ -62,7 +62,7 @@ def mixture(sizes: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: in
         raise ValueError(f"over {MOST_SOURCES} targets, or two for one source")
     share = {r.source: r.target_share for r in wanted if (r.target_share or 0) > 0 and (r.max_repeats or 0) >= 1}
     repeats = {r.source: r.max_repeats for r in wanted if r.source in share}
-    usable = sizes.where((F.col("n_tokens") > 0) & F.col("source").isin(list(share)))
+    usable = sizes.select("doc_id", "source", "n_tokens").where((F.col("n_tokens") > 0) & F.col("source").isin(list(share)))
     # pre-aggregated by the finest shards: at most sources x MOST_SHARDS rows reach the driver
     fine = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(MOST_SHARDS)).cast("int")
     cells = usable.withColumn("cell", fine).groupBy("source", "cell").agg(F.sum("n_tokens").alias("tokens")).collect()

@@ -31,8 +31,8 @@ def test_apportionment():
 def test_shares(spark):
     rng = random.Random(1)
     docs = [(i, s, rng.randint(20, 400)) for i, s in enumerate(["big"] * 3000 + ["mid"] * 600 + ["small"] * 60 + ["none"] * 50)] + [(9001, "big", 0), (9002, None, 50), (9003, "mid", None)]
-    sizes = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, source string, n_tokens long, copies int").drop("copies")
-    targets = spark.createDataFrame([("big", 0.6, 2, 0), ("mid", 0.3, 1, 0), ("small", 0.05, 4, 0), ("absent", 0.05, 3, 0), (None, 0.1, 1, 0), ("zero", 0.0, 1, 0)], TARGETS).drop("n_tokens")
+    sizes = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], "doc_id long, source string, n_tokens long, copies int, cell int, shard int")
+    targets = spark.createDataFrame([("big", 0.6, 2, 0), ("mid", 0.3, 1, 0), ("small", 0.05, 4, 0), ("absent", 0.05, 3, 0), (None, 0.1, 1, 0), ("zero", 0.0, 1, 0)], TARGETS)
     mix, report = mixture(sizes, targets, blocks=2000)
     r = {x.source: x for x in report.collect()}
     assert r["absent"].mixed_tokens == 0 and r["zero"].mixed_tokens == 0 and set(r) == {"big", "mid", "small", "absent", "zero"}
