@@ -107,9 +107,9 @@ def is_noise(c: Column) -> Column:
 
 # Common words that are no technology.
 PLAIN_WORDS = (
-    "the and for with your our their have has been will from this that these those team role work join help build new use "
-    "using based strong good"
-).split()
+    "the", "and", "for", "with", "your", "our", "their", "have", "has", "been", "will", "from", "this", "that", "these", "those",
+    "team", "role", "work", "join", "help", "build", "new", "use", "using", "based", "strong", "good",
+)
 
 
 def looks_technical(c: Column) -> Column:
@@ -181,7 +181,8 @@ def contacts(c: Column) -> Column:
 
 def json_or_text(c: Column) -> Column:
     """A JSON string's text, any other JSON as it is, what is no JSON as it is."""
-    return F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v"), c)
+    quoted = F.ltrim(c).startswith('"')
+    return F.coalesce(F.when(quoted, F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")), c)
 
 
 def salary_text(c: Column) -> Column:

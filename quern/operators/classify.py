@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+import uuid
+from collections import Counter
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import EMAIL, PHONE, bound
 
-#: Keywords of the domains of the test tables; a parameter of domain_of().
+#: Keywords of the domains of the test tables; domain_finder() takes any table of them.
 DOMAIN_KEYWORDS = {
     "tech": ("python", "terraform", "docker", "linux", "git", "golang", "graphql", "kubernetes", "developer", "platform", "incident response", "network"),
     "data": ("sql", "statistics", "data warehousing", "data modelling", "machine learning", "analyst", "data", "datasets", "dashboards"),
@@ -19,36 +26,73 @@ DOMAIN_KEYWORDS = {
 TITLE_WEIGHT = 3
 
 
-def domain_of(title: Column, body: Column, keywords: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """struct(domain, confidence, best, total): the domain with most hits, three for one in the title.
+MOST_KEYWORDS = 200_000
+_VOTES = T.StructType([T.StructField("domain", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("best", T.IntegerType()), T.StructField("total", T.IntegerType())])
+_WORDS = re.compile(r"\w+")
+
+
+def keyword_table(spark: SparkSession, keywords: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """domain, keyword of the test tables' domains, or of keywords."""
+    return spark.createDataFrame([(d, k) for d, ks in (keywords or DOMAIN_KEYWORDS).items() for k in ks], "domain string, keyword string")
+
+
+class Ballot:
+    """Counts the keywords of all domains in a text at once, however many there are."""
+
+    def __init__(self, rows: list[tuple[str, str]]) -> None:
+        self.domains = list(dict.fromkeys(d for d, _ in rows))
+        self.single: dict[str, list[str]] = {}
+        self.longer: dict[str, list[tuple[re.Pattern, str]]] = {}
+        for d, k in dict.fromkeys((d, k.lower()) for d, k in rows):
+            if _WORDS.fullmatch(k):
+                self.single.setdefault(k, []).append(d)
+            else:  # sought only where its first word stands
+                first = _WORDS.search(k)
+                self.longer.setdefault(first.group() if first else "", []).append((re.compile(rf"\b{re.escape(k)}\b"), d))
+
+    def count(self, text: str, weight: int, into: Counter) -> None:
+        low = text.lower()
+        words = Counter(_WORDS.findall(low))
+        for k in words.keys() & self.single.keys():
+            for d in self.single[k]:
+                into[d] += weight * words[k]
+        for k in ["", *(words.keys() & self.longer.keys())]:
+            for pattern, d in self.longer.get(k, ()):
+                into[d] += weight * len(pattern.findall(low))
+
+    def decide(self, title: str | None, body: str | None) -> tuple[str, float, int, int]:
+        votes: Counter = Counter()
+        self.count(title or "", TITLE_WEIGHT, votes)
+        self.count(body or "", 1, votes)
+        best, total = max(votes.values(), default=0), sum(votes.values())
+        winners = [d for d, n in votes.items() if n == best]
+        return (winners[0], best / total, best, total) if best and len(winners) == 1 else ("other", 0.0, best, total)
+
+
+_ballots: dict[str, Ballot] = {}
+
+
+def domain_finder(keywords: DataFrame) -> Callable[[Column, Column], Column]:
+    """A function of title and text to struct(domain, confidence, best, total): the domain with most hits, three for one in the title.
 
-    Hits are whole words, counted in the JVM; a domain's keywords each count for themselves. No hit, or two domains with most,
-    give 'other' and confidence 0, else the confidence is the winner's part of all hits, four decimals. Null texts are empty.
+    keywords: domain, keyword; over MOST_KEYWORDS rows raise ValueError, so sending them to all workers is safe. Hits are whole
+    words; each keyword counts for itself, one of two domains for both. No hit, or two domains with most, give 'other' and
+    confidence 0, else the confidence is the winner's part of all hits. Null texts are empty.
     """
-    low = F.struct(F.lower(F.coalesce(title, F.lit(""))).alias("t"), F.lower(F.coalesce(body, F.lit(""))).alias("b"))
-    quote = lambda k: "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in k)
-
-    def hits(text: Column, words: tuple[str, ...]) -> Column:
-        out = F.lit(0)
-        for w in words:
-            # a search for bytes first: most keywords aren't there, and the pattern costs far more
-            out = out + F.when(F.contains(text, F.lit(w)), F.regexp_count(text, F.lit(rf"\b{quote(w)}\b"))).otherwise(0)
-        return out
-
-    names = keywords or DOMAIN_KEYWORDS
-    scored = lambda x: F.array(*[F.struct((hits(x["t"], ws) * TITLE_WEIGHT + hits(x["b"], ws)).alias("s"), F.lit(d).alias("d")) for d, ws in names.items()])
-
-    def decide(x: Column) -> Column:
-        """x: the scores, their best and their sum."""
-        top = F.filter(x["scores"], lambda y: y["s"] == x["best"])
-        clear = (x["best"] > 0) & (F.size(top) == 1)
-        return F.struct(
-            F.when(clear, top[0]["d"]).otherwise("other").alias("domain"), F.when(clear, F.round(x["best"] / x["total"], 4)).otherwise(0.0).alias("confidence"),
-            x["best"].alias("best"), x["total"].alias("total"),
-        )
-
-    summed = lambda x: F.struct(x.alias("scores"), F.array_max(F.transform(x, lambda y: y["s"])).alias("best"), F.aggregate(x, F.lit(0), lambda a, y: a + y["s"]).alias("total"))
-    return bound(bound(low, scored), lambda x: bound(summed(x), decide))
+    rows = keywords.select("domain", "keyword").dropna().limit(MOST_KEYWORDS + 1).collect()
+    if len(rows) > MOST_KEYWORDS:
+        raise ValueError(f"over {MOST_KEYWORDS} keywords")
+    held, key = keywords.sparkSession.sparkContext.broadcast([tuple(r) for r in rows]), uuid.uuid4().hex
+
+    @F.pandas_udf(_VOTES)
+    def decide(titles: pd.Series, bodies: pd.Series) -> pd.DataFrame:
+        if key not in _ballots:
+            _ballots.clear()
+            _ballots[key] = Ballot(held.value)
+        ballot = _ballots[key]
+        return pd.DataFrame([ballot.decide(t, b) for t, b in zip(titles, bodies)], columns=_VOTES.names)
+
+    return decide
 
 
 # Headings of resumes, and what speaks against one.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import sets
-from quern.functions.text import stripped, voice
+from quern.functions.text import bound, stripped, voice
 
 _SHAPE = (
     "professional_summary string, summary string, work_experience string, experience string, skills string, education string, "
@@ -148,14 +148,16 @@ FIGURES = r"(\d+\.?\d*\s*%?)"
 TOKENS = r"([A-Za-z][A-Za-z0-9+#./\-]{2,})"
 # Words that are no skill.
 COMMON_WORDS = (
-    "developed implemented designed built created managed led architected optimised optimized improved delivered deployed maintained "
-    "integrated automated reduced increased collaborated leveraged utilized utilised contributed supported established streamlined "
-    "migrated refactored ensured monitored diagnosed resolved documented tested reviewed analysed analyzed enhanced expanded launched "
-    "senior junior lead principal engineer developer application applications system systems service services solution solutions "
-    "platform infrastructure performance scalable robust reliable efficient modern best practices patterns standards processes workflow "
-    "workflows the and for with using via across within including through resulting enabling achieving rest api apis sdk sdks oop tdd "
-    "bdd cli ide saas paas iaas http https json xml csv sql nosql orm mvc mvp mvvm spa ssr"
-).split()
+    "developed", "implemented", "designed", "built", "created", "managed", "led", "architected", "optimised", "optimized", "improved", "delivered",
+    "deployed", "maintained", "integrated", "automated", "reduced", "increased", "collaborated", "leveraged", "utilized", "utilised", "contributed",
+    "supported", "established", "streamlined", "migrated", "refactored", "ensured", "monitored", "diagnosed", "resolved", "documented", "tested",
+    "reviewed", "analysed", "analyzed", "enhanced", "expanded", "launched", "senior", "junior", "lead", "principal", "engineer", "developer",
+    "application", "applications", "system", "systems", "service", "services", "solution", "solutions", "platform", "infrastructure", "performance",
+    "scalable", "robust", "reliable", "efficient", "modern", "best", "practices", "patterns", "standards", "processes", "workflow", "workflows",
+    "the", "and", "for", "with", "using", "via", "across", "within", "including", "through", "resulting", "enabling", "achieving", "rest", "api",
+    "apis", "sdk", "sdks", "oop", "tdd", "bdd", "cli", "ide", "saas", "paas", "iaas", "http", "https", "json", "xml", "csv", "sql", "nosql", "orm",
+    "mvc", "mvp", "mvvm", "spa", "ssr",
+)
 
 
 def new_skills(original: Column, modified: Column, known: Column) -> Column:
@@ -165,18 +167,44 @@ def new_skills(original: Column, modified: Column, known: Column) -> Column:
     """
     tokens = F.array_distinct(F.regexp_extract_all(modified, F.lit(TOKENS), 1))
     old = F.transform(F.regexp_extract_all(original, F.lit(TOKENS), 1), F.lower)
-    known_low = F.transform(sets.none_as_empty(known), F.lower)
+    known_low = F.transform(F.filter(sets.none_as_empty(known), lambda s: s.isNotNull()), F.lower)
     common = F.array(*[F.lit(w) for w in COMMON_WORDS])
     fresh = F.filter(tokens, lambda t: ~F.array_contains(old, F.lower(t)) & ~F.array_contains(known_low, F.lower(t)) & ~F.array_contains(common, F.lower(t)))
     return F.slice(F.array_sort(F.filter(fresh, lambda t: t.rlike(r"\d") | (t.rlike("^[A-Z]") & (F.length(t) > 4)))), 1, 5)
 
 
+def figures_lost(original: Column, modified: Column) -> Column:
+    """Whether a figure of original isn't in modified."""
+    return F.size(F.array_except(F.regexp_extract_all(original, F.lit(FIGURES), 1), F.regexp_extract_all(modified, F.lit(FIGURES), 1))) > 0
+
+
+def accepted(original: Column, modified: Column) -> Column:
+    """The changed text, or the original where nothing came back or a figure was lost."""
+    return F.when(F.coalesce(F.length(stripped(modified)), F.lit(0)) == 0, original).when(figures_lost(original, modified), original).otherwise(modified)
+
+
+def merged_bullets(old: Column, new: Column) -> Column:
+    """Bullets of each position of old, changed as new has them where that is accepted; places that new lacks stay.
+
+    Each is a struct(original, bullet, rejected).
+    """
+
+    def one(o: Column, m: Column) -> Column:
+        rejected = F.coalesce((o != m) & figures_lost(o, m), F.lit(False))
+        return F.struct(o.alias("original"), accepted(o, m).alias("bullet"), rejected.alias("rejected"))
+
+    def position(a: Column, b: Column) -> Column:
+        there = sets.none_as_empty(b["bullets"])
+        return F.slice(F.zip_with(a["bullets"], there, one), 1, F.size(a["bullets"]))
+
+    return F.flatten(F.slice(F.zip_with(old, new, position), 1, F.size(old)))
+
+
 def _checks(original: Column, modified: Column, known: Column | None, least: int, most: int, bullet: bool) -> Column:
     n = F.when(F.length(stripped(modified)) > 0, F.size(F.split(stripped(modified), r"\s+"))).otherwise(0)
     low = F.lower(modified)
-    lost = F.array_except(F.regexp_extract_all(original, F.lit(FIGURES), 1), F.regexp_extract_all(modified, F.lit(FIGURES), 1))
     named = {
-        "figures removed": F.size(lost) > 0 if bullet else F.lit(False),
+        "figures removed": figures_lost(original, modified) if bullet else F.lit(False),
         "too short": n < least, "too long": n > most,
         "unfit word": F.exists(F.array(*[F.lit(w) for w in UNFIT]), lambda w: F.contains(low, w)),
         "filler phrase": F.exists(F.array(*[F.lit(w) for w in FILLERS]), lambda w: F.contains(low, w)) if bullet else F.lit(False),
@@ -220,17 +248,45 @@ def best_bullets(bullets: Column, words: Column, n: int = 10) -> Column:
     return F.array_sort(F.transform(F.slice(ranked, 1, n), lambda x: x["i"]))
 
 
+def _fresh(skills: Column, words: Column, text: Column) -> Column:
+    low, have = F.lower(text), sets.lowered(skills)
+    wanted = F.filter(sets.none_as_empty(words), lambda w: w.isNotNull())
+    return F.filter(wanted, lambda w, i: F.contains(low, F.lower(w)) & ~F.array_contains(have, F.lower(w)) & (F.array_position(sets.lowered(wanted), F.lower(w)) == i + 1))
+
+
 def promoted(skills: Column, words: Column, text: Column) -> Column:
     """Skills with the words that text contains and skills lack (any case), in the words' order."""
-    low, have = F.lower(text), F.transform(skills, F.lower)
-    new = F.filter(sets.none_as_empty(words), lambda w, i: F.contains(low, F.lower(w)) & ~F.array_contains(have, F.lower(w)) & (F.array_position(sets.lowered(words), F.lower(w)) == i + 1))
-    return F.concat(skills, new)
+    return F.concat(skills, _fresh(skills, words, text))
+
+
+# The categories that take new skills, the first that a resume has; else one of this name is added.
+CATEGORIES = ("Frameworks and Libraries", "Frameworks", "Tools", "Technologies", "Libraries")
+OTHER_CATEGORY = "Additional Skills"
+
+
+def promoted_groups(groups: Column, words: Column, text: Column) -> Column:
+    """N04 for skills by category (map): new words go to the first of CATEGORIES that is there, else to OTHER_CATEGORY."""
+    have = F.filter(F.flatten(F.transform(F.map_values(groups), sets.none_as_empty)), lambda s: s.isNotNull())
+    names = F.map_keys(groups)
+    target = F.coalesce(F.try_element_at(F.filter(F.array(*[F.lit(c) for c in CATEGORIES]), lambda c: F.array_contains(names, c)), F.lit(1)), F.lit(OTHER_CATEGORY))
+
+    def grown(x: Column) -> Column:
+        there = F.transform_values(groups, lambda k, v: F.when(k == x["target"], F.concat(sets.none_as_empty(v), x["new"])).otherwise(v))
+        return F.when(F.size(x["new"]) == 0, groups).when(F.array_contains(names, x["target"]), there).otherwise(F.map_concat(groups, F.create_map(x["target"], x["new"])))
+
+    return bound(F.struct(_fresh(have, words, text).alias("new"), target.alias("target")), grown)
+
+
+def tailored_skills(skills: Column, groups: Column, words: Column, text: Column) -> Column:
+    """Promoted skills with the wanted ones first, within each category for skills by category (groups not null)."""
+    by = F.transform_values(promoted_groups(groups, words, text), lambda _, v: sets.first_matching(v, words))
+    return F.when(groups.isNotNull(), F.flatten(F.transform(F.map_values(by), sets.none_as_empty))).otherwise(sets.first_matching(promoted(skills, words, text), words))
 
 
 def coverage(text: Column, words: Column) -> Column:
     """Per cent of the words (any case) that text contains, one decimal; 0 without words."""
     low, w = F.lower(F.coalesce(text, F.lit(""))), sets.none_as_empty(words)
-    return F.when(F.size(w) > 0, F.round(F.size(F.filter(w, lambda x: F.contains(low, F.lower(x)))) / F.size(w) * 100, 1)).otherwise(0.0)
+    return bound(low, lambda t: F.when(F.size(w) > 0, F.round(F.size(F.filter(w, lambda x: F.contains(t, F.lower(x)))) / F.size(w) * 100, 1)).otherwise(0.0))
 
 
 def years_of_experience(positions: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import sets, text
-from quern.operators import classify, extract, quota, resume_text, resumes, skills, upsert
+from quern.operators import classify, extract, hooks, quota, resume_text, resumes, skills, upsert
 from quern.plans.relational import TODAY, resume_for_domain
 from quern.session import heavy, table
 
@@ -29,7 +31,7 @@ def t02_canonical_skills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t03_expanded(spark: SparkSession, d: str) -> DataFrame:
-    return _jobs(spark, d, "required_skills").select("id", F.size(sets.expanded(F.col("required_skills"))).alias("n_forms"))
+    return _jobs(spark, d, "required_skills").select("id", _list(sets.expanded(F.col("required_skills"))).alias("forms"))
 
 
 def t04_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +59,7 @@ def t08_slug_and_host(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t09_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return _jobs(spark, d, "job_description").select("id", F.size(text.sentences(F.col("job_description"))).alias("n_sentences"))
+    return _jobs(spark, d, "job_description").select("id", _list(text.sentences(F.col("job_description"))).alias("sentences"))
 
 
 def t10_first_sentence(spark: SparkSession, d: str) -> DataFrame:
@@ -75,8 +77,10 @@ def t12_technical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t13_negated(spark: SparkSession, d: str) -> DataFrame:
-    at = F.instr(F.lower("job_description"), "necessary")
-    return _jobs(spark, d, "job_description").where(at > 0).select("id", text.negated_before(F.col("job_description"), at).alias("negated"))
+    """Whether the text negates the advert's last skill where it first names it; false where it doesn't name it."""
+    at = F.coalesce(F.instr(F.lower("job_description"), F.lower(F.try_element_at("required_skills", F.lit(-1)))), F.lit(0))
+    negated = (at > 0) & text.negated_before(F.col("job_description"), at)
+    return _jobs(spark, d, "job_description", "required_skills").select("id", F.coalesce(negated, F.lit(False)).alias("negated"))
 
 
 def t14_clean_skill(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +113,10 @@ def t20_contacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t23_json_or_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tailored_resumes").select("id", F.get_json_object("score_breakdown", "$.required").try_cast("double").alias("required"), F.get_json_object("score_breakdown", "$.experience.score").try_cast("double").alias("experience"))
+    """A JSON string's text, any other text as it is: over breakdowns of scores, and the same as JSON strings."""
+    t = table(spark, d, "tailored_resumes").select("id", "score_breakdown", F.to_json(F.struct(F.col("score_breakdown").alias("v"))).alias("j"))
+    quoted = F.regexp_extract("j", r"(?s)^\{\"v\":(.*)\}$", 1)
+    return t.select("id", text.json_or_text(F.col("score_breakdown")).alias("value"), text.json_or_text(F.when(F.col("score_breakdown").isNotNull(), quoted)).alias("unquoted"))
 
 
 def r08_posted_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -130,23 +137,48 @@ def r09_salaries(spark: SparkSession, d: str) -> DataFrame:
 # --- matching ---------------------------------------------------------------------------------------------------------------
 
 
+def _masters(spark: SparkSession, d: str) -> DataFrame:
+    """Master resumes as columns, with resume_id."""
+    return resumes.parsed(heavy(spark, d, "master_resumes", F.col("id").alias("resume_id"), "content"))
+
+
 def _resume_skills(spark: SparkSession, d: str) -> DataFrame:
     """resume_id, resume_skills of master resumes."""
-    p = resumes.parsed(table(spark, d, "master_resumes").select("id", "content"))
-    return p.select(F.col("id").alias("resume_id"), resumes.all_skills(p).alias("resume_skills"))
+    p = _masters(spark, d)
+    return p.select("resume_id", resumes.all_skills(p).alias("resume_skills"))
+
+
+def _resume_sides(spark: SparkSession, d: str) -> DataFrame:
+    """resume_id, resume_skills, r: each resume's skills expanded once, before it meets its adverts."""
+    return _resume_skills(spark, d).withColumn("r", skills.resume_side(F.col("resume_skills")))
 
 
-def _pairs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def _tailored(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "tailored_resumes").select(F.col("id").alias("tailored_id"), "job_id", F.col("master_resume_id").alias("resume_id"))
+
+
+def _pairs(spark: SparkSession, d: str, *columns: str, sides: bool = True) -> DataFrame:
     """Adverts with the resume tailored for them: the pairs to compare."""
-    t = table(spark, d, "tailored_resumes").select(F.col("id").alias("tailored_id"), "job_id", F.col("master_resume_id").alias("resume_id"))
     j = table(spark, d, "jobs").select(F.col("id").alias("job_id"), *columns)
-    return t.join(j, "job_id").join(_resume_skills(spark, d), "resume_id")
+    return _tailored(spark, d).join(j, "job_id").join(_resume_sides(spark, d) if sides else _resume_skills(spark, d), "resume_id")
+
+
+def _advert_sides(adverts: DataFrame, find: Callable[[Column], Column]) -> DataFrame:
+    """adverts (required_skills, preferred_skills, job_description) with a, what C02 needs of them: one reading of each text.
+
+    Skills that an advert lists count; those of its text only where its required ones are null.
+    """
+    f = adverts.withColumn("f", find(F.col("job_description")))
+    listed = F.col("required_skills").isNotNull()
+    required = F.coalesce("required_skills", "f.required")
+    preferred = F.when(listed, sets.none_as_empty(F.col("preferred_skills"))).otherwise(F.coalesce("preferred_skills", "f.preferred"))
+    return f.withColumn("a", skills.advert_side(required, preferred, F.col("f.asked"), F.col("f.level"))).drop("f", "required_skills", "preferred_skills", "job_description")
 
 
 def _active_resume(spark: SparkSession, d: str) -> DataFrame:
     """The active resume of least id with its skills: one row at most."""
     _, active = resume_for_domain(table(spark, d, "master_resumes").select("id", "domain", "is_sample", "is_active"))
-    return _resume_skills(spark, d).join(F.broadcast(active.withColumnRenamed("active_resume", "resume_id")), "resume_id")
+    return _resume_sides(spark, d).join(F.broadcast(active.withColumnRenamed("active_resume", "resume_id")), "resume_id")
 
 
 def _list(c: Column) -> Column:
@@ -155,19 +187,25 @@ def _list(c: Column) -> Column:
 
 def p13_resume_parts(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the parts of each resume."""
-    p = resumes.parsed(table(spark, d, "master_resumes").select("id", "content"))
+    p = _masters(spark, d).withColumnRenamed("resume_id", "id")
     return p.select("id", F.size("positions").alias("n_positions"), F.size("skills").alias("n_skills"), F.size("certs").alias("n_certs"), F.size("projects").alias("n_projects"), F.size("bullets").alias("n_bullets"), F.col("summary").isNotNull().alias("has_summary"))
 
 
+def _match(weights: Column | None = None) -> Column:
+    """C01 of a pair's advert with its resume's side."""
+    sides = F.struct((F.size(sets.none_as_empty(F.col("required_skills"))) > 0).alias("some"), sets.expanded(F.col("required_skills")).alias("j"))
+    return text.bound(sides, lambda x: skills.compared(x["some"], x["j"], F.col("r"), weights))
+
+
 def c01_skill_match(spark: SparkSession, d: str) -> DataFrame:
-    m = _pairs(spark, d, "required_skills").select("tailored_id", skills.skill_match(F.col("required_skills"), F.col("resume_skills")).alias("m"))
+    m = _pairs(spark, d, "required_skills").select("tailored_id", _match().alias("m"))
     return m.select("tailored_id", F.round("m.score", 6).alias("score"), _list(F.col("m.matched")).alias("matched"), F.size("m.missing").alias("n_missing"), F.size("m.additional").alias("n_additional"), "m.n_job", "m.n_resume")
 
 
 def a20_weighted_match(spark: SparkSession, d: str) -> DataFrame:
     """The match with double weight on two skills."""
     w = F.create_map(F.lit("python"), F.lit(2.0), F.lit("sql"), F.lit(2.0))
-    return _pairs(spark, d, "required_skills").select("tailored_id", F.round(skills.skill_match(F.col("required_skills"), F.col("resume_skills"), w)["score"], 6).alias("score"))
+    return _pairs(spark, d, "required_skills").select("tailored_id", F.round(_match(w)["score"], 6).alias("score"))
 
 
 def a21_category_match(spark: SparkSession, d: str) -> DataFrame:
@@ -176,21 +214,21 @@ def a21_category_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c02_match_score(spark: SparkSession, d: str) -> DataFrame:
-    """The weighted score of each pair, requirements read from the advert's text."""
-    p = _pairs(spark, d, "required_skills", "preferred_skills", "job_description")
-    p = p.withColumn("experience", F.transform(extract.experience_of(F.col("job_description")), lambda x: x["skill"])).withColumn("education", extract.education_of(F.col("job_description")))
-    level = F.array_max(F.transform("education", lambda e: F.struct(F.coalesce(*[F.when(e["level"] == k, F.lit(v)) for k, v in skills.LEVELS.items()]).alias("r"), e["level"].alias("l"))))["l"]
-    s = skills.match_score(F.col("required_skills"), F.col("preferred_skills"), F.col("resume_skills"), F.col("experience"), level)
-    return p.select("tailored_id", s.alias("s")).select("tailored_id", "s.total", "s.required", "s.preferred", "s.experience", "s.education", "s.bonus")
+    """The weighted score of each pair, requirements read from the text, once an advert."""
+    t = _tailored(spark, d)
+    j = _jobs(spark, d, "required_skills", "preferred_skills", "job_description").join(t.select(F.col("job_id").alias("id")), "id", "left_semi")
+    j = _advert_sides(j, extract.facts_finder(dictionary(spark, d))).withColumnRenamed("id", "job_id")
+    p = t.join(j, "job_id").join(_resume_sides(spark, d).drop("resume_skills"), "resume_id")
+    return p.select("tailored_id", skills.score_of(F.col("a"), F.col("r")).alias("s")).select("tailored_id", "s.total", "s.required", "s.preferred", "s.experience", "s.education", "s.bonus")
 
 
 def c03_education_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _resume_skills(spark, d).select("resume_id", skills.education_rank(F.col("resume_skills")).alias("rank"))
+    return _resume_sides(spark, d).select("resume_id", F.col("r.rank").alias("rank"))
 
 
 def c04_skill_gap(spark: SparkSession, d: str) -> DataFrame:
     """The gap of each pair."""
-    g = _pairs(spark, d, "required_skills", "preferred_skills").select("tailored_id", skills.skill_gap(F.col("required_skills"), F.col("preferred_skills"), F.col("resume_skills")).alias("g"))
+    g = _pairs(spark, d, "required_skills", "preferred_skills").select("tailored_id", skills.gap_for(F.col("required_skills"), F.col("preferred_skills"), F.col("r")).alias("g"))
     return g.select("tailored_id", _list(F.col("g.missing_required")).alias("missing"), F.size("g.missing_preferred").alias("n_missing_preferred"), "g.match_percentage", _list(F.col("g.priority_gaps")).alias("first_gaps"))
 
 
@@ -198,16 +236,17 @@ def j06_score_for_active(spark: SparkSession, d: str) -> DataFrame:
     """One resume against all adverts: the single row is broadcast."""
     one = _active_resume(spark, d)
     j = table(spark, d, "jobs").select("id", "required_skills")
-    return j.crossJoin(F.broadcast(one)).select("id", F.round(skills.skill_match(F.col("required_skills"), F.col("resume_skills"))["score"], 6).alias("score"))
+    return j.crossJoin(F.broadcast(one)).select("id", F.round(_match()["score"], 6).alias("score"))
 
 
 def c12_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Analysed adverts without tailored resume, with the resume of their domain or the active one, scored at least 35."""
+    """Analysed adverts without tailored resume, with the resume of their domain or the active one, whose C02 is at least 35."""
     own, active = resume_for_domain(table(spark, d, "master_resumes").select("id", "domain", "is_sample", "is_active"))
     done = table(spark, d, "tailored_resumes").select(F.col("job_id").alias("id"))
-    j = table(spark, d, "jobs").where(F.col("status") == "analyzed").select("id", "domain", "required_skills").join(done, "id", "left_anti")
+    j = _jobs(spark, d, "domain", "status", "required_skills", "preferred_skills", "job_description").where(F.col("status") == "analyzed").join(done, "id", "left_anti")
+    j = _advert_sides(j, extract.facts_finder(dictionary(spark, d)))
     j = j.join(own, "domain", "left").crossJoin(F.broadcast(active)).withColumn("resume_id", F.coalesce("domain_resume", "active_resume"))
-    scored = j.join(_resume_skills(spark, d), "resume_id").select("id", "resume_id", F.round(skills.skill_match(F.col("required_skills"), F.col("resume_skills"))["score"], 6).alias("score"))
+    scored = j.join(_resume_sides(spark, d).drop("resume_skills"), "resume_id").select("id", "resume_id", skills.score_of(F.col("a"), F.col("r"))["total"].alias("score"))
     return scored.where("score >= 35")
 
 
@@ -221,14 +260,40 @@ def dictionary(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.explode(names).alias("p")).select(F.lower("p").alias("phrase"), F.lit("skill").alias("category")).distinct()
 
 
+#: Soft skills that the test texts name: an example of a further category of a dictionary.
+SOFT_SKILLS = ("mentor", "coach", "organise", "negotiate", "trust", "clarity", "strong interest", "willingness")
+
+
+def keywords(spark: SparkSession, d: str) -> DataFrame:
+    """phrase, category: all of the reference list by kind, and soft skills."""
+    c = table(spark, d, "canon_values").where("kind is not null")
+    names = c.select("kind", F.explode(F.concat(F.array("canon_value"), sets.none_as_empty(F.col("alt_names")))).alias("p"))
+    soft = spark.createDataFrame([(w, "soft_skills") for w in SOFT_SKILLS], "phrase string, category string")
+    return names.select(F.lower("p").alias("phrase"), F.col("kind").alias("category")).distinct().unionByName(soft)
+
+
 def r01_sections(spark: SparkSession, d: str) -> DataFrame:
-    s = heavy(spark, d, "documents", "doc_id", "text").select("doc_id", extract.sections(F.col("text")).alias("s"))
-    return s.select("doc_id", F.length("s.required").alias("n_required"), F.length("s.preferred").alias("n_preferred"))
+    return heavy(spark, d, "documents", "doc_id", "text").select("doc_id", extract.sections(F.col("text")).alias("s")).select("doc_id", "s.required", "s.preferred")
+
+
+#: Demands that _demanding() adds to adverts in turn.
+DEMANDS = (
+    "AWS Certified Developer Associate preferred", "PMP or Certified Scrum Master is a plus", "Six  Sigma Green Belt and CISSP required",
+    "CompTIA Security+ desired; ITIL v4", "Bachelor's degree in Physics or an MBA, PhD preferred",
+)
+
+
+def _demanding(spark: SparkSession, d: str) -> DataFrame:
+    """id, text: the adverts' whole texts with a closing paragraph of demands, made of their skills, as the texts themselves ask for little."""
+    s = lambda n: F.try_element_at("required_skills", F.lit(n))
+    n = lambda k: (F.col("id") % k).cast("string")
+    more = F.element_at(F.array(*[F.lit(x) for x in DEMANDS]), (F.col("id") % len(DEMANDS) + 1).cast("int"))
+    parts = ("job_description", F.lit(" "), n(30), F.lit("+ years of "), s(1), F.lit(" and more. No 4 years of "), s(2), F.lit(" needed. "), s(3), F.lit(": "), n(9), F.lit(" years. "), more)
+    return _jobs(spark, d, "job_description", "required_skills").select("id", F.concat_ws("", *parts).alias("text"))
 
 
 def r02_experience(spark: SparkSession, d: str) -> DataFrame:
-    t = _jobs(spark, d, "job_description")
-    return t.select("id", F.explode(extract.experience_of(F.col("job_description"))).alias("x")).select("id", "x.skill", "x.years", "x.is_minimum")
+    return _demanding(spark, d).select("id", F.explode(extract.experience_of(F.col("text"))).alias("x")).select("id", "x.skill", "x.years", "x.is_minimum")
 
 
 def r03_education(spark: SparkSession, d: str) -> DataFrame:
@@ -236,14 +301,17 @@ def r03_education(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r04_certificates(spark: SparkSession, d: str) -> DataFrame:
-    return heavy(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(extract.certificates_of(F.col("text"))).alias("x")).select("doc_id", "x.name", "x.is_required")
+    return _demanding(spark, d).select("id", F.explode(extract.certificates_of(F.col("text"))).alias("x")).select("id", "x.name", "x.is_required")
 
 
 def r05_requirements(spark: SparkSession, d: str) -> DataFrame:
-    """All requirements of an advert in one row."""
-    t = F.col("job_description")
-    r = _jobs(spark, d, "job_description").select("id", extract.experience_of(t).alias("e"), extract.education_of(t).alias("d"), extract.certificates_of(t).alias("c"))
-    return r.select("id", F.array_min(F.transform("e", lambda x: x["years"])).alias("min_years"), F.size("d").alias("n_levels"), F.size("c").alias("n_certificates"))
+    """All requirements of an advert in one row: least and most years (0 for none), the highest level, the first of equals."""
+    t = F.col("text")
+    r = _demanding(spark, d).select("id", extract.experience_of(t).alias("e"), extract.education_of(t).alias("d"), extract.certificates_of(t).alias("c"))
+    rank = lambda x: F.coalesce(*[F.when(x["level"] == k, F.lit(v)) for k, v in extract.LEVEL_RANKS.items()])
+    level = F.array_max(F.transform("d", lambda x, i: F.struct(rank(x).alias("r"), (-i).alias("i"), x["level"].alias("level"))))["level"]
+    years = F.transform("e", lambda x: x["years"])
+    return r.select("id", F.coalesce(F.array_min(years), F.lit(0)).alias("min_years"), F.coalesce(F.array_max(years), F.lit(0)).alias("max_years"), level.alias("level"), F.size("d").alias("n_levels"), F.size("c").alias("n_certificates"))
 
 
 def r06_phrases(spark: SparkSession, d: str) -> DataFrame:
@@ -252,17 +320,18 @@ def r06_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r07_skills(spark: SparkSession, d: str) -> DataFrame:
-    """Skills of the required and the preferred part, preferred ones without the required."""
-    find = extract.phrase_finder(dictionary(spark, d))
-    names = lambda h: F.filter(F.array_distinct(F.transform(h, lambda x: x["phrase"])), lambda p: ~text.is_noise(p))
-    s = _jobs(spark, d, "job_description").select("id", extract.sections(F.col("job_description")).alias("s"))
-    f = s.select("id", names(find(F.col("s.required"))).alias("r"), names(find(F.col("s.preferred"))).alias("p"))
-    return f.select("id", _list(F.array_sort("r")).alias("required"), _list(F.array_sort(F.array_except("p", "r"))).alias("preferred"))
+    """Skills of the required and the preferred part, preferred ones without the required, no noise."""
+    find = extract.facts_finder(dictionary(spark, d))
+    f = _jobs(spark, d, "job_description").select("id", find(F.col("job_description")).alias("f"))
+    return f.select("id", _list(F.array_sort("f.required")).alias("required"), _list(F.array_sort("f.preferred")).alias("preferred"))
 
 
 def a29_by_category(spark: SparkSession, d: str) -> DataFrame:
-    """How many adverts name a phrase."""
-    return r06_phrases(spark, d).select("id", "phrase").distinct().groupBy("phrase").agg(F.count("*").alias("n_jobs"))
+    """An advert's keywords by category, surest first, then by text; the first 15 are shown."""
+    find = extract.phrase_finder(keywords(spark, d))
+    h = _jobs(spark, d, "job_description").select("id", F.explode(find(F.col("job_description"))).alias("h")).select("id", "h.category", "h.phrase", F.lit(1.0).alias("confidence"))
+    g = h.groupBy("id", "category").agg(F.collect_set(F.struct((-F.col("confidence")).alias("c"), F.col("phrase").alias("p"))).alias("k"))
+    return g.select("id", "category", F.size("k").alias("n"), F.array_join(F.transform(F.slice(F.array_sort("k"), 1, 15), lambda x: x["p"]), ", ").alias("keywords"))
 
 
 def r11_resume_text(spark: SparkSession, d: str) -> DataFrame:
@@ -279,14 +348,16 @@ def r11_resume_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c05_domains(spark: SparkSession, d: str) -> DataFrame:
-    return _jobs(spark, d, "job_title", "job_description").select("id", classify.domain_of(F.col("job_title"), F.col("job_description")).alias("c")).select("id", "c.domain", F.round("c.confidence", 4).alias("confidence"), "c.best", "c.total")
+    find = classify.domain_finder(classify.keyword_table(spark))
+    return _jobs(spark, d, "job_title", "job_description").select("id", find(F.col("job_title"), F.col("job_description")).alias("c")).select("id", "c.domain", F.round("c.confidence", 4).alias("confidence"), "c.best", "c.total")
 
 
 def c06_resume_domains(spark: SparkSession, d: str) -> DataFrame:
     """Domain of a resume by its titles and its summary, bullets and skills."""
-    p = resumes.parsed(table(spark, d, "master_resumes").select("id", "content"))
+    p = _masters(spark, d).withColumnRenamed("resume_id", "id")
     body = F.concat_ws(" ", "summary", F.array_join("bullets", " "), F.array_join("skills", " "))
-    return p.select("id", classify.domain_of(F.array_join("titles", " "), body)["domain"].alias("domain"))
+    find = classify.domain_finder(classify.keyword_table(spark))
+    return p.select("id", find(F.array_join("titles", " "), body)["domain"].alias("domain"))
 
 
 def c07_document_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -294,77 +365,109 @@ def c07_document_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c11_analysis(spark: SparkSession, d: str) -> DataFrame:
-    """C11: new adverts with a text: skills, domain and score for the active resume; one chain without shuffle."""
-    find = extract.phrase_finder(dictionary(spark, d))
-    one = _active_resume(spark, d)
-    j = heavy(spark, d, "jobs", "id", "job_title", "job_description", "status").where((F.col("status") == "new") & (F.length(F.trim("job_description")) > 0)).select("id", "job_title", "job_description")
-    names = lambda h: F.array_distinct(F.transform(h, lambda x: x["phrase"]))
-    s = j.withColumn("s", extract.sections(F.col("job_description"))).withColumn("r", names(find(F.col("s.required")))).withColumn("p", F.array_except(names(find(F.col("s.preferred"))), "r"))
-    s = s.withColumn("e", F.transform(extract.experience_of(F.col("job_description")), lambda x: x["skill"])).crossJoin(F.broadcast(one))
-    score = skills.match_score(F.col("r"), F.col("p"), F.col("resume_skills"), F.col("e"), F.lit(None).cast("string"))["total"]
-    return s.select("id", F.size("r").alias("n_required"), F.size("p").alias("n_preferred"), classify.domain_of(F.col("job_title"), F.col("job_description"))["domain"].alias("domain"), F.round(score, 1).alias("match_score"), F.lit("analyzed").alias("status"))
+    """C11: new adverts with a text: skills, domain and score for the active resume; one reading of each text, no shuffle."""
+    find, domain = extract.facts_finder(dictionary(spark, d)), classify.domain_finder(classify.keyword_table(spark))
+    one = F.broadcast(_active_resume(spark, d).select("r"))
+    text_ = F.col("job_description")
+    j = heavy(spark, d, "jobs", "id", "job_title", "job_description", "status").where((F.col("status") == "new") & (F.length(F.trim(text_)) > 0))
+    s = j.select("id", find(text_).alias("f"), domain(F.col("job_title"), text_)["domain"].alias("domain")).crossJoin(one)
+    side = skills.advert_side(F.col("f.required"), F.col("f.preferred"), F.col("f.asked"), F.col("f.level"))
+    score = text.bound(side, lambda a: skills.score_of(a, F.col("r"))["total"])
+    return s.select("id", F.size("f.required").alias("n_required"), F.size("f.preferred").alias("n_preferred"), "domain", F.round(score, 1).alias("match_score"), F.lit("analyzed").alias("status"))
 
 
 def c11b_flat_analysis(spark: SparkSession, d: str) -> DataFrame:
-    """All phrases of the whole text as required, without sections."""
-    find = extract.phrase_finder(dictionary(spark, d))
-    return _jobs(spark, d, "job_description").select("id", _list(F.array_sort(F.array_distinct(F.transform(find(F.col("job_description")), lambda x: x["phrase"])))).alias("required"))
+    """Keywords of the whole text, without sections: soft skills as preferred, all but them and education words as required."""
+    find = extract.phrase_finder(keywords(spark, d))
+    h = _jobs(spark, d, "job_description").select("id", find(F.col("job_description")).alias("h"))
+    names = lambda test: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("h", test), lambda x: x["phrase"]))), "|")
+    return h.select("id", names(lambda x: ~x["category"].isin(*extract.NO_SKILLS)).alias("required"), names(lambda x: x["category"] == "soft_skills").alias("preferred"))
 
 
 # --- profile, checks, tailoring -----------------------------------------------------------------------------------------
 
 
 def c08_style(spark: SparkSession, d: str) -> DataFrame:
-    p = resumes.parsed(table(spark, d, "master_resumes").select("id", "content"))
+    p = _masters(spark, d).withColumnRenamed("resume_id", "id")
     return p.select("id", resumes.style(F.col("bullets"), F.concat_ws(" ", "summary", F.array_join("bullets", " "))).alias("s")).select("id", "s.*")
 
 
+def _section_names() -> Column:
+    return F.transform(sets.none_as_empty(F.col("section_order")), lambda s: F.replace(F.lower(F.trim(s)), F.lit(" "), F.lit("_")))
+
+
 def o10_section_order(spark: SparkSession, d: str) -> DataFrame:
-    p = resumes.parsed(table(spark, d, "master_resumes").select("id", "content"))
-    names = F.transform(sets.none_as_empty(F.col("section_order")), lambda s: F.replace(F.lower(F.trim(s)), F.lit(" "), F.lit("_")))
-    return p.select("id", _list(sets.in_order(F.array(*[F.lit(s) for s in resumes.SECTIONS]), names)).alias("sections"))
+    p = _masters(spark, d).withColumnRenamed("resume_id", "id")
+    return p.select("id", _list(sets.in_order(F.array(*[F.lit(s) for s in resumes.SECTIONS]), _section_names())).alias("sections"))
 
 
-def _changed(spark: SparkSession, d: str) -> DataFrame:
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    """Tailored resumes (new, new_summary, new_skills) with their masters' columns and the advert's words."""
+    t = resumes.parsed(heavy(spark, d, "tailored_resumes", "id", "job_id", F.col("master_resume_id").alias("resume_id"), F.col("tailored_content").alias("content")))
+    t = t.select("id", "job_id", "resume_id", F.col("positions").alias("new"), F.col("summary").alias("new_summary"), _n_skills().alias("n_new_skills"))
+    j = table(spark, d, "jobs").select(F.col("id").alias("job_id"), F.array_distinct(F.concat(sets.none_as_empty(F.col("required_skills")), sets.none_as_empty(F.col("preferred_skills")))).alias("words"))
+    j = j.withColumn("words", F.filter("words", lambda w: w.isNotNull()))
+    m = _masters(spark, d)
+    m = m.select("resume_id", F.col("positions").alias("old"), "summary", "skills", "skill_groups", "projects", "bullets", "section_order", _n_skills().alias("n_skills"))
+    return t.join(j, "job_id", "left").join(m, "resume_id")
+
+
+def _n_skills() -> Column:
+    """Skills of a list, or categories of a map."""
+    return F.when(F.col("skill_groups").isNotNull(), F.size("skill_groups")).otherwise(F.size("skills"))
+
+
+def _changed(both: DataFrame) -> DataFrame:
     """Bullets of master and tailored resumes side by side (J10): position and place as long as both have one."""
-    m = resumes.parsed(table(spark, d, "master_resumes").select(F.col("id").alias("resume_id"), "content")).select("resume_id", F.col("positions").alias("old"))
-    t = table(spark, d, "tailored_resumes").select("id", F.col("master_resume_id").alias("resume_id"), F.col("tailored_content").alias("content"), "job_id")
-    both = resumes.parsed(t).select("id", "job_id", "resume_id", F.col("positions").alias("new")).join(m, "resume_id")
-    pos = both.select("id", "job_id", F.posexplode(F.slice(F.arrays_zip("old", "new"), 1, F.least(F.size("old"), F.size("new")))).alias("position", "z"))
+    pos = both.select("id", "words", F.posexplode(F.slice(F.arrays_zip("old", "new"), 1, F.least(F.size("old"), F.size("new")))).alias("position", "z"))
     z = F.arrays_zip(F.col("z.old.bullets").alias("original"), F.col("z.new.bullets").alias("modified"))
-    return pos.select("id", "job_id", "position", F.posexplode(F.slice(z, 1, F.least(F.size("z.old.bullets"), F.size("z.new.bullets")))).alias("place", "b")).select("id", "job_id", "position", "place", "b.*")
+    return pos.select("id", "words", "position", F.posexplode(F.slice(z, 1, F.least(F.size("z.old.bullets"), F.size("z.new.bullets")))).alias("place", "b")).select("id", "words", "position", "place", "b.*")
 
 
 def j10_bullet_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _changed(spark, d).select("id", "position", "place", (F.col("original") == F.col("modified")).alias("same"))
+    return _changed(_both(spark, d)).select("id", "position", "place", (F.col("original") == F.col("modified")).alias("same"))
 
 
 def c09_bullet_checks(spark: SparkSession, d: str) -> DataFrame:
     """Warnings of changed bullets, known skills from the advert."""
-    j = table(spark, d, "jobs").select(F.col("id").alias("job_id"), "required_skills")
-    b = _changed(spark, d).where("original <> modified").join(j, "job_id", "left")
-    return b.select("id", "position", "place", resumes.check_bullet(F.col("original"), F.col("modified"), F.col("required_skills")).alias("c")).select("id", "position", "place", _list(F.col("c.warnings")).alias("warnings"), "c.is_valid", "c.score")
+    b = _changed(_both(spark, d)).where("original <> modified")
+    return b.select("id", "position", "place", resumes.check_bullet(F.col("original"), F.col("modified"), F.col("words")).alias("c")).select("id", "position", "place", _list(F.col("c.warnings")).alias("warnings"), "c.is_valid", "c.score")
 
 
 def c10_resume_checks(spark: SparkSession, d: str) -> DataFrame:
-    """A tailored resume's bullets checked, valid ones counted."""
-    c = c09_bullet_checks(spark, d).groupBy("id").agg(F.count("*").alias("n_checked"), F.count_if("is_valid").alias("n_valid"))
-    return table(spark, d, "tailored_resumes").select("id").join(c, "id", "left").select("id", F.coalesce("n_checked", F.lit(0)).alias("n_checked"), F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
-
-
-def c15_tailoring(spark: SparkSession, d: str) -> DataFrame:
-    """The parts of tailoring that no language model does; texts stay as they are."""
-    t = table(spark, d, "tailored_resumes").select("id", "job_id", F.col("master_resume_id").alias("resume_id"))
-    j = table(spark, d, "jobs").select(F.col("id").alias("job_id"), F.array_distinct(F.concat(sets.none_as_empty(F.col("required_skills")), sets.none_as_empty(F.col("preferred_skills")))).alias("words"))
-    m = resumes.parsed(table(spark, d, "master_resumes").select(F.col("id").alias("resume_id"), "content"))
-    x = t.join(j, "job_id").join(m, "resume_id").withColumn("words", F.filter("words", lambda w: w.isNotNull()))
-    body = F.concat_ws(" ", "summary", F.array_join("bullets", " "))
-    listed = sets.first_matching(resumes.promoted(F.col("skills"), F.col("words"), body), F.col("words"))
+    """A tailored resume checked: its changed bullets, its summary, and whether it lists fewer skills; valid if all is."""
+    x = _both(spark, d)
+    b = _changed(x).where("original <> modified").select("id", resumes.check_bullet(F.col("original"), F.col("modified"), F.col("words"))["is_valid"].alias("ok"))
+    n = b.groupBy("id").agg(F.count("*").alias("n_checked"), F.count_if("ok").alias("n_valid"))
+    some = (F.length("summary") > 0) & (F.length("new_summary") > 0) & (F.col("summary") != F.col("new_summary"))
+    rest = x.select("id", F.when(some, resumes.check_summary(F.col("summary"), F.col("new_summary"), F.col("words"))["is_valid"]).alias("summary_valid"), (F.col("n_new_skills") < F.col("n_skills")).alias("fewer_skills"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rest.join(n, "id", "left").select(
+        "id", zero("n_checked"), zero("n_valid"), "summary_valid", "fewer_skills",
+        (F.coalesce(F.col("n_checked") == F.col("n_valid"), F.lit(True)) & F.coalesce("summary_valid", F.lit(True)) & ~F.col("fewer_skills")).alias("is_valid"))
+
+
+def c15_tailoring(spark: SparkSession, d: str, rewrite: hooks.Judge | None = None) -> DataFrame:
+    """Tailoring around the rewriting of texts, which is a hook.
+
+    The stored tailored texts are the rewritten ones, unless rewrite makes others; one that loses a figure is rejected for the original.
+    """
+    x = hooks.rewritten(_both(spark, d), "new_summary", rewrite).withColumn("merged", resumes.merged_bullets(F.col("old"), F.col("new")))
+    now = F.coalesce(F.nullif("new_summary", F.lit("")), "summary")
+    x = x.withColumn("after", F.concat_ws(" ", now, F.array_join(F.transform("merged", lambda b: b["bullet"]), " "))).withColumn("before", F.concat_ws(" ", "summary", F.array_join(F.transform("merged", lambda b: b["original"]), " ")))
+    x = x.withColumn("listed", resumes.tailored_skills(F.col("skills"), F.col("skill_groups"), F.col("words"), F.col("after")))
+    names = F.map_keys("skill_groups")
+    old_names = F.when(F.col("skill_groups").isNotNull(), F.array_join(names, " ")).otherwise(F.array_join("skills", " "))
+    new_names = F.when(F.col("skill_groups").isNotNull(), F.array_join(F.map_keys(resumes.promoted_groups(F.col("skill_groups"), F.col("words"), F.col("after"))), " ")).otherwise(F.array_join("listed", " "))
+    parts = ("personal_info", "professional_summary", "work_experience", "skills", "education", "certifications", "projects")
+    x = x.withColumn("coverage_before", resumes.coverage(F.concat_ws(" ", "before", old_names), F.col("words"))).withColumn("coverage_after", resumes.coverage(F.concat_ws(" ", "after", new_names), F.col("words")))
     return x.select(
-        "id", _list(F.slice(listed, 1, 5)).alias("first_skills"), F.size(listed).alias("n_skills"),
+        "id", _list(F.slice("listed", 1, 5)).alias("first_skills"), F.size("listed").alias("n_skills"),
         _list(F.transform(resumes.best_projects(F.col("projects"), F.col("words")), lambda p: p["name"])).alias("projects"),
         _list(F.transform(resumes.best_bullets(F.col("bullets"), F.col("words"), 3), lambda i: i.cast("string"))).alias("bullet_places"),
-        resumes.coverage(F.concat_ws(" ", body, F.array_join("skills", " ")), F.col("words")).alias("coverage"), resumes.years_of_experience(F.col("positions")).alias("years"),
+        "coverage_before", "coverage_after", F.round(F.col("coverage_after") - F.col("coverage_before"), 1).alias("improvement"),
+        F.size(F.filter("merged", lambda b: b["rejected"])).alias("n_rejected"), resumes.years_of_experience(F.col("old")).alias("years"),
+        _list(sets.in_order(F.array(*[F.lit(k) for k in parts]), _section_names())).alias("sections"),
     )
 
 
@@ -373,7 +476,7 @@ def o04_skill_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a24_years(spark: SparkSession, d: str) -> DataFrame:
-    p = resumes.parsed(table(spark, d, "master_resumes").select("id", "content"))
+    p = _masters(spark, d).withColumnRenamed("resume_id", "id")
     return p.select("id", resumes.years_of_experience(F.col("positions")).alias("years"))
 
 

@@ -3,41 +3,15 @@
 from __future__ import annotations
 
 from quern.functions.sets import SYNONYMS
-from quern.functions.text import NO_SALARY, NOISE, NOISE_PLACES, PLAIN_WORDS, SKILL_LABELS, SKILL_TAILS
+from quern.functions.text import NO_SALARY, PLAIN_WORDS
 from quern.operators.classify import DOMAIN_KEYWORDS, OTHER_SIGNS, RESUME_SIGNS
-from quern.operators.extract import PREFERRED_LINES, REQUIRED_LINES
-from quern.operators.resumes import BULLETS, SECTIONS
+from quern.operators.resumes import BULLET_WORDS, BULLETS, CATEGORIES, COMMON_WORDS, FIGURES, FILLERS, OTHER_CATEGORY, SECTIONS, SUMMARY_WORDS, TOKENS, UNFIT
+from quern.plans import extraction_sql as x
+from quern.plans.extraction_sql import SKILL_NAMES, canon, cleaned, expanded, facts, noisy, norm, phrases, q, score, sections, strip
 
-
-def q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def strip(c: str) -> str:
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
-
-
-_END = "[.,;:!?\"'']+$"
-
-
-def norm(c: str) -> str:
-    return f"regexp_replace(regexp_replace(lower({strip(c)}), '{_END}', ''), '\\s+', ' ', 'g')"
-
-
-_MAP = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in SYNONYMS.items()) + "}"
 _MORE = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in (SYNONYMS | {"apache spark": "spark", "unit testing": "testing"}).items()) + "}"
 
 
-def canon(c: str, names: str = _MAP) -> str:
-    return f"coalesce({names}[{c}], {c})"
-
-
-def expanded(c: str) -> str:
-    """Skill list c as its distinct forms."""
-    return f"""list_distinct(flatten(list_transform(list_transform(list_transform(list_filter(coalesce({c}, []::VARCHAR[]), lambda s: s IS NOT NULL),
-        lambda s: {norm('s')}), lambda n: [n, {canon('n')}]), lambda p: [p[1], p[2], {strip("regexp_replace(p[2], '[-/]', ' ', 'g')")}])))"""
-
-
 #: Readable resumes as JSON objects.
 _JSON = """c AS (SELECT id, CASE WHEN json_valid({col}) THEN CASE WHEN json_type({col}) = 'VARCHAR' THEN {col}::JSON->>'$' ELSE {col} END END AS j FROM {tab}),
     r AS (SELECT id, CASE WHEN json_valid(j) THEN CASE WHEN json_type(j) = 'OBJECT' THEN j::JSON END END AS j FROM c)"""
@@ -78,6 +52,27 @@ SCORE = "round(CASE WHEN asked THEN len(list_intersect(a, b)) / len(a) * 100.0 E
 _MINUS = "list_filter({a}, lambda z: NOT list_contains({b}, z))"
 
 _LIST = "coalesce(array_to_string({a}, '|'), '')"
+#: Skills of an advert, or those of its text where it lists none.
+_LISTED = "coalesce(required_skills, req) AS req, CASE WHEN required_skills IS NULL THEN coalesce(preferred_skills, pref) ELSE coalesce(preferred_skills, []::VARCHAR[]) END AS pref"
+_KEYWORDS = """SELECT DISTINCT lower(unnest(list_concat([canon_value], coalesce(alt_names, []::VARCHAR[])))) AS phrase, kind AS category FROM canon_values WHERE kind IS NOT NULL
+    UNION ALL SELECT unnest(['mentor', 'coach', 'organise', 'negotiate', 'trust', 'clarity', 'strong interest', 'willingness']), 'soft_skills'"""
+_DEMANDS = ("AWS Certified Developer Associate preferred", "PMP or Certified Scrum Master is a plus", "Six  Sigma Green Belt and CISSP required", "CompTIA Security+ desired; ITIL v4", "Bachelor's degree in Physics or an MBA, PhD preferred")
+_DEMANDING = f"""dj AS (SELECT id, concat(job_description, ' ', id % 30, '+ years of ', required_skills[1], ' and more. No 4 years of ', required_skills[2], ' needed. ', required_skills[3], ': ', id % 9, ' years. ',
+    [{', '.join(map(q, _DEMANDS))}][id % 5 + 1]) AS text FROM jobs)"""
+#: Characters beyond Latin-1 that a western console shows.
+_WESTERN = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)).decode("cp1252")
+
+
+def _n_skills(k: str = "k") -> str:
+    return f"CASE json_type({k}) WHEN 'OBJECT' THEN len(json_keys({k})) ELSE len({strings(k)}) END"
+
+
+def ordered(j: str, names: tuple[str, ...]) -> str:
+    """names in the order that section_order of j gives, the rest after them."""
+    ord_ = f"list_transform(coalesce({strings(j + "->'$.section_order'")}, []::VARCHAR[]), lambda s: replace(lower(trim(s)), ' ', '_'))"
+    all_ = "[" + ", ".join(map(q, names)) + "]"
+    head = f"list_filter({ord_}, lambda s, i: list_contains({all_}, s) AND list_position({ord_}, s) = i)"
+    return f"array_to_string(list_concat({head}, list_filter({all_}, lambda s: NOT list_contains({head}, s))), '|')"
 
 
 def gap_hit(s: str, have: str) -> str:
@@ -88,7 +83,7 @@ def gap_hit(s: str, have: str) -> str:
     return f"(list_contains({have}, {low}) OR list_contains({have}, {name}) OR {same} OR ({near}))"
 
 
-_WORD = r"[^\p{L}\p{M}\p{N}_]"
+_WORD = r"[^\p{L}\p{N}_]"
 
 
 def count_words(text: str, word: str) -> str:
@@ -111,16 +106,6 @@ def _signs(signs: tuple[str, ...]) -> str:
     return " + ".join(f"contains(low, {q(s)})::INT" for s in signs)
 
 
-def _header(lines: tuple[str, ...]) -> str:
-    return q("^\\s*(?:" + "|".join(lines) + ")\\s*:?\\s*$")
-
-
-_TAIL = "lower(" + strip("s") + ")"
-_cut = f"regexp_replace({_TAIL}, '{_END}', '')"
-for _t in SKILL_TAILS:
-    _cut = f"list_transform([{_cut}], lambda o: CASE WHEN suffix(o, {q(_t)}) THEN {strip(f'left(o, length(o) - {len(_t)})')} ELSE o END)[1]"
-_FIRST = r"\b(i|my|me|i''ve|i''m|i am|i have)\b"
-_THIRD = r"\b(he|she|they|his|her|their|him|them)\b"
 _SKILL_ROWS = "(SELECT DISTINCT s FROM (SELECT unnest(required_skills) AS s FROM jobs) WHERE s IS NOT NULL)"
 _WORDS_OF = "list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')"
 
@@ -135,14 +120,59 @@ def voice(c: str) -> str:
 
 _OPENS = {ch: f"coalesce(starts_with({strip('x')}, {q(ch)}), false)" for ch in BULLETS}
 _BARE = "CASE " + " ".join(f"WHEN {o} THEN {strip(f'substr({strip(chr(120))}, 2)')}" for o in _OPENS.values()) + f" ELSE {strip('x')} END"
-_CHANGED = f"""{PARTS}, t0 AS (SELECT id, CASE WHEN json_valid(tailored_content) THEN CASE WHEN json_type(tailored_content) = 'VARCHAR' THEN tailored_content::JSON->>'$' ELSE tailored_content END END AS j FROM tailored_resumes),
+#: Tailored resumes beside their masters and the advert's words.
+_BOTH = f"""{PARTS}, t0 AS (SELECT id, CASE WHEN json_valid(tailored_content) THEN CASE WHEN json_type(tailored_content) = 'VARCHAR' THEN tailored_content::JSON->>'$' ELSE tailored_content END END AS j FROM tailored_resumes),
     t1 AS (SELECT id, CASE WHEN json_valid(j) THEN CASE WHEN json_type(j) = 'OBJECT' THEN j::JSON END END AS j FROM t0),
-    t2 AS (SELECT id, {newer('work_experience', 'experience')} AS w FROM t1), t3 AS (SELECT id, {objects('w')} AS news FROM t2),
-    both_sides AS (SELECT t3.id, tr.job_id, positions AS olds, news FROM t3 JOIN tailored_resumes tr ON tr.id = t3.id JOIN parts ON parts.id = tr.master_resume_id),
-    pos AS (SELECT id, job_id, olds, news, unnest(range(least(len(olds), len(news)))) AS position FROM both_sides),
-    pb AS (SELECT id, job_id, position, {strings("olds[position + 1]->'$.bullets'")} AS o, {strings("news[position + 1]->'$.bullets'")} AS n FROM pos),
-    place AS (SELECT id, job_id, position::INT AS position, o, n, unnest(range(least(len(o), len(n)))) AS k FROM pb),
-    changed AS (SELECT id, job_id, position, k::INT AS place, o[k + 1] AS original, n[k + 1] AS modified FROM place)"""
+    t2 AS (SELECT id, {newer('work_experience', 'experience')} AS w, j->'$.skills' AS k, coalesce(nullif(j->>'$.professional_summary', NULL), j->>'$.summary') AS new_summary FROM t1),
+    t3 AS (SELECT id, {objects('w')} AS news, new_summary, {_n_skills()} AS n_new_skills FROM t2),
+    aw AS (SELECT id AS job_id, list_filter(list_concat(coalesce(required_skills, []::VARCHAR[]), coalesce(preferred_skills, []::VARCHAR[])), lambda s: s IS NOT NULL) AS l FROM jobs),
+    words AS (SELECT job_id, list_filter(l, lambda s, i: list_position(l, s) = i) AS words FROM aw),
+    mp AS (SELECT m.id AS mid, coalesce(b.positions, []::JSON[]) AS olds, coalesce(b.projects, []::JSON[]) AS projects, coalesce(b.skills, []::VARCHAR[]) AS skills, coalesce(b.bullets, []::VARCHAR[]) AS bullets, b.summary, b.j, b.k, coalesce(b.n_skills, 0) AS n_skills
+      FROM master_resumes m LEFT JOIN (SELECT *, j->'$.skills' AS k, {_n_skills("j->'$.skills'")} AS n_skills FROM bul) b ON b.id = m.id),
+    both_sides AS (SELECT tr.id, words, coalesce(news, []::JSON[]) AS news, new_summary, coalesce(n_new_skills, 0) AS n_new_skills, mp.* FROM tailored_resumes tr LEFT JOIN t3 USING (id) LEFT JOIN words USING (job_id) JOIN mp ON mid = tr.master_resume_id)"""
+_CHANGED = f"""{_BOTH}, pos AS (SELECT id, words, olds, news, unnest(range(least(len(olds), len(news)))) AS position FROM both_sides),
+    pb AS (SELECT id, words, position, {strings("olds[position + 1]->'$.bullets'")} AS o, {strings("news[position + 1]->'$.bullets'")} AS n FROM pos),
+    place AS (SELECT id, words, position::INT AS position, o, n, unnest(range(least(len(o), len(n)))) AS k FROM pb),
+    changed AS (SELECT id, words, position, k::INT AS place, o[k + 1] AS original, n[k + 1] AS modified FROM place)"""
+
+
+def lost(o: str, m: str) -> str:
+    return f"len(list_filter(regexp_extract_all({o}, {q(FIGURES)}, 1), lambda f: NOT list_contains(regexp_extract_all({m}, {q(FIGURES)}, 1), f))) > 0"
+
+
+def warnings(least: int, most: int, bullet: bool) -> str:
+    """Warnings of modified for original, of a bullet or a summary."""
+    n = f"len(list_filter(regexp_split_to_array({strip('modified')}, '\\s+'), lambda w: w <> ''))"
+    has = lambda ws: "(" + " OR ".join(f"contains(lower(modified), {q(w)})" for w in ws) + ")"
+    old = f"list_transform(regexp_extract_all(original, {q(TOKENS)}, 1), lambda s: lower(s))"
+    known = "list_transform(coalesce(words, []::VARCHAR[]), lambda s: lower(s))"
+    fresh = f"len(list_filter(regexp_extract_all(modified, {q(TOKENS)}, 1), lambda t: NOT list_contains({old}, lower(t)) AND NOT list_contains({known}, lower(t)) AND lower(t) NOT IN ({', '.join(map(q, COMMON_WORDS))}) AND (regexp_matches(t, '[0-9]') OR (regexp_matches(t, '^[A-Z]') AND length(t) > 4)))) > 0"
+    named = [("figures removed", lost("original", "modified") if bullet else "false"), ("too short", f"{n} < {least}"), ("too long", f"{n} > {most}"), ("unfit word", has(UNFIT)), ("filler phrase", has(FILLERS) if bullet else "false"), ("new skill", fresh), ("empty", f"{n} = 0")]
+    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {q(k)} END" for k, c in named) + "], lambda w: w IS NOT NULL)"
+
+
+def kw_hits(text: str, words: str = "words") -> str:
+    return f"len(list_filter(list_distinct(list_transform(coalesce({words}, []::VARCHAR[]), lambda w: lower(w))), lambda w: contains(lower({text}), w)))"
+
+
+def cover(text: str) -> str:
+    return f"CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda w: contains(lower({text}), lower(w)))) / len(words) * 100, 1) ELSE 0.0 END"
+
+
+_TAILORING = f"""{_BOTH}, mb AS (SELECT id, olds, news, unnest(range(len(olds))) AS p FROM both_sides),
+    mo AS (SELECT id, p, {strings("olds[p + 1]->'$.bullets'")} AS o, CASE WHEN p < len(news) THEN {strings("news[p + 1]->'$.bullets'")} ELSE []::VARCHAR[] END AS n FROM mb),
+    mk AS (SELECT id, p, o, n, unnest(range(len(o))) AS k FROM mo),
+    ml AS (SELECT id, p, k, o[k + 1] AS o, n[k + 1] AS m FROM mk),
+    mm AS (SELECT id, string_agg(o, ' ' ORDER BY p, k) AS old_text, string_agg(CASE WHEN m IS NULL OR {lost('o', 'm')} THEN o ELSE m END, ' ' ORDER BY p, k) AS new_text, count(*) FILTER (o <> m AND {lost('o', 'm')}) AS n_rejected FROM ml GROUP BY id),
+    x0 AS (SELECT b.*, concat_ws(' ', summary, coalesce(old_text, '')) AS before, concat_ws(' ', coalesce(nullif(new_summary, ''), summary), coalesce(new_text, '')) AS after, coalesce(n_rejected, 0) AS n_rejected,
+      CASE WHEN json_type(k) = 'OBJECT' THEN json_keys(k) END AS names FROM both_sides b LEFT JOIN mm USING (id)),
+    x1 AS (SELECT *, list_transform(skills, lambda s: lower(s)) AS have, list_transform(words, lambda s: lower(s)) AS lw FROM x0),
+    x2 AS (SELECT *, list_filter(words, lambda w, i: contains(lower(after), lower(w)) AND NOT list_contains(have, lower(w)) AND list_position(lw, lower(w)) = i) AS fresh FROM x1),
+    x3 AS (SELECT *, CASE WHEN names IS NOT NULL THEN coalesce(list_filter([{', '.join(map(q, CATEGORIES))}], lambda c: list_contains(names, c))[1], {q(OTHER_CATEGORY)}) END AS target FROM x2),
+    x4 AS (SELECT *, CASE WHEN names IS NULL THEN NULL WHEN len(fresh) = 0 OR list_contains(names, target) THEN names ELSE list_append(names, target) END AS new_names FROM x3),
+    x5 AS (SELECT *, CASE WHEN names IS NULL THEN [list_concat(skills, fresh)] ELSE list_transform(new_names, lambda c: list_concat(CASE WHEN list_contains(names, c) THEN coalesce((k::MAP(VARCHAR, VARCHAR[]))[c], []::VARCHAR[]) ELSE []::VARCHAR[] END, CASE WHEN c = target THEN fresh ELSE []::VARCHAR[] END)) END AS gs FROM x4),
+    x6 AS (SELECT *, flatten(list_transform(gs, lambda g: list_concat(list_filter(g, lambda s: coalesce(list_contains(lw, lower(s)), false)), list_filter(g, lambda s: NOT coalesce(list_contains(lw, lower(s)), false))))) AS listed FROM x5),
+    x7 AS (SELECT *, {cover("concat_ws(' ', before, array_to_string(coalesce(names, skills), ' '))")} AS coverage_before, {cover("concat_ws(' ', after, array_to_string(coalesce(new_names, listed), ' '))")} AS coverage_after FROM x6)"""
 _LOG = """log AS (SELECT event_id || ' ' || CASE event_type WHEN 'error' THEN 'ERROR 429 quota' WHEN 'view' THEN 'WARNING slow' WHEN 'purchase' THEN '[scheduler] Job ''scrape_jobs'' OK'
     WHEN 'click' THEN '[scrape_jobs] Starting' ELSE (event_id % 7) || ' saved, ' || (event_id % 3) || ' updated,' END AS line FROM events)"""
 _YEARS = r"regexp_extract_all(coalesce(nullif(x->>'$.dates', ''), x->>'$.duration', ''), '\d{4}')"
@@ -152,29 +182,29 @@ _LOWERED = "list_transform({a}, lambda y: lower(y))"
 SQL = {
     "t01_normalised_titles": f"SELECT id, {norm(chr(39) + ' ' + chr(39) + ' || company_name || ' + chr(39) + ' ;!' + chr(39))} AS name FROM jobs",
     "t02_canonical_skills": f"SELECT {canon('n', _MORE)} AS skill, count(*) AS n FROM (SELECT {norm('s')} AS n FROM (SELECT unnest(required_skills) AS s FROM jobs) WHERE s IS NOT NULL) GROUP BY 1",
-    "t03_expanded": f"SELECT id, len({expanded('required_skills')})::INT AS n_forms FROM jobs",
+    "t03_expanded": f"SELECT id, array_to_string({expanded('required_skills')}, '|') AS forms FROM jobs",
     "t04_clean": "SELECT id, trim(regexp_replace(coalesce(job_description, ''), '\\s+', ' ', 'g')) AS clean FROM jobs",
     "t05_truncated": "SELECT id, CASE WHEN length(job_description) <= 100 THEN job_description ELSE regexp_replace(left(job_description, 100), ' [^ ]*\\z', '') || '…' END AS short FROM jobs",
     "t06_html": f"SELECT id, {strip(chr(39) + 'A & B ' + chr(39) + ' || regexp_replace(company_name, ' + chr(39) + '[\\s]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS text FROM jobs",
     "t07_urls": "SELECT id, split_part(application_url, '?', 1) AS bare, 'https://board.example/viewjob?jk=k' || id AS canonical FROM jobs",
     "t08_slug_and_host": "SELECT id, left(replace(replace(replace(application_url, 'https://', ''), 'http://', ''), '/', '_'), 50) AS slug, nullif(regexp_extract(application_url, '^[a-z]+://(?:www\\.)?([^/?#]+)', 1), '') AS host FROM jobs",
-    "t09_sentences": f"""SELECT id, len(list_filter(list_transform(string_split(regexp_replace(job_description, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {strip('s')}), lambda s: s <> ''))::INT AS n_sentences FROM jobs""",
+    "t09_sentences": f"""SELECT id, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(job_description, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {strip('s')}), lambda s: s <> ''), '|'), '') AS sentences FROM jobs""",
     "t10_first_sentence": f"""SELECT id, coalesce(left(list_filter(list_transform(string_split(regexp_replace(job_description, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {strip('s')}),
         lambda s: s <> '' AND contains(lower(s), 'travel'))[1], 200), '') AS sentence FROM jobs""",
-    "t11_noise": f"""SELECT v, length(t) <= 1 OR t IN ({', '.join(map(q, NOISE_PLACES))}) OR regexp_matches(t, {q('|'.join(f'(?:{p})' for p in NOISE))}) AS noise
-        FROM (SELECT v, lower({strip('v')}) AS t FROM (SELECT DISTINCT lower(location) AS v FROM jobs WHERE location IS NOT NULL))""",
+    "t11_noise": f"SELECT v, {noisy('v')} AS noise FROM (SELECT DISTINCT lower(location) AS v FROM jobs WHERE location IS NOT NULL)",
     "t12_technical": f"""SELECT s, length(s) >= 2 AND (regexp_matches(s, '[0-9]') OR regexp_matches(s, '[.+-]') OR NOT (lower(s) IN ({', '.join(map(q, PLAIN_WORDS))}))) AS technical FROM {_SKILL_ROWS}""",
-    "t13_negated": r"""SELECT id, regexp_matches(substr(low, greatest(1, k - 50), k - greatest(1, k - 50)), '(?:^|[^\p{L}\p{M}\p{N}_])(no|not|without|don''?t need|doesn''?t require)(?:[^.!?\n\p{L}\p{M}\p{N}_][^.!?\n]{0,39})?$') AS negated
-        FROM (SELECT id, lower(job_description) AS low, strpos(lower(job_description), 'necessary') AS k FROM jobs) WHERE k > 0""",
-    "t14_clean_skill": f"SELECT s, CASE WHEN x IN ({', '.join(map(q, SKILL_LABELS))}) THEN '' ELSE x END AS skill FROM (SELECT s, regexp_replace({_cut}, '{_END}', '') AS x FROM {_SKILL_ROWS})",
+    "t13_negated": r"""SELECT id, coalesce(k > 0 AND regexp_matches(substr(low, greatest(1, k - 50), k - greatest(1, k - 50)), '(?:^|[^\p{L}\p{M}\p{N}_])(no|not|without|don''?t need|doesn''?t require)(?:[^.!?\n\p{L}\p{M}\p{N}_][^.!?\n]{0,39})?\n?$'), false) AS negated
+        FROM (SELECT id, lower(job_description) AS low, strpos(lower(job_description), lower(required_skills[-1])) AS k FROM jobs)""",
+    "t14_clean_skill": f"SELECT s, {cleaned('s')} AS skill FROM {_SKILL_ROWS}",
+    "t15_printable": "SELECT id, regexp_replace(job_title, '[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}" + "".join(f"\\x{{{ord(c):X}}}" for c in _WESTERN) + "]', '?', 'g') AS title FROM jobs",
     "t16_split": f"""SELECT id, CASE WHEN len(p) > 0 THEN array_to_string(p, '|') END AS parts FROM (SELECT id, list_filter(list_transform(string_split(location, ','), lambda s: {strip('s')}), lambda s: s <> '') AS p FROM jobs)""",
+    "t17_titles": r"""SELECT id, array_to_string(list_transform(regexp_extract_all(job_title, '\p{L}+|[^\p{L}]+'), lambda s: upper(left(s, 1)) || lower(substr(s, 2))), '') AS title FROM jobs""",
     "t18_markdown": f"""SELECT id, regexp_replace({strip("regexp_replace('" + '"**' + "' || company_name || '" + '**" ' + "', '\\*\\*|__', '', 'g')")}, '^["''`]+|["''`]+$', '', 'g') AS plain FROM jobs""",
     "t19_voice": f"SELECT doc_id, {voice('text')} AS voice FROM documents",
     "t20_contacts": r"""SELECT doc_id, regexp_extract(coalesce(text, ''), '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+') AS email,
         regexp_replace(regexp_extract(coalesce(text, ''), '\+?1?\s*[-.]?\s*\(?[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}'), '^\s+|\s+$', '', 'g') AS phone,
         regexp_extract(coalesce(text, ''), '(?i)linkedin\.com/in/[\w-]+') AS linkedin, regexp_extract(coalesce(text, ''), '(?i)github\.com/[\w-]+') AS github FROM documents""",
-    "t23_json_or_text": """SELECT id, TRY_CAST(CASE WHEN json_valid(score_breakdown) THEN score_breakdown::JSON->>'$.required' END AS DOUBLE) AS required,
-        TRY_CAST(CASE WHEN json_valid(score_breakdown) THEN score_breakdown::JSON->>'$.experience.score' END AS DOUBLE) AS experience FROM tailored_resumes""",
+    "t23_json_or_text": """SELECT id, CASE WHEN json_valid(score_breakdown) AND json_type(score_breakdown) = 'VARCHAR' THEN score_breakdown::JSON->>'$' ELSE score_breakdown END AS value, score_breakdown AS unquoted FROM tailored_resumes""",
     "r08_posted_dates": """SELECT id, CASE source WHEN 'jobharbor' THEN DATE '2026-01-19' - n::INT WHEN 'hirewell' THEN DATE '2026-01-19' - (7 * floor(n / 7))::INT
         WHEN 'tasknest' THEN DATE '2026-01-19' - (30 * floor(n / 30))::INT ELSE date_posted END AS posted FROM (SELECT id, source, date_posted, datediff('day', date_posted, DATE '2026-01-19') AS n FROM jobs)""",
     "r09_salaries": f"SELECT id, CASE WHEN lower({strip('salary_range')}) NOT IN ({', '.join(map(q, NO_SALARY))}) THEN {strip('salary_range')} END AS salary FROM jobs",
@@ -199,14 +229,29 @@ SQL = {
         {_LIST.format(a='miss[1:5]')} AS first_gaps FROM g""",
     "j06_score_for_active": f"WITH {SKILLS}, one AS (SELECT j2.id, j2.required_skills, rs.resume_skills FROM jobs j2, rs WHERE rs.resume_id = (SELECT min(id) FROM master_resumes WHERE is_active)), {match('one')} SELECT id, {SCORE} AS score FROM m",
     "c12_candidates": f"""WITH {SKILLS}, own AS (SELECT domain, max(id) AS k FROM master_resumes WHERE NOT is_sample AND domain IS NOT NULL GROUP BY domain),
-        cand AS (SELECT jb.id, jb.required_skills, coalesce(own.k, (SELECT min(id) FROM master_resumes WHERE is_active)) AS resume_id FROM jobs jb LEFT JOIN own ON own.domain = jb.domain
+        adv AS (SELECT jb.*, coalesce(own.k, (SELECT min(id) FROM master_resumes WHERE is_active)) AS resume_id FROM jobs jb LEFT JOIN own ON own.domain = jb.domain
           WHERE status = 'analyzed' AND NOT EXISTS (SELECT 1 FROM tailored_resumes t WHERE t.job_id = jb.id)),
-        src AS (SELECT cand.*, resume_skills FROM cand JOIN rs USING (resume_id)), {match('src')} SELECT id, resume_id, {SCORE} AS score FROM m WHERE {SCORE} >= 35""",
-    "r01_sections": f"""WITH l AS (SELECT doc_id, text, string_split_regex(text, '\\r\\n|[\\n\\r\\v\\f\\x{{85}}]') AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM l),
-        h AS (SELECT *, CASE WHEN regexp_matches(trim(line), {_header(PREFERRED_LINES)}, 'i') THEN 2 WHEN regexp_matches(trim(line), {_header(REQUIRED_LINES)}, 'i') THEN 1 END AS head FROM u),
-        s AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k), 1) AS state FROM h),
-        g AS (SELECT doc_id, bool_or(coalesce(head = 1, false)) AS has, string_agg(line, chr(10) ORDER BY k) FILTER (head IS NULL AND state = 1) AS r, string_agg(line, chr(10) ORDER BY k) FILTER (head IS NULL AND state = 2) AS p FROM s GROUP BY doc_id)
-        SELECT d.doc_id, length(CASE WHEN has THEN {strip("coalesce(r, '')")} ELSE {strip('d.text')} END)::INT AS n_required, CASE WHEN d.text IS NOT NULL THEN length({strip("coalesce(p, '')")}) END::INT AS n_preferred FROM documents d LEFT JOIN g USING (doc_id)""",
+        {facts('adv')}, src AS (SELECT adv.id, resume_id, {_LISTED}, asked, level, resume_skills FROM adv JOIN facts USING (id) JOIN rs USING (resume_id)), {score('src')}
+        SELECT id, resume_id, total AS score FROM scored WHERE total >= 35""",
+    "c02_match_score": f"""WITH {SKILLS}, adv AS (SELECT * FROM jobs WHERE id IN (SELECT job_id FROM tailored_resumes)), {facts('adv')},
+        src AS (SELECT t.id AS tailored_id, {_LISTED}, asked, level, resume_skills FROM tailored_resumes t JOIN adv ON adv.id = t.job_id JOIN facts ON facts.id = t.job_id JOIN rs ON rs.resume_id = t.master_resume_id), {score('src')}
+        SELECT tailored_id, total, round(q, 2) AS required, round(p, 2) AS preferred, round(e, 2) AS experience, round(d, 2) AS education, round(bonus, 2) AS bonus FROM scored""",
+    "c11_analysis": f"""WITH {SKILLS}, adv AS (SELECT * FROM jobs WHERE status = 'new' AND length(trim(job_description)) > 0), {facts('adv')},
+        src AS (SELECT id, req, pref, asked, level, resume_skills FROM facts, rs WHERE rs.resume_id = (SELECT min(id) FROM master_resumes WHERE is_active)), {score('src')}, {domain('adv', 'job_title', 'job_description', 'id')}
+        SELECT id, len(req)::INT AS n_required, len(pref)::INT AS n_preferred, CASE WHEN clear THEN d2.d ELSE 'other' END AS domain, round(total, 1) AS match_score, 'analyzed' AS status FROM scored JOIN (SELECT id, clear, d FROM dom) d2 USING (id)""",
+    "r02_experience": f"WITH {_DEMANDING}, {x.experience('dj', 'id', 'text')} SELECT id, skill, years, is_minimum FROM exp",
+    "r03_education": f"WITH {x.education('documents', 'doc_id', 'text')} SELECT doc_id, level, field, is_required FROM edu",
+    "r04_certificates": f"WITH {_DEMANDING}, {x.certificates('dj', 'id', 'text')} SELECT id, name, is_required FROM cert",
+    "r05_requirements": f"""WITH {_DEMANDING}, {x.experience('dj', 'id', 'text')}, {x.education('dj', 'id', 'text')}, {x.certificates('dj', 'id', 'text')},
+        e AS (SELECT id, min(years) AS a, max(years) AS b FROM exp GROUP BY id), d AS (SELECT id, arg_max(level, {x.RANK} - place / 1000.0) AS level, count(*) AS n FROM edu GROUP BY id), c AS (SELECT id, count(*) AS n FROM cert GROUP BY id)
+        SELECT j.id, coalesce(a, 0)::INT AS min_years, coalesce(b, 0)::INT AS max_years, level, coalesce(d.n, 0)::INT AS n_levels, coalesce(c.n, 0)::INT AS n_certificates FROM jobs j LEFT JOIN e USING (id) LEFT JOIN d USING (id) LEFT JOIN c USING (id)""",
+    "r06_phrases": f"WITH {phrases('jobs', 'id', 'job_description', SKILL_NAMES)} SELECT id, phrase, ofs AS place FROM hit",
+    "r07_skills": f"WITH {facts('jobs')} SELECT id, array_to_string(list_sort(req), '|') AS required, array_to_string(list_sort(pref), '|') AS preferred FROM facts",
+    "a29_by_category": f"""WITH {phrases('jobs', 'id', 'job_description', _KEYWORDS)}, k AS (SELECT id, category, list(DISTINCT phrase ORDER BY phrase) AS l FROM hit GROUP BY id, category)
+        SELECT id, category, len(l)::INT AS n, array_to_string(l[1:15], ', ') AS keywords FROM k""",
+    "c11b_flat_analysis": f"""WITH {phrases('jobs', 'id', 'job_description', _KEYWORDS)}, k AS (SELECT id, list(DISTINCT phrase ORDER BY phrase) FILTER (category <> 'soft_skills') AS r, list(DISTINCT phrase ORDER BY phrase) FILTER (category = 'soft_skills') AS p FROM hit GROUP BY id)
+        SELECT j.id, CASE WHEN job_description IS NOT NULL THEN coalesce(array_to_string(r, '|'), '') END AS required, CASE WHEN job_description IS NOT NULL THEN coalesce(array_to_string(p, '|'), '') END AS preferred FROM jobs j LEFT JOIN k USING (id)""",
+    "r01_sections": f"WITH {sections('documents', 'doc_id', 'text')} SELECT doc_id, required, preferred FROM sec",
     "c05_domains": f"WITH {domain('jobs', 'job_title', 'job_description', 'id')} SELECT id, CASE WHEN clear THEN d ELSE 'other' END AS domain, CASE WHEN clear THEN round(best / total, 4) ELSE 0.0 END AS confidence, best::INT AS best, total::INT AS total FROM dom",
     "c06_resume_domains": f"""WITH {PARTS}, src AS (SELECT m.id, array_to_string(list_filter(list_transform(positions, lambda x: x->>'$.title'), lambda t: t IS NOT NULL), ' ') AS tt,
         concat_ws(' ', summary, array_to_string(bullets, ' '), array_to_string(skills, ' ')) AS bb FROM master_resumes m LEFT JOIN bul USING (id)), {domain('src', 'tt', 'bb', 'id')}
@@ -224,10 +269,19 @@ SQL = {
         CASE {' '.join(f"WHEN most > 0 AND n{i} = most THEN {q(ch)}" for i, ch in enumerate(BULLETS))} ELSE 'none' END AS bullet_char,
         CASE WHEN len(letters) = 0 OR len(list_filter(letters, lambda l: regexp_matches(l, '\\p{{Lu}}'))) / len(letters) > 0.8 THEN 'upper' ELSE 'lower' END AS capitalization,
         len(bs) > 0 AND len(list_filter(bs, lambda x: suffix(regexp_replace(x, '\\s+$', ''), '.'))) / len(bs) > 0.6 AS trailing_period, len(bs)::INT AS n_bullets FROM v""",
-    "o10_section_order": f"""WITH {PARTS}, o AS (SELECT m.id, list_distinct(list_transform(coalesce({strings("j->'$.section_order'")}, []::VARCHAR[]), lambda s: replace(lower(trim(s)), ' ', '_'))) AS raw,
-        list_transform(coalesce({strings("j->'$.section_order'")}, []::VARCHAR[]), lambda s: replace(lower(trim(s)), ' ', '_')) AS ord FROM master_resumes m LEFT JOIN parts USING (id)),
-        f AS (SELECT id, list_filter(ord, lambda s, i: list_contains([{', '.join(map(q, SECTIONS))}], s) AND list_position(ord, s) = i) AS head FROM o)
-        SELECT id, array_to_string(list_concat(head, list_filter([{', '.join(map(q, SECTIONS))}], lambda s: NOT list_contains(head, s))), '|') AS sections FROM f""",
+    "o10_section_order": f"WITH {PARTS} SELECT m.id, {ordered('j', SECTIONS)} AS sections FROM master_resumes m LEFT JOIN parts USING (id)",
+    "c09_bullet_checks": f"""WITH {_CHANGED}, w AS (SELECT id, position, place, {warnings(*BULLET_WORDS, True)} AS w FROM changed WHERE original <> modified)
+        SELECT id, position, place, coalesce(array_to_string(w, '|'), '') AS warnings, len(w) = 0 AS is_valid, greatest(0, 100 - 20 * len(w))::INT AS score FROM w""",
+    "c10_resume_checks": f"""WITH {_CHANGED}, w AS (SELECT id, count(*) AS n, count(*) FILTER (len({warnings(*BULLET_WORDS, True)}) = 0) AS ok FROM changed WHERE original <> modified GROUP BY id),
+        sv AS (SELECT id, len({warnings(*SUMMARY_WORDS, False)}) = 0 AS ok FROM (SELECT id, words, summary AS original, new_summary AS modified FROM both_sides WHERE length(summary) > 0 AND length(new_summary) > 0 AND summary <> new_summary))
+        SELECT b.id, coalesce(n, 0) AS n_checked, coalesce(w.ok, 0) AS n_valid, sv.ok AS summary_valid, n_new_skills < n_skills AS fewer_skills, coalesce(n = w.ok, true) AND coalesce(sv.ok, true) AND n_new_skills >= n_skills AS is_valid
+        FROM both_sides b LEFT JOIN w USING (id) LEFT JOIN sv USING (id)""",
+    "c15_tailoring": f"""WITH {_TAILORING} SELECT id, {_LIST.format(a='listed[1:5]')} AS first_skills, len(listed)::INT AS n_skills,
+        {_LIST.format(a="list_transform(list_sort(list_transform(projects, lambda p, i: {'r': -" + kw_hits("concat_ws(' ', coalesce(p->>'$.name', ''), coalesce(p->>'$.description', ''), array_to_string(" + strings("CASE WHEN coalesce(json_type(p->'$.technologies'), 'NULL') = 'NULL' THEN p->'$.tech' ELSE p->'$.technologies' END") + ", ' '))") + ", 'i': i, 'n': coalesce(p->>'$.name', '')}))[1:3], lambda z: z.n)")} AS projects,
+        {_LIST.format(a="list_transform(list_sort(list_transform(list_sort(list_transform(bullets, lambda t, i: {'r': -" + kw_hits('t') + ", 'i': i}))[1:3], lambda z: z.i)), lambda i: (i - 1)::VARCHAR)")} AS bullet_places,
+        coverage_before, coverage_after, round(coverage_after - coverage_before, 1) AS improvement, n_rejected::INT AS n_rejected,
+        coalesce(list_sum(list_transform(olds, lambda x: CASE WHEN len({_YEARS}) >= 2 THEN abs({_YEARS}[-1]::INT - {_YEARS}[1]::INT) ELSE 0 END)), 0)::INT AS years,
+        {ordered("j", ("personal_info", "professional_summary", "work_experience", "skills", "education", "certifications", "projects"))} AS sections FROM x7""",
     "j10_bullet_pairs": f"WITH {_CHANGED} SELECT id, position, place, original = modified AS same FROM changed",
     "o04_skill_order": f"""WITH {PAIRS}, x AS (SELECT tailored_id, coalesce(resume_skills, []::VARCHAR[]) AS r, list_transform(coalesce(required_skills, []::VARCHAR[]), lambda s: lower(s)) AS w FROM pairs)
         SELECT tailored_id, {_LIST.format(a="list_concat(list_filter(r, lambda s: list_contains(w, lower(s))), list_filter(r, lambda s: NOT list_contains(w, lower(s))))")} AS skills FROM x""",

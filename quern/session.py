@@ -98,10 +98,6 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-#: Bytes of a table that are worth a task of their own.
-TASK_BYTES = 4 << 20
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -109,11 +105,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def heavy(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """The table's columns for work that costs far more than reading them.
 
-    A table of fewer bytes than TASK_BYTES a core lies in so few row groups that most cores would idle; its rows
-    are dealt out evenly, whatever their keys. A larger table is read as it lies, without a shuffle.
+    Rows stay where they are read. Only a session that sets quern.spread to a number of partitions, as for tests on tables of
+    one row group, has them dealt out evenly over so many, whatever the table's size and keys.
     """
-    whole = table(spark, folder, name)
-    d = whole.select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(whole._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return d.repartition(cores) if size < cores * TASK_BYTES else d
+    d = table(spark, folder, name).select(*columns)
+    n = int(spark.conf.get("quern.spread", "0"))
+    return d.repartition(n) if n > 0 else d

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import sets
 from quern.operators import classify, extract, quota, resume_text, resumes, skills, upsert
 
+
 @pytest.fixture(autouse=True, scope="module")
 def columns(spark):
     global A, B
@@ -73,6 +74,35 @@ def test_experience():
     assert f("3-5 years of Go")[0][1] == 5 and f("3 to 5 years of Go")[0][1] == 3
 
 
+def test_places_of_experience_are_all_matches_of_the_pattern():
+    import random
+
+    random.seed(5)
+    form = extract._FORMS[2]
+    for _ in range(2000):
+        t = "".join(random.choice(["ab", "c", " ", "  ", ":", "3", " years", "year", "+", "\n", "x" * 20, "- "]) for _ in range(25))
+        assert [m.span() for m in form.places(t)] == [m.span() for m in form.pattern.finditer(t)], t
+
+
+def test_sections_of_one_text_are_those_of_the_column(spark):
+    import random
+
+    random.seed(6)
+    lines = ["Requirements:", "nice to have", " Preferred ", "a", "", " b", "plus", "c\td"]
+    texts = ["\n".join(random.choices(lines, k=6)) for _ in range(200)] + ["", " ", "\n"]
+    got = spark.createDataFrame([(t,) for t in texts], "a string").select("a", extract.sections(A).alias("s")).collect()
+    assert all(extract.parts(r.a) == (r.s.required, r.s.preferred) for r in got)
+
+
+def test_facts(spark):
+    find = extract.facts_finder(spark.createDataFrame([("sql", "skill"), ("go", "skill"), ("trust", "soft_skills"), ("texas", "skill")], "phrase string, category string"), lambda t: ["spacy", "go"])
+    t = "Requirements:\nSQL, Texas and trust, 3+ years of Go and more\nNice to have:\nSQL, Go. MBA, master"
+    rows = spark.createDataFrame([(t,), (None,), (" ",)], "a string").select(find(A).alias("f")).collect()
+    f = rows[0].f
+    assert (f.required, f.preferred, f.asked, f.level) == (["sql", "go", "spacy"], [], ["go"], "mba")
+    assert all(r.f.required == [] and r.f.level is None for r in rows[1:])
+
+
 def test_education_and_certificates():
     assert [(x["level"], x["is_required"]) for x in extract.education("Bachelor's degree in Physics. PhD preferred")] == [("bachelor", False), ("phd", False)]
     assert extract.education("managed")[0]["level"] == "high_school"
@@ -105,7 +135,7 @@ def test_phrases_against_one_pattern_each():
         for w in sorted(words, key=len, reverse=True):
             for m in re.finditer(rf"\b{re.escape(w)}\b", t):
                 a, e = m.span()
-                if not any(x <= a and e <= y for x, y in spans) and not p.negation.search(t[max(0, a - 50) : a]):
+                if not any(x <= a and e <= y for x, y in spans) and not extract._NEGATION.search(t[max(0, a - 50) : a]):
                     spans.append((a, e))
                     want.append((w, a))
         assert sorted((w, a) for w, _, a in p.find(t)) == sorted(want), t
@@ -120,9 +150,10 @@ def test_resume_text(spark):
 
 def test_domain(spark):
     d = row(spark, "a string, b string", "Data Analyst", "sql sql nurse")
-    c = d.select(classify.domain_of(A, B).alias("c")).first().c
-    assert (c.domain, c.best, c.total) == ("data", 8, 9) and c.confidence == 0.8889
-    assert d.select(classify.domain_of(F.lit(None).cast("string"), F.lit("sql nurse")).alias("c")).first().c.domain == "other"
+    find = classify.domain_finder(classify.keyword_table(spark))
+    c = d.select(find(A, B).alias("c")).first().c
+    assert (c.domain, c.best, c.total) == ("data", 8, 9) and round(c.confidence, 4) == 0.8889
+    assert d.select(find(F.lit(None).cast("string"), F.lit("sql nurse")).alias("c")).first().c.domain == "other"
 
 
 def test_document_kind(spark):
