@@ -20,6 +20,9 @@ def char_class(ranges: str) -> str:
     return "".join("-".join(re.escape(chr(int(x, 16))) for x in r.split("-")) for r in ranges.split())
 
 
+#: Texts that this does not match are left as they are by visible(): ASCII, Latin-1 letters, dashes, quotes, bullet, currency signs.
+MAY_CHANGE = "[^\\x00-\\x7F\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u00FF\\u2013\\u2014\\u2018-\\u201D\\u2022\\u20AC\\u20B9\\u00A3]"
+
 # Letters of other alphabets, and of phonetic script, with the Latin letter of the same shape.
 LOOK_ALIKES = {
     # Cyrillic

@@ -352,8 +352,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_entries(spark: SparkSession, folder: str) -> DataFrame:
-    """The parents with their JSON text."""
-    return flatten_records(resume_records(spark, folder)).where("item_no = -1").select("record_kind", "record_id", "section", "entry_no", F.col("value").alias("entry_json"))
+    """The parents with their JSON text, objects and lists in compact form."""
+    compact = F.when(F.substring("value", 1, 1).isin("{", "["), F.get_json_object("value", "$")).otherwise(F.col("value"))
+    return flatten_records(resume_records(spark, folder)).where("item_no = -1").select("record_kind", "record_id", "section", "entry_no", compact.alias("entry_json"))
 
 
 def p3_items(spark: SparkSession, folder: str) -> DataFrame:

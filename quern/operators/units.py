@@ -2,7 +2,7 @@
 
 Conversions are edges between units with affine functions y = a x + b. The shortest compositions from every
 unit to the canonical one are worked out once, cycles are checked to be the identity, and amounts are
-converted by an equi-join on their source unit.
+converted by an equi-join on their source unit. Scales (thousand, lakh) are units like others.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from collections import deque
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.chars import char_class, visible
+from quern.functions.chars import MAY_CHANGE, char_class, visible
 from quern.session import heavy, table
 
 MOST_UNITS = 10_000
@@ -57,18 +57,19 @@ def compose(edges: list[Edge], target: str, tolerance: float = 1e-9) -> list[tup
 
 
 def pay_edges(factors: list[tuple[str, str, float]]) -> list[Edge]:
-    """Edges between units of pay 'currency/period': an amount a period to one a year, a currency to USD."""
-    money = [(c, f) for k, c, f in factors if k == "currency"]
-    spans = [(c, f) for k, c, f in factors if k == "period"]
+    """Edges between units of pay 'currency/period' and 'currency/period/scale': scaled amounts to plain ones, an amount a period
+    to one a year, a currency to USD."""
+    money, spans, scales = ([(c, f) for k, c, f in factors if k == kind] for kind in ("currency", "period", "scale"))
+    scaled = [(f"{m}/{p}/{s}", f"{m}/{p}", f, 0.0) for m, _ in money for p, _ in spans for s, f in scales]
     per = [(f"{m}/{p}", f"{m}/year", f, 0.0) for m, _ in money for p, f in spans if p != "year"]
-    return per + [(f"{m}/year", "USD/year", f, 0.0) for m, f in money if m != "USD"]
+    return scaled + per + [(f"{m}/year", "USD/year", f, 0.0) for m, f in money if m != "USD"]
 
 
-# The forms in which units are written, by code of unit_factors.
+# The forms in which units are written, by code of unit_factors. A code that isn't here is written as itself.
 CURRENCIES = {
-    "CAD": r"CAD|C\$|CA\$|Canadian dollars?", "AUD": r"AUD|A\$|AU\$|Australian dollars?",
-    "USD": r"USD|US\$|\$|(?:US )?dollars?", "EUR": r"EUR|€|euros?", "GBP": r"GBP|£|pounds?(?: sterling)?",
-    "CHF": r"CHF|(?:Swiss )?francs?|SFr\.?|Fr\.", "INR": r"INR|₹|Rs\.?|rupees?", "SEK": r"SEK|(?:Swedish )?kron(?:or|a)|kr",
+    "CAD": ("CAD", "C$", "CA$", "Canadian dollars?"), "AUD": ("AUD", "A$", "AU$", "Australian dollars?"),
+    "USD": ("USD", "US$", "$", "(?:US )?dollars?"), "EUR": ("EUR", "€", "euros?"), "GBP": ("GBP", "£", "pounds?(?: sterling)?"),
+    "CHF": ("CHF", "(?:Swiss )?francs?", r"SFr\.?", r"Fr\."), "INR": ("INR", "₹", r"Rs\.?", "rupees?"), "SEK": ("SEK", "(?:Swedish )?kron(?:or|a)", "kr"),
 }
 PERIODS = {
     "hour": r"hourly|hours?|hrs?|p/?h|/h|p\.h\.|stunden?|stündlich|std\.?|heures?|horas?",
@@ -77,6 +78,8 @@ PERIODS = {
     "month": r"monthly|months?|mos?|p/?m|p\.m\.|pcm|monate?|monatlich|mois|meses|mes",
     "year": r"yearly|annual(?:ly)?|annum|years?|yrs?|p/?a|p\.a\.|lpa|jahre?|jährlich|(?:par|/) ?ans?|année|años?",
 }
+SCALES = {"k": "k|thousand|tausend|mille", "m": "m|mn|million", "lakh": "lakhs?|lpa|l"}
+SIGNS = "$€£₹"
 WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
     "seventeen eighteen nineteen"
@@ -84,17 +87,13 @@ WORDS = (
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 
 _LEFT, _RIGHT = r"(?<![^\W\d_])", r"(?![^\W\d_])"
-_CURRENCY = re.compile("|".join(f"(?P<{c}>{_LEFT}(?:{p}){_RIGHT})" if c not in ("USD", "EUR", "GBP", "INR", "CAD", "AUD") else f"(?P<{c}>(?:{_LEFT}(?:{'|'.join(x for x in p.split('|') if x[-1:] not in '$€£₹')}){_RIGHT})|{'|'.join(x if x != chr(36) else chr(92) + chr(36) for x in p.split('|') if x[-1:] in '$€£₹')})" for c, p in CURRENCIES.items()), re.I)
-_PERIOD = re.compile("|".join(f"(?P<{c}>(?<![^\\W\\d_])(?:{p}){_RIGHT})" for c, p in PERIODS.items()), re.I)
 _NUMBER_WORD = re.compile(rf"{_LEFT}(?:(?:{'|'.join(TENS)})(?:[- ](?:{'|'.join(WORDS[1:10])}))?|{'|'.join(WORDS)}){_RIGHT}(?: hundred)?", re.I)
 _VALUE = r"\d{1,3}(?:[ ,.'’]\d{2,3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?:[.,]\d+)?"
-_AMOUNT = re.compile(rf"(?<![\w.,])(?P<v>{_VALUE}) ?(?P<s>k|m|mn|thousand|tausend|mille|million|lakhs?|lpa|l|crores?)?(?![^\W_])", re.I)
 # what carries figures and is no pay
 _ASIDE = re.compile(
     r"\([^)]*\)|\d+(?:[.,]\d+)? ?%(?: bonus)?|\+ ?bonus.*$|\bplus\b.*$|\band \d+ .*$|\+.*$"
     r"|^\s*(?:ref|grade|level|band|job|id|step|tier|class)\b\.?:? ?[\w/.-]*\s*(?:[|·:–—-]\s*|$)", re.I)
 _DASH = re.compile(f"[{char_class('2010-2015')}]")
-_SCALES = {"k": "k", "thousand": "k", "tausend": "k", "mille": "k", "m": "m", "mn": "m", "million": "m", "lakh": "lakh", "lakhs": "lakh", "lpa": "lakh", "l": "lakh"}
 
 
 def number(text: str, scale: str = "") -> Decimal:
@@ -124,116 +123,193 @@ def _words_to_figures(text: str) -> str:
     return _NUMBER_WORD.sub(figure, text)
 
 
-def _first(pattern: re.Pattern, text: str) -> str | None:
-    m = pattern.search(text)
-    return m.lastgroup if m else None
-
-
-def pay(text: str | None) -> tuple[str | None, str | None, str | None, str | None, str | None, str | None] | None:
-    """(low, low's scale, high, high's scale, currency, period) as written; None without an amount of pay.
-
-    The scale of one end goes for both if the other has none. Percentages, bonuses, days of leave, text in
-    brackets and leading grades or references are left out. Null, empty and wordless texts give None.
-    """
-    if not text:
-        return None
-    s = _words_to_figures(" ".join(_DASH.sub("-", visible(text)).split()))
-    while (t := _ASIDE.sub(" ", s).strip()) != s:
-        s = t
-    found = [(number(m["v"], (m["s"] or "").lower()), _SCALES.get((m["s"] or "").lower()), m) for m in _AMOUNT.finditer(_CURRENCY.sub(lambda m: " " * len(m.group()), s))]
-    if not found:
-        return None
-    found = found[:2]
-    rest = s
-    for m in reversed([m for _, _, m in found]):  # units are looked for outside the figures
-        rest = rest[: m.start("v")] + " " + ("a year INR" if (m["s"] or "").lower() == "lpa" else "") + " " + (rest[m.end() :] if m["s"] else rest[m.end("v") :])
-    scales = [x for _, x, _ in found]
-    if len(found) == 2 and scales[0] is None:
-        scales[0] = scales[1]
-    (a, b), (sa, sb) = ((found[0][0],) * 2, (scales[0],) * 2) if len(found) == 1 else ((found[0][0], found[1][0]), scales)
-    currency, period = _first(_CURRENCY, rest), _first(_PERIOD, _CURRENCY.sub(" ", rest))
-    if period is None and re.search(r"lakh|lpa", s, re.I):
-        period = "year"
-    return str(a), sa, str(b), sb, currency, period
-
+# Codes of currencies (ISO 4217), but for ALL, TOP and TRY, which are words as well.
+ISO_CODES = (
+    "AED AFN AMD AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BRL BSD BTN BWP BYN BZD CAD CDF CHF CLP CNY COP CRC CUP CVE CZK DJF DKK "
+    "DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW "
+    "KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR "
+    "PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TTD TWD TZS UAH UGX USD UYU UZS VES "
+    "VND VUV WST XAF XCD XOF XPF YER ZAR ZMW"
+).split()
+_ISO = frozenset(ISO_CODES)
+_SIGN = re.compile(f"[{char_class('00A2-00A5 058F-058F 060B-060B 09F2-09F3 0E3F-0E3F 17DB-17DB 20A0-20C0')}]")
 
 # a sentence that says how pay is counted: it speaks of pay and holds no figure
 _CUE = re.compile(r"\b(?:pay|paid|earn(?:ings)?|salar(?:y|ies)|money|amounts?|rates?|range|figures|wages?|compensation|remuneration)\b", re.I)
 _NO_CUE = re.compile(r"\d|bonus|\bsign-on|travel|voucher|turned over|turnover", re.I)
-_NAMED = "|".join(x for p in CURRENCIES.values() for x in p.split("|") if x[-1:] not in "$€£₹")
-#: JVM-side test for descriptions worth sending to Python; wider than units_said().
-MAY_SAY = r"(?i)(dollar|euro|pound|franc|rupee|kron|sterling|USD|EUR|GBP|CHF|INR|SEK|CAD|AUD|[^\x00-\x7F])"
 
+Pay = tuple[str | None, str | None, str | None, str | None, str | None, str | None]
+NO_PAY: Pay = (None,) * 6
+
+
+class Units:
+    """Reads amounts and units out of text, those of the forms above and others of factors (kind, code, factor)."""
+
+    def __init__(self, factors: list[tuple[str, str, float]]) -> None:
+        codes = {kind: [c for k, c, _ in factors if k == kind] for kind in ("currency", "period", "scale")}
+        self.scale = {c: f for k, c, f in factors if k == "scale"}
+        forms = {c: (re.escape(c),) for c in codes["currency"] if c not in CURRENCIES} | CURRENCIES
+        named = {c: [f for f in fs if f[-1] not in SIGNS] for c, fs in forms.items()}
+        periods = {c: rf"{re.escape(c)}(?:s|ly)?" for c in codes["period"] if c not in PERIODS} | PERIODS
+        words = {c: re.escape(c) for c in codes["scale"] if c not in SCALES} | SCALES | {"crore": "crores?"}
+        self.codes = {"c": list(forms), "p": list(periods), "s": list(words)}
+        either = lambda c: "|".join([f"{_LEFT}(?:{'|'.join(named[c])}){_RIGHT}", *(re.escape(f) for f in forms[c] if f[-1] in SIGNS)])
+        self.currency = self._pattern([f"(?P<c{i}>{either(c)})" for i, c in enumerate(forms)])
+        self.named = re.compile(f"{_LEFT}(?:{'|'.join(f for fs in named.values() for f in fs) or '(?!)'}){_RIGHT}", re.I)
+        #: What a description without other letters than these of plain Latin writing must match to be worth reading.
+        self.may_say = "(?i)(?<![a-z])(?:" + ("|".join(f for fs in named.values() for f in fs) or "(?!)") + ")(?![a-z])"
+        self.period = self._pattern([f"(?P<p{i}>{_LEFT}(?:{p}){_RIGHT})" for i, p in enumerate(periods.values())])
+        scales = "|".join(f"(?P<s{i}>{w})" for i, w in enumerate(words.values()))
+        self.amount = re.compile(rf"(?<![\w.,])(?P<v>{_VALUE}) ?(?P<s>{scales})?(?![^\W_])", re.I)
+
+    @staticmethod
+    def _pattern(forms: list[str]) -> re.Pattern:
+        return re.compile("|".join(forms) or "(?!)", re.I)
+
+    def _first(self, pattern: re.Pattern, text: str) -> str | None:
+        m = pattern.search(text)
+        return self.codes[m.lastgroup[0]][int(m.lastgroup[1:])] if m else None
+
+    def _scale(self, m: re.Match) -> str | None:
+        return next((c for i, c in enumerate(self.codes["s"]) if m[f"s{i}"]), None) if m["s"] else None
+
+    def _size(self, value: Decimal, scale: str | None) -> float:
+        return float(value) * self.scale.get(scale, 1.0)
+
+    def _foreign(self, text: str) -> str | None:
+        """A currency that no form stands for: a sign, or a code of ISO_CODES, beside an amount."""
+        for m in self.amount.finditer(text):
+            before, after = text[: m.start()].rstrip()[-3:], text[m.end() :].lstrip()[:3]
+            sign = _SIGN.match(before[-1:]) or _SIGN.match(after[:1])
+            code = next((c for c in (before, after) if c in _ISO), None)
+            if sign or code:
+                return sign.group() if sign else code
+        return None
 
-def units_said(text: str | None) -> tuple[str | None, str | None]:
-    """(currency, period) that a description gives for its pay. Later sentences fill what earlier ones lack."""
-    currency = period = None
-    for s in re.split(r"(?<=[.!?])\s+|\n", visible(text or "")):
-        if _CUE.search(s) and not _NO_CUE.search(s) and (m := re.search(rf"{_LEFT}(?:{_NAMED}){_RIGHT}", s, re.I)):
-            currency = currency or _first(_CURRENCY, m.group())
-            if period is None:
-                period = _first(_PERIOD, _CURRENCY.sub(" ", s))
-    return currency, period
+    def _inherits(self, value: Decimal, after: tuple[Decimal, str | None] | None) -> bool:
+        """Whether an amount without scale has that of the next: if that brings the two nearer to each other."""
+        if not after or not after[1] or not value or not after[0]:
+            return False
+        apart = lambda x: max(x, 1 / x)
+        ratio = float(value / after[0])
+        return apart(ratio) <= apart(ratio / self.scale.get(after[1], 1.0))
+
+    def pay(self, text: str | None) -> Pay | None:
+        """(low, low's scale, high, high's scale, currency, period) as written; None without an amount of pay.
+
+        Of more than two amounts the least and the greatest count. An amount without a scale has that of the next one where
+        that brings the two nearer to each other. Percentages, bonuses, days of leave, text in brackets and leading grades or references are left
+        out. A currency or scale that no code stands for comes out as written. Null, empty and wordless texts give None.
+        """
+        if not text:
+            return None
+        s = _words_to_figures(" ".join(_DASH.sub("-", visible(text)).split()))
+        while (t := _ASIDE.sub(" ", s).strip()) != s:
+            s = t
+        bare = self.currency.sub(lambda m: " " * len(m.group()), s)
+        found = [(number(m["v"], (m["s"] or "").lower()), self._scale(m), m) for m in self.amount.finditer(bare)]
+        if not found:
+            return None
+        rest = s
+        for _, _, m in reversed(found):  # units are looked for outside the figures
+            rest = rest[: m.start("v")] + " " + ("a year INR" if (m["s"] or "").lower() == "lpa" else "") + " " + (rest[m.end() :] if m["s"] else rest[m.end("v") :])
+        ends, after = [], None
+        for value, scale, _ in reversed(found):
+            after = (value, after[1] if not scale and self._inherits(value, after) else scale)
+            ends.append(after)
+        low, high = (f(reversed(ends), key=lambda e: self._size(*e)) for f in (min, max))
+        currency, period = self._first(self.currency, rest), self._first(self.period, self.currency.sub(" ", rest))
+        if period is None and re.search(r"lakh|lpa", s, re.I):
+            period = "year"
+        return str(low[0]), low[1], str(high[0]), high[1], currency or self._foreign(bare), period
+
+    def said(self, text: str | None) -> tuple[str | None, str | None]:
+        """(currency, period) that a description gives for its pay. Later sentences fill what earlier ones lack."""
+        currency = period = None
+        for s in re.split(r"(?<=[.!?])\s+|\n", visible(text or "")):
+            if _CUE.search(s) and not _NO_CUE.search(s) and (m := self.named.search(s)):
+                currency = currency or self._first(self.currency, m.group())
+                if period is None:
+                    period = self._first(self.period, self.currency.sub(" ", s))
+        return currency, period
 
 
 _PAY = T.StructType([T.StructField(c, T.StringType()) for c in ("low", "low_scale", "high", "high_scale", "currency", "period")])
 _SAID = T.StructType([T.StructField(c, T.StringType()) for c in ("currency", "period")])
+_units: dict[tuple, Units] = {}
 
 
-@F.pandas_udf(_PAY)
-def pay_of(texts: pd.Series) -> pd.DataFrame:
-    codes, values = pd.factorize(texts)  # each distinct value of the batch is read once
-    rows = [pay(v) or (None,) * 6 for v in values] + [(None,) * 6]
-    return pd.DataFrame([rows[c] for c in codes], columns=_PAY.names)
+def _reader(factors: list[tuple[str, str, float]]) -> Units:
+    key = tuple(factors)
+    if key not in _units:
+        _units.clear()
+        _units[key] = Units(factors)
+    return _units[key]
 
 
-@F.pandas_udf(_SAID)
-def said_of(texts: pd.Series) -> pd.DataFrame:
-    codes, values = pd.factorize(texts)
-    rows = [units_said(v) for v in values] + [(None, None)]
-    return pd.DataFrame([rows[c] for c in codes], columns=_SAID.names)
+def _each(kind: T.StructType, factors: list[tuple[str, str, float]], what: str, none: tuple):  # noqa: ANN202
+    """The method what of Units over a column, each distinct value of a batch read once."""
 
+    def over(texts: pd.Series) -> pd.DataFrame:
+        codes, values = pd.factorize(texts)
+        read = getattr(_reader(factors), what)
+        rows = [read(v) or none for v in values] + [none]
+        return pd.DataFrame([rows[c] for c in codes], columns=kind.names)
 
-def conversions(factors: DataFrame) -> DataFrame:
-    """unit, a, b, steps to USD/year from unit_factors (kind, code, factor).
+    over.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(over, kind)
 
-    Rows with a null are left out. The result has currencies x periods rows; over MOST_UNITS raise ValueError,
-    so broadcasting it is safe.
-    """
+
+def known_factors(factors: DataFrame) -> list[tuple[str, str, float]]:
+    """Rows of unit_factors on the driver, those with a null left out; over MOST_UNITS raise ValueError."""
     rows = factors.select("kind", "code", "factor").dropna().distinct().limit(MOST_UNITS + 1).collect()
     if len(rows) > MOST_UNITS:
         raise ValueError(f"over {MOST_UNITS} units")
-    found = compose(pay_edges([tuple(r) for r in rows]), "USD/year")
-    return factors.sparkSession.createDataFrame(found, "unit string, a double, b double, steps int")
+    return sorted(tuple(r) for r in rows)
 
 
-def annual_pay(jobs: DataFrame, factors: DataFrame) -> DataFrame:
-    """id, low_usd, high_usd of each row of jobs whose salary_range holds an amount of pay.
+def conversions(factors: DataFrame) -> DataFrame:
+    """unit, a, b, steps to USD/year from unit_factors (kind, code, factor).
 
-    A unit in salary_range counts first, then one job_description gives for the pay, then USD and year. Rows
-    without an amount, with null or blank salary_range, or with a unit that has no conversion, are left out.
-    Ends are rounded half up to whole dollars, the smaller is low; repeated rows come out as often as they
-    come in. One narrow pass and a broadcast equi-join: no shuffle, so no skew.
+    Rows with a null are left out. The result has a row for each currency, period and scale, at most MOST_UNITS, else
+    ValueError is raised; so broadcasting it is safe.
     """
-    rows = factors.where("kind = 'scale'").select("code", "factor").dropna().limit(MOST_UNITS).collect()
-    scale = {r.code: r.factor for r in rows}
+    return factors.sparkSession.createDataFrame(compose(pay_edges(known_factors(factors)), "USD/year"), "unit string, a double, b double, steps int")
+
 
-    def scaled(v: str, s: str) -> Column:
-        by = F.coalesce(*[F.when(F.col(s) == k, F.lit(f)) for k, f in scale.items()], F.when(F.col(s).isNull(), F.lit(1.0)))
-        return F.col(v).cast("double") * by
+def amounts(jobs: DataFrame, factors: DataFrame) -> DataFrame:
+    """id, low, high as written, unit and high_unit, low_usd, high_usd (null for a unit without conversion) of each row of
+    jobs whose salary_range holds an amount of pay.
 
+    A unit in salary_range counts first, then one job_description gives for the pay, then USD and year; a currency or scale that
+    no code stands for is a unit of its own, without conversion. Rows without an amount, with null or blank salary_range,
+    are left out. Ends are rounded half up to whole dollars, the smaller is low; repeated rows come out as often as they
+    come in. One narrow pass and broadcast equi-joins on the source units: no shuffle, so no skew.
+    """
+    known = known_factors(factors)
+    pay_of, said_of = _each(_PAY, known, "pay", NO_PAY), _each(_SAID, known, "said", (None, None))
+    text = F.col("job_description")
+    worth = text.rlike(_reader(known).may_say) | (F.octet_length(text) > F.length(text)) & text.rlike(MAY_CHANGE)
+    unit = lambda scale: F.concat_ws("/", F.coalesce("currency", "said.currency", F.lit("USD")), F.coalesce("period", "said.period", F.lit("year")), scale)
     d = (
         jobs.where(F.col("salary_range").isNotNull())
         .select("id", "job_description", pay_of("salary_range").alias("p"))
         .where("p.low is not null")
-        .select("id", "p.*", F.when((F.col("p.currency").isNull() | F.col("p.period").isNull()) & F.col("job_description").rlike(MAY_SAY), F.col("job_description")).alias("said"))
+        .select("id", "p.*", F.when((F.col("p.currency").isNull() | F.col("p.period").isNull()) & worth, text).alias("said"))
         .withColumn("said", said_of("said"))
-        .select("id", scaled("low", "low_scale").alias("x"), scaled("high", "high_scale").alias("y"),
-                F.concat_ws("/", F.coalesce("currency", "said.currency", F.lit("USD")), F.coalesce("period", "said.period", F.lit("year"))).alias("unit"))
+        .select("id", "low", "high", unit("low_scale").alias("unit"), unit("high_scale").alias("high_unit"))
     )
-    to = F.broadcast(conversions(factors))
-    x, y = (F.round(F.col(c) * F.col("a") + F.col("b")).cast("long") for c in "xy")
-    return d.join(to, "unit").select("id", F.least(x, y).alias("low_usd"), F.greatest(x, y).alias("high_usd"))
+    to = conversions(factors).drop("steps")
+    for x, key in (("x", "unit"), ("y", "high_unit")):
+        d = d.join(F.broadcast(to.toDF(key, f"{x}a", f"{x}b")), key, "left")
+    x, y = (F.round(F.col(c).cast("double") * F.col(f"{k}a") + F.col(f"{k}b")).cast("long") for c, k in (("low", "x"), ("high", "y")))
+    both = F.col("xa").isNotNull() & F.col("ya").isNotNull()
+    return d.select("id", "low", "high", "unit", "high_unit", F.when(both, F.least(x, y)).alias("low_usd"), F.when(both, F.greatest(x, y)).alias("high_usd"))
+
+
+def annual_pay(jobs: DataFrame, factors: DataFrame) -> DataFrame:
+    """id, low_usd, high_usd of amounts() with a conversion."""
+    return amounts(jobs, factors).where("low_usd is not null").select("id", "low_usd", "high_usd")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -241,6 +317,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return annual_pay(jobs, table(spark, folder, "unit_factors")).withColumnRenamed("id", "job_id")
 
 
+def p6_unknown(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of adverts whose pay is in a unit without conversion: job_id, low, high, unit."""
+    jobs = heavy(spark, folder, "jobs", "id", "salary_range", "job_description")
+    found = amounts(jobs, table(spark, folder, "unit_factors")).where("low_usd is null")
+    return found.select(F.col("id").alias("job_id"), "low", "high", "unit")
+
+
 def p6_units(spark: SparkSession, folder: str) -> DataFrame:
     """The composed conversions themselves."""
     return conversions(table(spark, folder, "unit_factors"))

@@ -9,6 +9,7 @@ QUERIES = {
     "p3_entries": nested.p3_entries,
     "p3_items": nested.p3_items,
     "p6_found": units.p6_found,
+    "p6_unknown": units.p6_unknown,
     "p6_units": units.p6_units,
 }
 
@@ -44,12 +45,13 @@ _ROWS = f"""
 SQL = {
     "p3_found": f"SELECT record_kind, record_id, section, entry_no, item_kind, item_no FROM ({_ROWS})",
     "p3_items": f"SELECT record_kind, record_id, section, entry_no, item_kind, item_no, e->>'$' AS item_text FROM ({_ROWS}) WHERE item_no >= 0",
+    "p3_entries": f"SELECT record_kind, record_id, section, entry_no, e::VARCHAR AS entry_json FROM ({_ROWS}) WHERE item_no < 0",
     "p6_units": """
-        SELECT c.code || '/' || p.code AS unit,
-               (c.factor * p.factor)::DOUBLE AS a,
+        SELECT c.code || '/' || p.code || coalesce('/' || s.code, '') AS unit,
+               (c.factor * p.factor * coalesce(s.factor, 1))::DOUBLE AS a,
                0.0::DOUBLE AS b,
-               ((c.code <> 'USD')::INT + (p.code <> 'year')::INT)::INT AS steps
-        FROM unit_factors c CROSS JOIN unit_factors p
+               ((c.code <> 'USD')::INT + (p.code <> 'year')::INT + (s.code IS NOT NULL)::INT)::INT AS steps
+        FROM unit_factors c CROSS JOIN unit_factors p CROSS JOIN (SELECT code, factor FROM unit_factors WHERE kind = 'scale' UNION ALL SELECT NULL, NULL) s
         WHERE c.kind = 'currency' AND p.kind = 'period'
     """,
 }

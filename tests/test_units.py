@@ -33,19 +33,19 @@ def test_compose_finds_shortest_and_checks_cycles():
     ],
 )
 def test_pay(text, low, high, currency, period):
-    p = units.pay(text)
+    p = units.Units(FACTORS).pay(text)
     assert (p[0], p[2], p[4], p[5]) == (low, high, currency, period)
 
 
 @pytest.mark.parametrize("text", [None, "", "  ", "Band C", "Competitive", "n/a", "—", "+ bonus", "15% bonus"])
 def test_no_pay(text):
-    assert units.pay(text) is None
+    assert units.Units(FACTORS).pay(text) is None
 
 
 def test_units_said():
-    assert units.units_said("Nice. The range shown is what you earn each hour, in euros. Travel costs up to 90 francs per month are covered.") == ("EUR", "hour")
-    assert units.units_said("Last year the firm turned over £3.4M.\nA sign-on payment of $5,000 is possible.") == (None, None)
-    assert units.units_said(None) == (None, None)
+    assert units.Units(FACTORS).said("Nice. The range shown is what you earn each hour, in euros. Travel costs up to 90 francs per month are covered.") == ("EUR", "hour")
+    assert units.Units(FACTORS).said("Last year the firm turned over £3.4M.\nA sign-on payment of $5,000 is possible.") == (None, None)
+    assert units.Units(FACTORS).said(None) == (None, None)
 
 
 def test_annual_pay(spark):
@@ -57,3 +57,28 @@ def test_annual_pay(spark):
     got = sorted(tuple(r) for r in units.annual_pay(jobs, spark.createDataFrame(FACTORS, "kind string, code string, factor double")).collect())
     assert got == [(1, 22464, 22464), (2, 25272, 28080), (3, 28920, 39960), (5, 50000, 50000), (5, 50000, 50000), (6, 25752, 25752), (9, 90000, 100000)]
     assert units.annual_pay(jobs.limit(0), spark.createDataFrame(FACTORS, "kind string, code string, factor double")).count() == 0
+
+
+def test_more_amounts_and_scales():
+    pay = units.Units(FACTORS).pay
+    assert pay("40k / 50k / 60k USD")[:5] == ("40", "k", "60", "k", "USD")
+    assert pay("60 / 40 / 50k")[:4] == ("40", "k", "60", "k")
+    assert pay("33000 to 40k")[:4] == ("33000", None, "40", "k") and pay("1748 – 2079K INR")[:4] == ("1748", "k", "2079", "k")
+    assert pay("3 crore INR")[:2] == ("3", "crore")
+
+
+def test_units_without_conversion_are_reported(spark):
+    rows = [(1, "NOK 600,000 per year", None), (2, "JPY 5,000,000", None), (3, "¥ 900", None), (4, "70,000 DOE", None), (5, "12 crore rupees", None), (6, "9 TOK a fortnight", None), (7, "50 kr per hour", None)]
+    jobs = spark.createDataFrame(rows, "id long, salary_range string, job_description string")
+    factors = spark.createDataFrame([*FACTORS, ("currency", "TOK", 2.0), ("period", "fortnight", 26.0)], "kind string, code string, factor double")
+    got = {r.id: (r.unit, r.low_usd) for r in units.amounts(jobs, factors).collect()}
+    assert got == {1: ("NOK/year", None), 2: ("JPY/year", None), 3: ("¥/year", None), 4: ("USD/year", 70000), 5: ("INR/year/crore", None), 6: ("TOK/fortnight", 468), 7: ("SEK/hour", None)}
+    assert sorted(r.id for r in units.annual_pay(jobs, factors).collect()) == [4, 6]
+
+
+def test_units_are_looked_for_wherever_they_are_said():
+    import re
+
+    u = units.Units(FACTORS)
+    for t, want in (("Salaries are in SFr per month.", ("CHF", "month")), ("Pay is in kr by the day.", ("SEK", "day")), ("Pay is in Rs. counted by the month.", ("INR", None))):
+        assert u.said(t) == want and re.search(u.may_say, t)
