@@ -1,8 +1,21 @@
 import datetime
 import random
 
+import pytest
+
+from quern.llm import conversations as module
 from quern.llm.conversations import ROLES, conversations
 
+
+@pytest.fixture(params=["whole", "sliced"])
+def cut(request, spark, monkeypatch):
+    """Sessions in one slice, and cut into slices and short stretches: both give the same."""
+    if request.param == "sliced":
+        monkeypatch.setattr(module, "STRETCH", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
 MESSAGES = "id long, session_id string, role string, content string, tool_calls_json string, created_at timestamp, turn int, speaker string"
 
 
@@ -26,7 +39,7 @@ def by_force(rows, sessions):
     return sorted(out)
 
 
-def test_random_sessions(spark):
+def test_random_sessions(spark, cut):
     rng = random.Random(7)
     rows, k = [], 0
     for s in range(120):
@@ -48,15 +61,25 @@ def test_random_sessions(spark):
     sessions = spark.createDataFrame([(s, 1) for s in [*known, "s0", None, "none"]], "id string, turns int")
     want = by_force(rows, known)
     assert want
-    for hot in (50_000, 3):  # long sessions in slices give the same
-        assert sorted(tuple(r) for r in conversations(d, sessions, hot).select("session_id", "turn_no", "message_id", "speaker").collect()) == want
+    assert sorted(tuple(r) for r in conversations(d, sessions).select("session_id", "turn_no", "message_id", "speaker").collect()) == want
 
 
-def test_hot_session_with_ties(spark):
+def test_hot_session_with_ties(spark, cut):
     rows = [(k, "h", "user" if k % 2 == 0 else "bot", f"m{k}", None, at(k // 10)) for k in range(400)]
+    rows += [(1000 + k, f"s{k // 2}", "user" if k % 2 == 0 else "bot", f"m{k}", None, at(k)) for k in range(800)]  # a third of all rows is one session's
     d = spark.createDataFrame([(*r, 0, "x") for r in rows], MESSAGES)
+    known = ["h", *(f"s{k}" for k in range(400))]
+    s = spark.createDataFrame([(k,) for k in known], "id string")
+    assert sorted(tuple(r) for r in conversations(d, s).collect()) == by_force(rows, known)
+
+
+def test_broken_across_slices(spark, cut):
+    rows = [(k, "h", "user" if k % 2 == 0 else "bot", f"m{k}", None, at(k)) for k in range(400)]
     s = spark.createDataFrame([("h",)], "id string")
-    assert sorted(tuple(r) for r in conversations(d, s, 50).collect()) == by_force(rows, ["h"])
+    for gone in ((), (200,), (399,), (0,), (200, 201)):
+        some = [r for r in rows if r[0] not in gone]
+        d = spark.createDataFrame([(*r, 0, "x") for r in some], MESSAGES)
+        assert sorted(tuple(r) for r in conversations(d, s).collect()) == by_force(some, ["h"])
 
 
 def test_empty(spark):
