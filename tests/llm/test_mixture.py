@@ -58,3 +58,21 @@ def test_edges(spark):
         mixture(one, targets.union(targets))
     mix, report = mixture(one, targets.limit(0))
     assert mix.count() == 0 and report.agg(F.count("*")).first()[0] == 0
+
+
+def test_shards_of_shards(spark, monkeypatch):
+    """A source with most of the tokens has many shards, apportioned by a tree of groups; shares hold all the same."""
+    import quern.llm.mixture as m
+
+    monkeypatch.setattr(m, "SHARD_TOKENS", 4000)
+    monkeypatch.setattr(m, "GROUP", 5)
+    rng = random.Random(2)
+    docs = [(i, "big" if i % 3 else "small", rng.randint(20, 100)) for i in range(6000)]
+    sizes = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
+    mix, report = mixture(sizes, targets, blocks=500)
+    have = {s: sum(t for _, x, t in docs if x == s) for s in ("big", "small")}
+    assert have["big"] > 4000 * 5 * 5  # three levels
+    for r in report.collect():
+        assert r.reached_share == pytest.approx(0.5, rel=0.02) and r.max_copies <= (1 if r.source == "big" else 2)
+    assert sum(r.copies * r.n_tokens for r in mix.collect()) == pytest.approx(2 * min(have["big"], 2 * have["small"]), rel=0.02)
