@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -40,12 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     at = spark.conf.get("quern.local.folder", None)
     if not at:
         at = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("quern.local.folder", at)
     return at
 
 
 _shipped: set[str] = set()
 _kept: list[str] = []
+_places: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def _path(spark: SparkSession, at: str):  # noqa: ANN202
@@ -83,9 +88,13 @@ def ship(spark: SparkSession) -> None:
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that kept() wrote; results that read them must have been used."""
     for at in [a for a in _kept if not a.endswith(".zip")]:
-        fs, p = _path(spark, at)
-        fs.delete(p, True)
-        _kept.remove(at)
+        _delete(spark, at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    fs, p = _path(spark, at)
+    fs.delete(p, True)
+    _kept.remove(at)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -95,7 +104,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     _kept.append(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    _places[id(out)] = (weakref.ref(out), at)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that kept() returned as df; nothing may read it any more."""
+    ref, at = _places.pop(id(df), (None, None))
+    if at in _kept and ref is not None and ref() is df:
+        _delete(df.sparkSession, at)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
