@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.chars import one_form
-from quern.session import heavy, kept
+from quern.session import discard, heavy, kept
 
 #: Records whose word sets have at least this Jaccard similarity are the same advert.
 SIMILARITY = 0.7
@@ -29,8 +28,11 @@ BITS = 128
 #: Bits in which sketches of a pair at SIMILARITY may differ: the mean 128 x 0.15 and three and a half deviations
 #: (one such pair in 2000 differs in more).
 RADIUS = 33
-#: A group of more records is cut into blocks of this size, which are compared in tasks of their own.
-BLOCK = 4096
+#: The groups of bands that a sample (one class in SAMPLED) tells to be larger are cut into blocks of about this size before
+#: they are shuffled, and pairs of blocks are compared in tasks of their own. At most MOST_HOT bands, the largest, are looked up.
+BLOCK, SAMPLED, MOST_HOT = 32_768, 64, 100_000
+#: Copies of one text that are joined in one place; those of more are dealt out.
+COPIES = 2000
 #: Words of which a worker keeps the hash values (at most 62 MB).
 KEPT_WORDS = 50_000
 _SEED = 20240229
@@ -160,6 +162,11 @@ def words_of(text: str) -> set[str]:
     return set(_WORDS.findall(one_form(text)))
 
 
+def word_hash(word: str) -> int:
+    """64 bits for a word: sets are compared by all of them, MinHash takes the lower half."""
+    return ((xxhash.xxh64_intdigest(word) >> 32 << 32) | (xxhash.xxh32_intdigest(word) ^ 1 << 31)) - (1 << 63)
+
+
 class Hashes:
     """Hash values of words, remembered by worker process."""
 
@@ -173,8 +180,8 @@ class Hashes:
         self.values = np.zeros((KEPT_WORDS, n), np.uint32)
 
     def of(self, words: np.ndarray) -> np.ndarray:
-        """Hash values of words (int32), one row each."""
-        x = words.view(np.uint32).astype(np.uint64)[:, None]
+        """Hash values of words (int64), one row each."""
+        x = words.view(np.uint64)[:, None] & np.uint64(0xFFFFFFFF)
         h = x * self.mul + self.add
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x9E3779B97F4A7C15)
@@ -188,7 +195,7 @@ class Hashes:
             pass
         if len(words) > KEPT_WORDS // 4:
             return self.of(words)
-        new = np.array([w for w in words.tolist() if w not in place], np.int32)
+        new = np.array([w for w in words.tolist() if w not in place], np.int64)
         if len(place) + len(new) > KEPT_WORDS:
             place.clear()
             new = words
@@ -219,7 +226,7 @@ def _shared_hashes() -> Hashes:
 
 
 def word_sets(records: DataFrame, key: str, fields: list[str], needed: str) -> DataFrame:
-    """key, class and words (sorted 32-bit hashes of the distinct words) of the records whose field needed isn't null.
+    """key, class and words (sorted 64-bit hashes of the distinct words) of the records whose field needed isn't null.
 
     Words are the runs of letters and digits of the fields in their consistent form. class is a 64-bit hash of
     words: records with the same set have the same, others differ but for a chance of records squared / 2^65.
@@ -235,26 +242,28 @@ def word_sets(records: DataFrame, key: str, fields: list[str], needed: str) -> D
                 if len(seen) > 20 * KEPT_WORDS:
                     seen.clear()
                 for w in words.difference(seen):
-                    seen[w] = xxhash.xxh32_intdigest(w) - (1 << 31)
-                h = np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
+                    seen[w] = word_hash(w)
+                h = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
                 h.sort()
                 if len(h) > 1 and (h[1:] == h[:-1]).any():  # two words with one hash
                     h = np.unique(h)
                 classes.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
                 flat.append(h)
                 ends.append(ends[-1] + len(h))
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[key, "class", "words"]
             )
 
     kind = dict(records.dtypes)[key]
-    return records.where(F.col(needed).isNotNull()).select(key, *fields).mapInArrow(run, f"{key} {kind}, class long, words array<int>")
+    return records.where(F.col(needed).isNotNull()).select(key, *fields).mapInArrow(run, f"{key} {kind}, class long, words array<long>")
 
 
-def banded(sets: DataFrame) -> DataFrame:
-    """band, class, low, high (the sketch's words): one row a band of each class; a task gives each class once, so
-    copies don't pile up. Classes without words give none."""
+def banded(sets: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:
+    """band, class, low, high (the sketch's words), block, blocks: one row a band of each class; a task gives each class once,
+    so copies don't pile up. Classes without words give none. hot: number of blocks of large bands; others have 0."""
+    bands = np.array(sorted(hot or {}), np.int64)
+    numbers = np.array([(hot or {})[b] for b in bands.tolist()], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _shared_hashes(), set()
@@ -269,15 +278,28 @@ def banded(sets: DataFrame) -> DataFrame:
                 ids.append(c), least.append(hashes.sketch(words[lo:hi]))
             if ids:
                 keys, sketches = hashes.finish(np.stack(least))
+                keys, classes = keys.ravel(), np.repeat(ids, BANDS)
+                blocks = np.zeros(len(keys), np.int32)
+                if len(bands):
+                    at = np.minimum(np.searchsorted(bands, keys), len(bands) - 1)
+                    blocks[bands[at] == keys] = numbers[at][bands[at] == keys]
+                block = np.where(blocks > 0, (classes.view(np.uint64) >> np.uint64(20)) % np.maximum(blocks, 1).astype(np.uint64), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.repeat(ids, BANDS)), *(pa.array(np.repeat(sketches[:, i], BANDS)) for i in (0, 1))], names=["band", "class", "low", "high"]
+                    [pa.array(keys), pa.array(classes), *(pa.array(np.repeat(sketches[:, i], BANDS)) for i in (0, 1)), pa.array(block), pa.array(blocks)],
+                    names=["band", "class", "low", "high", "block", "blocks"],
                 )
 
-    return sets.select("class", "words").mapInArrow(run, "band long, class long, low long, high long")
+    return sets.select("class", "words").mapInArrow(run, "band long, class long, low long, high long, block int, blocks int")
 
 
-_FOUND = "a long, b long, band long, block int, low long, high long"
-_NAMES = ["a", "b", "band", "block", "low", "high"]
+def hot_bands(sets: DataFrame, size_of_block: int = BLOCK, sampled: int = SAMPLED) -> dict[int, int]:
+    """Bands whose group is larger than a block, as a sample of the classes tells, with the number of their blocks.
+
+    A band it misses is compared in one task all the same, so the sample has no effect on results.
+    """
+    some = sets.where(F.pmod("class", F.lit(sampled)) == 0).dropDuplicates(["class"])
+    n = banded(some).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") * sampled > size_of_block)
+    return {r.band: -(-r.n * sampled // size_of_block) + 1 for r in n.orderBy(F.desc("n"), "band").limit(MOST_HOT).collect()}
 
 
 def _found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -285,8 +307,7 @@ def _found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     if len(a):
         a, b = np.unique(np.stack([a, b]), axis=1)
         a, b = a[a != b], b[a != b]
-    none = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, pa.nulls(len(a), pa.int32()), none, none], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[list[np.ndarray]]:
@@ -307,89 +328,55 @@ def _sketches(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.stack([low, high], axis=1).view(np.uint64)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], size_of_block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Sorted (band, class, low, high) to pairs of classes; groups over a block come out as rows of blocks instead."""
-    rest = [np.zeros(0, np.int64)] * 4
-    deferred: tuple[int, int] | None = None  # band of a large group under way, rows of it given out
-
-    def give_out(x: list[np.ndarray], done: int) -> pa.RecordBatch:
-        k, c, low, high = x
-        block = ((np.arange(len(k)) + done) // size_of_block).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(k), pa.array(block), pa.array(low), pa.array(high)], names=_NAMES)
-
-    for columns in _gathered(batches):
-        x = [np.concatenate([r, y]) for r, y in zip(rest, columns)]
-        if deferred is not None:
-            more = int(np.searchsorted(x[0], deferred[0], "right"))
-            if more:
-                yield give_out([y[:more] for y in x], deferred[1])
-                deferred = (deferred[0], deferred[1] + more)
-            x = [y[more:] for y in x]
-            if not len(x[0]):
-                rest = x
-                continue
-            deferred = None
-        k = x[0]
-        tail = int(np.searchsorted(k, k[-1]))  # the last group may go on
-        if len(k) - tail > size_of_block:
-            yield give_out([y[tail:] for y in x], 0)
-            deferred = (int(k[-1]), len(k) - tail)
-            rest = [y[:0] for y in x]
-        else:
-            rest = [y[tail:] for y in x]
-        heads = np.flatnonzero(np.append(True, k[1:tail] != k[: tail - 1])) if tail else np.zeros(0, int)
-        sizes = np.diff(np.append(heads, tail))
-        for h, size in zip(heads[sizes > size_of_block], sizes[sizes > size_of_block]):
-            yield give_out([y[h : h + size] for y in x], 0)
-        small = np.repeat(sizes <= size_of_block, sizes) if tail else np.zeros(0, bool)
-        kk, cc, low, high = (y[:tail][small] for y in x)
-        i, j = near_in_groups(kk, _sketches(low, high), RADIUS)
-        yield _found(cc[i], cc[j])
-    k, c, low, high = rest
-    i, j = near_in_groups(k, _sketches(low, high), RADIUS)
-    yield _found(c[i], c[j])
-
-
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, i, j, block, class, low, high) sorted by (band, i, j, block): block i against block j."""
-
-    def flush(x: list[np.ndarray]) -> pa.RecordBatch:
-        block, c, s = x[3], x[4], _sketches(x[5], x[6])
-        if x[1][0] == x[2][0]:
-            i, j = near_in_block(s, None, RADIUS)
-            return _found(c[i], c[j])
-        cut = int(np.searchsorted(block, x[2][0]))
-        i, j = near_in_block(s[:cut], s[cut:], RADIUS)
-        return _found(c[i], c[cut:][j])
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, i, j, block, class, low, high) sorted by the first four to pairs of classes: the whole group of a small band
+    (i and j are -1), block i against block j of a large one."""
+
+    def near(x: list[np.ndarray]) -> pa.RecordBatch:
+        small = x[1] < 0
+        i, j = near_in_groups(x[0][small], _sketches(x[5][small], x[6][small]), RADIUS)
+        a, b = [x[4][small][i]], [x[4][small][j]]
+        x = [y[~small] for y in x]
+        heads = _heads(*x[:3])
+        for h, e in zip(heads, np.append(heads[1:], len(x[0]))):
+            c, s = x[4][h:e], _sketches(x[5][h:e], x[6][h:e])
+            if x[1][h] == x[2][h]:
+                i, j = near_in_block(s, None, RADIUS)
+            else:
+                cut = int(np.searchsorted(x[3][h:e], x[2][h]))
+                i, j = near_in_block(s[:cut], s[cut:], RADIUS)
+                j = j + cut
+            a.append(c[i]), b.append(c[j])
+        return _found(np.concatenate(a), np.concatenate(b))
 
     rest: list[np.ndarray] | None = None
     for x in _gathered(batches):
         if rest is not None:
             x = [np.concatenate([r, y]) for r, y in zip(rest, x)]
-        new = np.append(True, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1]) | (x[2][1:] != x[2][:-1]))
-        heads = np.append(np.flatnonzero(new), len(x[0]))
-        for h, e in zip(heads[:-2], heads[1:-1]):
-            yield flush([y[h:e] for y in x])
-        rest = [y[heads[-2] :] for y in x]
-    if rest is not None and len(rest[0]):
-        yield flush(rest)
+        tail = _heads(*x[:3])[-1]  # the last group may go on
+        if tail:
+            yield near([y[:tail] for y in x])
+        rest = [y[tail:] for y in x]
+    if rest is not None:
+        yield near(rest)
 
 
-def close_sketches(bands: DataFrame, size_of_block: int = BLOCK) -> DataFrame:
+def close_sketches(sets: DataFrame, size_of_block: int = BLOCK, sampled: int = SAMPLED) -> DataFrame:
     """a, b (a < b): classes that share a band and whose sketches are within RADIUS."""
-    found = kept(bands.repartition("band").sortWithinPartitions("band", "class").mapInArrow(partial(_compare, size_of_block=size_of_block), _FOUND), "sketch-pairs")
-    pairs = found.where("band is null").select("a", "b")
-    large = found.where("band is not null")
-    blocks = large.groupBy("band").agg((F.max("block") + 1).alias("n"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    tasks = (
-        large.join(blocks, "band")
-        .select("band", F.col("a").alias("class"), "low", "high", "block", other)
-        .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "low", "high")
-        .repartition("band", "i", "j")
-        .sortWithinPartitions("band", "i", "j", "block")
-    )
-    return pairs.unionByName(tasks.mapInArrow(_compare_blocks, _FOUND).select("a", "b")).distinct()
+    bands = banded(sets, hot_bands(sets, size_of_block, sampled))
+    others = F.when(F.col("blocks") == 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tasks = bands.select("band", "class", "low", "high", "block", F.explode(others).alias("other"))
+    small = F.col("other") < 0
+    tasks = tasks.select("band", F.when(small, -1).otherwise(F.least("block", "other")).alias("i"), F.when(small, -1).otherwise(F.greatest("block", "other")).alias("j"), "block", "class", "low", "high")
+    tasks = tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block")
+    return tasks.mapInArrow(_compare, "a long, b long").distinct()
 
 
 def _jaccard(x: Column, y: Column) -> Column:
@@ -397,9 +384,9 @@ def _jaccard(x: Column, y: Column) -> Column:
     return both / (F.size(x) + F.size(y) - both)
 
 
-def similar_classes(sets: DataFrame, similarity: float = SIMILARITY, size_of_block: int = BLOCK) -> DataFrame:
+def similar_classes(sets: DataFrame, similarity: float = SIMILARITY, size_of_block: int = BLOCK, sampled: int = SAMPLED) -> DataFrame:
     """a, b (a < b): classes whose words have at least this similarity, checked exactly."""
-    pairs = close_sketches(banded(sets), size_of_block)
+    pairs = close_sketches(sets, size_of_block, sampled)
     words = sets.select("class", "words").dropDuplicates(["class"])
     return (
         pairs.join(words.select(F.col("class").alias("a"), F.col("words").alias("x")), "a")
@@ -417,7 +404,7 @@ def _sets(spark: SparkSession, folder: str) -> DataFrame:
     return kept(word_sets(jobs, "id", FIELDS, "job_description"), "word-sets")
 
 
-def similar_pairs(sets: DataFrame, key: str = "id", similarity: float = SIMILARITY) -> DataFrame:
+def similar_pairs(sets: DataFrame, key: str = "id", similarity: float = SIMILARITY, copies: int = COPIES) -> DataFrame:
     """Pairs of records, left < right, of the same class or of similar ones.
 
     sets is word_sets(). Records without any word are similar to none. Repeated rows give repeated pairs of
@@ -425,15 +412,21 @@ def similar_pairs(sets: DataFrame, key: str = "id", similarity: float = SIMILARI
     """
     links = similar_classes(sets, similarity)
     members = sets.where(F.size("words") > 0).select("class", key)
-    across = (
-        links.join(members.select(F.col("class").alias("a"), F.col(key).alias("x")), "a")
-        .join(members.select(F.col("class").alias("b"), F.col(key).alias("y")), "b")
-        .select("x", "y")
-    )
-    copies = members.groupBy("class").count().where("count > 1").select("class")
-    twins = members.join(copies, "class", "left_semi")
-    same = twins.select("class", F.col(key).alias("x")).join(twins.select("class", F.col(key).alias("y")), "class").where("x < y").select("x", "y")
-    both = across.unionByName(same)
+    sizes = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class", F.ceil(F.col("n") / copies).cast("int").alias("parts"))
+    # copies of one text are dealt out over its parts; what meets them comes to each part
+    dealt = members.join(sizes, "class", "left").select("class", key, "parts", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(key), "parts")).otherwise(0).alias("part"))
+    all_parts = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)).alias("part")
+    many = sizes.where("parts > 1")
+    across = links
+    for end, name in (("a", "x"), ("b", "y")):
+        rest = [c for c in across.columns if c != end]
+        across = across.join(many.select(F.col("class").alias(end), "parts"), end, "left").select(end, *rest, all_parts(F.col("parts")))
+        across = across.join(dealt.select(F.col("class").alias(end), "part", F.col(key).alias(name)), [end, "part"]).select(*rest, name)
+    twins = dealt.where("parts is not null")
+    left = twins.select("class", "part", F.col(key).alias("x"))
+    right = twins.select("class", F.col(key).alias("y"), all_parts(F.col("parts")))
+    same = left.join(right, ["class", "part"]).where("x < y").select("x", "y")
+    both = across.select("x", "y").unionByName(same)
     return both.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
 
 
@@ -455,8 +448,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         jump = groups.select("node", F.col("group").alias("via")).join(groups.select(F.col("node").alias("via"), "group"), "via").select("node", "group")
         new = kept(near.unionByName(jump).unionByName(groups).groupBy("node").agg(F.min("group").alias("group")), "groups")
         changed = new.join(groups.withColumnRenamed("group", "was"), "node").where("group <> was").limit(1).count()
+        discard(groups)
         groups = new
         if not changed:
+            discard(both)
             return groups
     raise RuntimeError("the components didn't settle")
 

@@ -76,10 +76,19 @@ def test_hot_group(spark):
     pairs = lambda **k: sorted(map(tuple, n.similar_classes(sets, **k).collect()))
     whole = pairs()
     assert len(whole) > 3000
-    assert pairs(size_of_block=16) == whole
-    bands = n.banded(sets)
-    for size in (1, 7, 89, 10_000):
-        assert sorted(map(tuple, n.close_sketches(bands, size).collect())) == sorted(map(tuple, n.close_sketches(bands).collect()))
+    assert n.hot_bands(sets, 16, 1)
+    assert pairs(size_of_block=16, sampled=1) == whole
+    near = lambda *a: sorted(map(tuple, n.close_sketches(sets, *a).collect()))
+    assert near(1, 1) == near(7, 1) == near(89, 2) == near()
+
+
+def test_copies_of_one_text(spark):
+    """A third of all rows are copies of one text, another third nearly: all pairs, however the copies are dealt out."""
+    base = " ".join(f"x{k}" for k in range(60))
+    rows = [(k, "t", "c", base) for k in range(40)] + [(50 + k, "t", "c", base + " y") for k in range(40)] + [(100 + k, *r[1:]) for k, r in enumerate(adverts(3, 14))]
+    sets = n.word_sets(spark.createDataFrame(rows, SCHEMA), "id", n.FIELDS, "job_description")
+    for copies in (7, 2000):
+        assert sorted(map(tuple, n.similar_pairs(sets, copies=copies).collect())) == pairs_by_force(rows)
 
 
 def test_classes_and_groups(spark):
