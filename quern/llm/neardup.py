@@ -9,7 +9,7 @@ their records are beyond the radius. What stays is checked exactly on the words.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -155,11 +155,15 @@ _WORDS = re.compile(r"[^\W_]+")
 _BREAKS = str.maketrans({chr(i): " " for i in range(128) if not chr(i).isalnum()})
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct runs of letters and digits of the consistent form."""
+def words_in_order(text: str) -> list[str]:
+    """Runs of letters and digits of the consistent form."""
     if text.isascii():
-        return set(text.lower().translate(_BREAKS).split())
-    return set(_WORDS.findall(one_form(text)))
+        return text.lower().translate(_BREAKS).split()
+    return _WORDS.findall(one_form(text))
+
+
+def words_of(text: str) -> set[str]:
+    return set(words_in_order(text))
 
 
 def word_hash(word: str) -> int:
@@ -225,10 +229,10 @@ def _shared_hashes() -> Hashes:
     return _hashes[0]
 
 
-def word_sets(records: DataFrame, key: str, fields: list[str], needed: str) -> DataFrame:
+def word_sets(records: DataFrame, key: str, fields: list[str], needed: str, features: Callable[[str], set[str]] = words_of) -> DataFrame:
     """key, class and words (sorted 64-bit hashes of the distinct words) of the records whose field needed isn't null.
 
-    Words are the runs of letters and digits of the fields in their consistent form. class is a 64-bit hash of
+    Words are the runs of letters and digits of the fields in their consistent form, or what features gives. class is a 64-bit hash of
     words: records with the same set have the same, others differ but for a chance of records squared / 2^65.
     """
 
@@ -238,7 +242,7 @@ def word_sets(records: DataFrame, key: str, fields: list[str], needed: str) -> D
             texts = [c.to_pylist() for c in b.columns[1:]]
             classes, ends, flat = [], [0], []
             for parts in zip(*texts):
-                words = words_of(" ".join(p for p in parts if p))
+                words = features(" ".join(p for p in parts if p))
                 if len(seen) > 20 * KEPT_WORDS:
                     seen.clear()
                 for w in words.difference(seen):

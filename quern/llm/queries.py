@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, canon, conversations, mixture, neardup, spans, unify
+from quern.llm import bpe, canon, conversations, mixture, neardup, paragraphs, spans, unify
 
 QUERIES = {
     "p1_found": canon.p1_found,
@@ -19,6 +19,7 @@ QUERIES = {
     "p9_found": spans.p9_found,
     "p9_share": spans.p9_share,
     "p9_clusters": spans.p9_clusters,
+    "p9_paragraphs": paragraphs.p9_paragraphs,
 }
 
 #: All windows of 200 characters; a shared one covers up to the next shared one of its text, the last all of it.
@@ -52,6 +53,13 @@ SQL = {
         WHERE session_id NOT IN (SELECT session_id FROM bad) AND session_id IN (SELECT id FROM chat_sessions)
     """,
     "p9_found": _SHARED,
+    "p9_clusters": """
+        WITH RECURSIVE w AS (SELECT doc_id, substr(text, k, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS k FROM documents WHERE length(text) >= 200)),
+        h AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+        l AS (SELECT DISTINCT w.doc_id AS a, h.least AS b FROM w JOIN h USING (s)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+        SELECT a AS doc_id, min(b) AS cluster_id, a <> min(b) AS remove FROM r GROUP BY a
+    """,
     "p9_share": f"""
         SELECT d.doc_id, coalesce(length(text), 0)::INT AS n_text_chars, coalesce(shared_chars, 0)::BIGINT AS shared_chars,
                coalesce(shared_chars / nullif(length(text), 0), 0) AS shared_part

@@ -20,8 +20,8 @@ from quern.session import heavy, kept, table
 
 #: Least length of a shared span, and of the shingles from which anchors are taken, in code points.
 SPAN, GRAM = 200, 64
-#: Runs of an anchor that one task compares; anchors with more are settled by aggregation over their windows.
-HOT_RUNS = 20_000
+#: Runs of an anchor, and windows in them, that one task compares; anchors with more are settled by aggregation over their windows.
+HOT_RUNS, HOT_WINDOWS = 20_000, 4_000_000
 #: Code points handled at once; a longer text is handled alone.
 CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -198,14 +198,15 @@ def _settle(span: int):  # noqa: ANN202
 def shared_stretches(documents: DataFrame, span: int = SPAN, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, lo, hi, least_id: stretches of texts, which may overlap, of which every window lies in another document too;
     least_id is the least document that has these windows."""
-    r = runs(documents, span, gram)
+    r = kept(runs(documents, span, gram), "runs")  # texts are hashed once
     anchors = (
         r.groupBy("anchor")
-        .agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.min("same").alias("x"), F.max("same").alias("y"), F.count("*").alias("n_runs"))
+        .agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.min("same").alias("x"), F.max("same").alias("y"), F.count("*").alias("n_runs"), F.sum("windows").alias("n_windows"))
         .where("one <> other")
-        .select("anchor", F.col("one").alias("least_id"), (F.col("x") == F.col("y")).alias("alike"), (F.col("n_runs") > hot_runs).alias("hot"))
+        .select("anchor", F.col("one").alias("least_id"), (F.col("x") == F.col("y")).alias("alike"), ((F.col("n_runs") > hot_runs) | (F.col("n_windows") > HOT_WINDOWS)).alias("hot"))
     )
-    live = kept(r.join(anchors, "anchor"), "runs")
+    # few anchors are shared: written, their size is known when the join with all runs is planned
+    live = kept(r.join(kept(anchors, "anchors"), "anchor"), "shared-runs")
     alike = live.where("alike").select("doc_id", F.col("first").alias("lo"), (F.col("first") + F.col("windows") - 1 + span).alias("hi"), "least_id")
     # the text of the other runs, from a second reading of their documents
     wanted = live.where("not alike").groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "anchor", "hot")).alias("cut"))
