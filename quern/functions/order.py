@@ -5,33 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys with more rows are cut into slices.
-HOT_ROWS = 50_000
-SLICES = 64
+from quern.session import kept
 
 
-def numbered(rows: DataFrame, key: str, first: str, then: str, hot_rows: int = HOT_ROWS, name: str = "n") -> DataFrame:
-    """rows with name, their number from 1 in the order of first (a long), then then, within key.
+def numbered(rows: DataFrame, keys: str | list[str], first: str, then: str, name: str = "n") -> DataFrame:
+    """rows with name, their number from 1 in the order of first, then then, within keys.
 
-    No task sorts more than about a SLICES-th of a hot key: its rows are sliced at quantiles of first and numbered in the
-    slice, and what lies in earlier slices is added. Rows with one value of first stay together. rows is read several times: give
-    it a table. Nulls of first come first; a null key is a key.
+    Rows are range-partitioned by all of these, so a key of any size is cut into slices of about equal rows, ties of first
+    as well; rows are numbered in their slice, and what a key has in earlier slices is added. Only the last key of a slice goes
+    on into the next, so there are at most as many of these offsets as slices. Nulls come first; a null key is a key.
     """
-    same = F.col(key).eqNullSafe(F.col("_key"))
-    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
-    at = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    hot = rows.select(key, first).join(sizes, same).select("_key", first)
-    cuts = hot.groupBy("_key").agg(F.percentile_approx(first, at, F.lit(1000)).alias("_cuts"))
-    d = rows.join(cuts, same, "left").drop("_key")
-    d = d.withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(first))), F.lit(0)))
-    d = d.withColumn("_slice", F.when(F.col("_cuts").isNull() | F.col(first).isNull(), 0).otherwise(F.col("_slice")))
-    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows a hot key
-    counts = d.where(F.col("_cuts").isNotNull()).groupBy(F.col(key).alias("_key"), F.col("_slice").alias("_part")).count()
-    offsets = counts.select("_key", "_part", F.coalesce(F.sum("count").over(before.orderBy("_part")), F.lit(0)).alias("_before"))
-    order = Window.partitionBy(key, "_slice").orderBy(first, then)
-    d = d.withColumn("_n", F.row_number().over(order))
-    d = d.join(offsets, same & (F.col("_slice") == F.col("_part")), "left")
-    return d.withColumn(name, (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("int")).drop("_cuts", "_slice", "_n", "_key", "_part", "_before")
+    keys = [keys] if isinstance(keys, str) else keys
+    d = kept(rows.repartitionByRange(*keys, first, then).withColumn("_slice", F.spark_partition_id()), "ordered")
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(first, then)))
+    sizes = d.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_part")).agg(F.max("_n").alias("_size"))
+    before = Window.partitionBy(*[f"_{i}" for i in range(len(keys))]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.sum("_size").over(before)).where("_before is not null").drop("_size")
+    same = F.col("_slice") == F.col("_part")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    d = d.join(F.broadcast(offsets), same, "left")
+    return d.withColumn(name, (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("int")).select(*rows.columns, name)
 
 
 def time_slices(rows: DataFrame, at: Column, reach: int, length: int) -> DataFrame:

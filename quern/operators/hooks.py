@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,3 +37,21 @@ def rewritten(rows: DataFrame, column: str, rewrite: Judge | None = None) -> Dat
 def observed(rows: DataFrame, name: str) -> DataFrame:
     """Rows that report their number under name to the session's listeners as they pass."""
     return rows.observe(name, F.count(F.lit(1)).alias("n_rows"))
+
+
+def retried(call: Callable, tries: int = 3, wait: float = 1.0, on: tuple[type[Exception], ...] = (Exception,)) -> Callable:
+    """Call, tried again after wait, twice wait, ... seconds when it raises one of on; the last try's exception is raised.
+
+    For what a hook asks of the world outside; Spark repeats its own tasks.
+    """
+
+    @functools.wraps(call)
+    def again(*args, **more):  # noqa: ANN002, ANN003, ANN202
+        for n in range(tries - 1):
+            try:
+                return call(*args, **more)
+            except on:
+                time.sleep(wait * 2**n)
+        return call(*args, **more)
+
+    return again

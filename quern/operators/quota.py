@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.order import time_slices
+from quern.functions.order import numbered, time_slices
 
 
 def offered_load(calls: DataFrame, key: str, at: str, seconds: int = 60) -> DataFrame:
@@ -24,19 +24,19 @@ def offered_load(calls: DataFrame, key: str, at: str, seconds: int = 60) -> Data
 
 
 def daily_quota(calls: DataFrame, key: str, at: str, order: str, per_day: int) -> DataFrame:
-    """Calls with their number in the day (UTC), whether the day's quota admits them, and what is left."""
-    day = F.to_date(at)
-    w = Window.partitionBy(key, day).orderBy(at, order)
-    n = F.row_number().over(w)
-    return calls.withColumn("day", day).withColumn("n_today", n).withColumn("admitted", F.col("n_today") <= per_day).withColumn("left", F.greatest(F.lit(0), per_day - F.col("n_today")))
+    """Calls with their number in the day (UTC), whether the day's quota admits them, and what is left.
+
+    A key's day is numbered in slices, so it may hold any part of the calls."""
+    d = numbered(calls.withColumn("day", F.to_date(at)), [key, "day"], at, order, "n_today")
+    return d.withColumn("admitted", F.col("n_today") <= per_day).withColumn("left", F.greatest(F.lit(0), per_day - F.col("n_today")))
 
 
 def admissions(calls: DataFrame, key: str, at: str, order: str, per_minute: int, seconds: float = 60.0) -> DataFrame:
     """Key, order and the micros at which each call is admitted: calls wait until fewer than per_minute were admitted
     in the seconds before; one that old exactly still counts.
 
-    A wait moves all later ones, so a key's calls are one sequence; the state is the last per_minute admissions, and a
-    sorted partition is streamed, so no key is held in memory. Calls without key or time are left out.
+    A wait moves all later ones, so a key's calls are one sequence that no split can share; the state is the last per_minute
+    admissions, and a sorted partition is streamed, so no key is held in memory. Calls without key or time are left out.
     """
     keys, orders = dict(calls.dtypes)[key], dict(calls.dtypes)[order]
 

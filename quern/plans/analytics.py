@@ -197,6 +197,19 @@ def _match(weights: Column | None = None) -> Column:
     return text.bound(sides, lambda x: skills.compared(x["some"], x["j"], F.col("r"), weights))
 
 
+def n03_json_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The sections that a resume's JSON has, in order; null if it is no object."""
+    c = text.json_or_text(F.col("content"))
+    return table(spark, d, "master_resumes").select("id", F.array_join(F.json_object_keys(c), "|").alias("sections"))
+
+
+def k07_printable(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a resume has what its print needs: a person with name and e-mail address that aren't blank."""
+    c = text.json_or_text(F.col("content"))
+    some = lambda f: F.coalesce(F.length(text.stripped(F.get_json_object(c, f"$.personal_info.{f}"))) > 0, F.lit(False))
+    return table(spark, d, "master_resumes").select("id", (some("name") & some("email")).alias("ok"))
+
+
 def c01_skill_match(spark: SparkSession, d: str) -> DataFrame:
     m = _pairs(spark, d, "required_skills").select("tailored_id", _match().alias("m"))
     return m.select("tailored_id", F.round("m.score", 6).alias("score"), _list(F.col("m.matched")).alias("matched"), F.size("m.missing").alias("n_missing"), F.size("m.additional").alias("n_additional"), "m.n_job", "m.n_resume")
@@ -319,9 +332,10 @@ def r06_phrases(spark: SparkSession, d: str) -> DataFrame:
     return _jobs(spark, d, "job_description").select("id", F.explode(find(F.col("job_description"))).alias("h")).select("id", "h.phrase", "h.place")
 
 
-def r07_skills(spark: SparkSession, d: str) -> DataFrame:
-    """Skills of the required and the preferred part, preferred ones without the required, no noise."""
-    find = extract.facts_finder(dictionary(spark, d))
+def r07_skills(spark: SparkSession, d: str, entities: extract.Entities | None = None) -> DataFrame:
+    """Skills of the required and the preferred part, preferred ones without the required, no noise; entities adds what a
+    model names."""
+    find = extract.facts_finder(dictionary(spark, d), entities)
     f = _jobs(spark, d, "job_description").select("id", find(F.col("job_description")).alias("f"))
     return f.select("id", _list(F.array_sort("f.required")).alias("required"), _list(F.array_sort("f.preferred")).alias("preferred"))
 
@@ -340,16 +354,19 @@ def r11_resume_text(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", F.explode("s").alias("section", "lines")).select("doc_id", "section", F.size("lines").alias("n_lines"))
 
 
-def r11_resume_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Details and numbers of entries of resumes as plain text."""
+def r11_resume_entries(spark: SparkSession, d: str, judge: hooks.Judge | None = None) -> DataFrame:
+    """Details and numbers of entries of resumes as plain text; judge (X05) reads those in which no position is found."""
     r = heavy(spark, d, "documents", "doc_id", "text", "doc_type").where("doc_type = 'resume'").select("doc_id", resume_text.parsed_text(F.col("text")).alias("r"))
     sizes = [F.size(f"r.{c}").alias(f"n_{c}") for c in ("positions", "education", "certifications", "projects")]
-    return r.select("doc_id", "r.personal_info.name", "r.personal_info.email", F.length("r.summary").alias("n_summary"), *sizes)
+    found = r.select("doc_id", "r.personal_info.name", "r.personal_info.email", F.length("r.summary").alias("n_summary"), *sizes)
+    return hooks.judged(found, F.col("n_positions") == 0, judge)
 
 
-def c05_domains(spark: SparkSession, d: str) -> DataFrame:
+def c05_domains(spark: SparkSession, d: str, judge: hooks.Judge | None = None) -> DataFrame:
+    """C05; judge (X02) decides on texts that the votes leave open."""
     find = classify.domain_finder(classify.keyword_table(spark))
-    return _jobs(spark, d, "job_title", "job_description").select("id", find(F.col("job_title"), F.col("job_description")).alias("c")).select("id", "c.domain", F.round("c.confidence", 4).alias("confidence"), "c.best", "c.total")
+    c = _jobs(spark, d, "job_title", "job_description").select("id", find(F.col("job_title"), F.col("job_description")).alias("c")).select("id", "c.domain", F.round("c.confidence", 4).alias("confidence"), "c.best", "c.total")
+    return hooks.judged(c, (F.col("domain") == "other") | (F.col("confidence") < 0.5), judge)
 
 
 def c06_resume_domains(spark: SparkSession, d: str) -> DataFrame:
@@ -360,8 +377,11 @@ def c06_resume_domains(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", find(F.array_join("titles", " "), body)["domain"].alias("domain"))
 
 
-def c07_document_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return heavy(spark, d, "documents", "doc_id", "text").select("doc_id", classify.document_kind(F.col("text")).alias("k")).select("doc_id", "k.*")
+def c07_document_kinds(spark: SparkSession, d: str, judge: hooks.Judge | None = None) -> DataFrame:
+    """C07; judge (X03) decides what the signs leave inconclusive, else it ends as not_resume."""
+    k = heavy(spark, d, "documents", "doc_id", "text").select("doc_id", classify.document_kind(F.col("text")).alias("k")).select("doc_id", "k.*")
+    k = hooks.judged(k, F.col("verdict") == "inconclusive", judge)
+    return k.withColumn("ends_as", F.when(F.col("verdict") == "inconclusive", "not_resume").otherwise(F.col("verdict")))
 
 
 def c11_analysis(spark: SparkSession, d: str) -> DataFrame:
@@ -597,6 +617,6 @@ def a27_best_phrase(spark: SparkSession, d: str) -> DataFrame:
     return upsert.first_by_key(j, ["job_title"], F.desc_nulls_last("match_score"), "id").select("job_title", "id")
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acdjkoprtuw" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acdjknoprtuw" and k[1:3].isdigit()}
 
 from quern.plans.analytics_sql import SQL  # noqa: E402, F401

@@ -210,6 +210,8 @@ SQL = {
     "r09_salaries": f"SELECT id, CASE WHEN lower({strip('salary_range')}) NOT IN ({', '.join(map(q, NO_SALARY))}) THEN {strip('salary_range')} END AS salary FROM jobs",
     "p13_resume_parts": f"""WITH {PARTS} SELECT m.id, coalesce(len(positions), 0)::INT AS n_positions, coalesce(len(skills), 0)::INT AS n_skills, coalesce(len(certs), 0)::INT AS n_certs,
         coalesce(len(projects), 0)::INT AS n_projects, coalesce(len(bullets), 0)::INT AS n_bullets, summary IS NOT NULL AS has_summary FROM master_resumes m LEFT JOIN bul USING (id)""",
+    "n03_json_keys": f"WITH {MASTERS} SELECT id, array_to_string(json_keys(j), '|') AS sections FROM r",
+    "k07_printable": f"WITH {MASTERS} SELECT id, coalesce(length({strip("j->>'$.personal_info.name'")}) > 0 AND length({strip("j->>'$.personal_info.email'")}) > 0, false) AS ok FROM r",
     "c01_skill_match": f"""WITH {PAIRS}, {match('pairs')} SELECT tailored_id, {SCORE} AS score, CASE WHEN asked THEN {_LIST.format(a='list_sort(list_intersect(a, b))')} ELSE '' END AS matched,
         CASE WHEN asked THEN len({_MINUS.format(a='a', b='b')}) ELSE 0 END::INT AS n_missing, CASE WHEN asked THEN len({_MINUS.format(a='b', b='a')}) ELSE 0 END::INT AS n_additional,
         CASE WHEN asked THEN len(a) ELSE 0 END::INT AS n_job, CASE WHEN asked THEN len(b) ELSE len(resume_skills) END::INT AS n_resume FROM m""",
@@ -245,6 +247,11 @@ SQL = {
     "r05_requirements": f"""WITH {_DEMANDING}, {x.experience('dj', 'id', 'text')}, {x.education('dj', 'id', 'text')}, {x.certificates('dj', 'id', 'text')},
         e AS (SELECT id, min(years) AS a, max(years) AS b FROM exp GROUP BY id), d AS (SELECT id, arg_max(level, {x.RANK} - place / 1000.0) AS level, count(*) AS n FROM edu GROUP BY id), c AS (SELECT id, count(*) AS n FROM cert GROUP BY id)
         SELECT j.id, coalesce(a, 0)::INT AS min_years, coalesce(b, 0)::INT AS max_years, level, coalesce(d.n, 0)::INT AS n_levels, coalesce(c.n, 0)::INT AS n_certificates FROM jobs j LEFT JOIN e USING (id) LEFT JOIN d USING (id) LEFT JOIN c USING (id)""",
+    "r11_resume_text": f"""WITH l AS (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\v\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS ls FROM documents WHERE doc_type = 'resume' AND text IS NOT NULL),
+        u AS (SELECT doc_id, trim(line) AS line, k FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM l) WHERE trim(line) <> ''),
+        h AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(line, {q('(?i)^(?:' + p + ')[ ]*:?$')}) THEN {q(n)}" for n, p in x.RESUME_HEADS.items())} END AS head FROM u),
+        s AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k), 'head') AS section FROM h)
+        SELECT doc_id, section, count(*)::INT AS n_lines FROM s WHERE head IS NULL GROUP BY doc_id, section""",
     "r06_phrases": f"WITH {phrases('jobs', 'id', 'job_description', SKILL_NAMES)} SELECT id, phrase, ofs AS place FROM hit",
     "r07_skills": f"WITH {facts('jobs')} SELECT id, array_to_string(list_sort(req), '|') AS required, array_to_string(list_sort(pref), '|') AS preferred FROM facts",
     "a29_by_category": f"""WITH {phrases('jobs', 'id', 'job_description', _KEYWORDS)}, k AS (SELECT id, category, list(DISTINCT phrase ORDER BY phrase) AS l FROM hit GROUP BY id, category)
@@ -259,7 +266,7 @@ SQL = {
     "c07_document_kinds": f"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents), y AS (SELECT doc_id, ({_signs(RESUME_SIGNS)})::INT AS yes, ({_signs(OTHER_SIGNS)})::INT AS no,
         regexp_matches(t, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+') AS e, regexp_matches(t, '\\+?1?\\s*[-.]?\\s*\\(?[0-9]{{3}}\\)?[\\s.-]?[0-9]{{3}}[\\s.-]?[0-9]{{4}}') AS p FROM x),
         z AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(yes * 0.15::DOUBLE, 0.6::DOUBLE) + CASE WHEN e THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN p THEN 0.1::DOUBLE ELSE 0 END - least(no * 0.25::DOUBLE, 0.75::DOUBLE))), 4) AS c FROM y)
-        SELECT doc_id, CASE WHEN no >= 2 THEN 'not_resume' WHEN c >= 0.7::DOUBLE THEN 'resume' WHEN c <= 0.3::DOUBLE THEN 'not_resume' ELSE 'inconclusive' END AS verdict, c AS confidence, yes AS n_resume, no AS n_other FROM z""",
+        SELECT doc_id, CASE WHEN no >= 2 THEN 'not_resume' WHEN c >= 0.7::DOUBLE THEN 'resume' WHEN c <= 0.3::DOUBLE THEN 'not_resume' ELSE 'inconclusive' END AS verdict, c AS confidence, yes AS n_resume, no AS n_other, CASE WHEN no < 2 AND c >= 0.7::DOUBLE THEN 'resume' ELSE 'not_resume' END AS ends_as FROM z""",
     "c08_style": f"""WITH {PARTS}, b AS (SELECT m.id, concat_ws(' ', summary, array_to_string(coalesce(bullets, []::VARCHAR[]), ' ')) AS body, coalesce(bullets, []::VARCHAR[]) AS bs FROM master_resumes m LEFT JOIN bul USING (id)),
         w AS (SELECT *, list_transform(bs, lambda x: len({_WORDS_OF.format(c='x')})) AS ws, {', '.join(f"len(list_filter(bs, lambda x: {o}))::INT AS n{i}" for i, o in enumerate(_OPENS.values()))},
           list_filter(list_transform(bs, lambda x: left({_BARE}, 1)), lambda l: l <> '') AS letters FROM b),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from quern.functions.sets import SYNONYMS
 from quern.functions.text import NOISE, NOISE_PLACES, SKILL_LABELS, SKILL_TAILS
-from quern.operators.extract import CERTIFICATES, EDUCATION, EDUCATION_LEVELS, LEVEL_RANKS, MOST_YEARS, PREFERRED_LINE, REQUIRED_LINE, SKILL_YEARS, YEARS_ONLY, YEARS_SKILL
+from quern.operators.extract import CERTIFICATES, EDUCATION, EDUCATION_LEVELS, LEVEL_RANKS, MOST_YEARS, PREFERRED_LINE, REQUIRED_LINE, RESUME_HEADS, SKILL_YEARS, YEARS_ONLY, YEARS_SKILL
 
 
 def q(s: str) -> str:

@@ -157,17 +157,24 @@ def p09_as_records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "applications").select("id", "job_id", "status", iso("created_at").alias("created_at"), iso("updated_at").alias("updated_at"), F.col("application_date").cast("string").alias("application_date"))
 
 
+#: Fields that a posting needs.
+NEEDED = ("job_title", "company_name", "job_description", "application_url")
+
+
+def blank_fields(fields: tuple[str, ...] = NEEDED) -> Column:
+    """P10: names of the fields that are null or blank, in order."""
+    return F.filter(F.array(*[F.when(F.coalesce(F.length(text.stripped(F.col(f))), F.lit(0)) == 0, F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+
+
 def p10_ok() -> Column:
-    """P10: the four fields a posting needs aren't blank."""
-    fields = ("job_title", "company_name", "job_description", "application_url")
-    out = F.lit(True)
-    for f in fields:
-        out = out & F.coalesce(F.length(text.stripped(F.col(f))) > 0, F.lit(False))
-    return out
+    """P10: the fields a posting needs aren't blank."""
+    return F.size(blank_fields()) == 0
 
 
 def p10_required_fields(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "jobs").where(~p10_ok()).select("id")
+    """P10: adverts that aren't complete, place and pay demanded as well, with what they lack."""
+    blank = blank_fields((*NEEDED, "location", "salary_range"))
+    return table(spark, d, "jobs").select("id", F.array_join(blank, "|").alias("blank")).where("blank <> ''")
 
 
 def p12_over_threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -352,7 +359,7 @@ def u02_domain_skills(spark: SparkSession, d: str) -> DataFrame:
 def u04_preferred_only(spark: SparkSession, d: str) -> DataFrame:
     """Preferred skills that aren't required, in order."""
     p = F.array_except(sets.none_as_empty(F.col("preferred_skills")), sets.none_as_empty(F.col("required_skills")))
-    return table(spark, d, "jobs").select("id", F.size(p).alias("n_preferred_only"))
+    return table(spark, d, "jobs").select("id", F.array_join(p, "|").alias("preferred_only"))
 
 
 def u07_searches(spark: SparkSession, d: str) -> DataFrame:
@@ -368,8 +375,36 @@ def a26_distinct_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k04_activation(spark: SparkSession, d: str) -> DataFrame:
-    """One resume active, all others not."""
-    return table(spark, d, "master_resumes").select("id", (F.col("id") == 7).alias("is_active"))
+    """The latest own resume active, all others not."""
+    m = table(spark, d, "master_resumes")
+    last = m.where("not is_sample").agg(F.max_by("id", F.struct("created_at", "id")).alias("last"))
+    return m.crossJoin(F.broadcast(last)).select("id", (F.col("id") == F.col("last")).alias("is_active"))
+
+
+def k08_notified(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 adverts, by id, with a score of at least 60."""
+    return p12_over_threshold(spark, d).orderBy("id").limit(20)
+
+
+def c14_tagged(spark: SparkSession, d: str) -> DataFrame:
+    """C14: after a search for a domain's adverts, those that it found and that have no domain get it."""
+    searched = F.coalesce(*[F.when(F.col("source") == s, F.lit(x)) for s, x in SEARCHED.items()])
+    return table(spark, d, "jobs").select("id", F.coalesce("domain", searched).alias("domain"))
+
+
+#: Domain of the search that a source was searched with.
+SEARCHED = {"jobharbor": "tech", "hirewell": "data", "tasknest": "operations"}
+
+
+def c20_search_configs(spark: SparkSession, d: str) -> DataFrame:
+    """Searches for the domains of active resumes: those of the trade at the preferred place (adverts applied for stand for
+    them), then one's own (new adverts), the first of each pair of keywords and place in any case."""
+    active = table(spark, d, "master_resumes").where("is_active and domain is not null").select("domain").distinct()
+    j = table(spark, d, "jobs").where("job_title is not null and status in ('applied', 'new')")
+    trade = F.col("status") == "applied"
+    c = j.select("id", "domain", F.lower("job_title").alias("keywords"), F.when(trade, F.lit("remote")).otherwise(F.lower(F.coalesce("location", F.lit("")))).alias("place"), F.when(trade, 0).otherwise(1).alias("rank"))
+    c = c.join(active, "domain", "left_semi")
+    return c.groupBy("keywords", "place").agg(F.min_by(F.struct("id", "domain"), F.struct("rank", "id")).alias("c")).select("keywords", "place", "c.id", "c.domain")
 
 
 def k10_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -416,7 +451,8 @@ SQL = {
         coalesce(len(required_skills), 0)::INT AS n_required, coalesce(len(preferred_skills), 0)::INT AS n_preferred FROM jobs""",
     "p09_as_records": """SELECT id, job_id, status, strftime(make_timestamp(epoch_us(created_at)), '%Y-%m-%dT%H:%M:%S.%f') AS created_at,
         strftime(make_timestamp(epoch_us(updated_at)), '%Y-%m-%dT%H:%M:%S.%f') AS updated_at, application_date::VARCHAR AS application_date FROM applications""",
-    "p10_required_fields": f"SELECT id FROM jobs WHERE NOT ({_OK})",
+    "p10_required_fields": f"""SELECT * FROM (SELECT id, array_to_string(list_filter([{', '.join(f"CASE WHEN coalesce(length(regexp_replace({f}, '^\\s+|\\s+$', '', 'g')), 0) = 0 THEN '{f}' END" for f in (*NEEDED, 'location', 'salary_range'))}],
+        lambda x: x IS NOT NULL), '|') AS blank FROM jobs) WHERE blank <> ''""",
     "p12_over_threshold": "SELECT id, match_score FROM jobs WHERE coalesce(match_score, 0) >= 60",
     "j01_best_with_job": """WITH b AS (SELECT id AS tailored_id, job_id, match_score FROM tailored_resumes ORDER BY match_score DESC NULLS LAST, id LIMIT 5)
         SELECT b.*, j.job_title, j.company_name FROM b LEFT JOIN jobs j ON j.id = b.job_id""",
@@ -458,12 +494,17 @@ SQL = {
         {_JOIN.format(a=f'list_filter({_R}, lambda s: NOT list_contains({_P}, s))')} AS required_only,
         {_JOIN.format(a=f'list_filter({_P}, lambda s: NOT list_contains({_R}, s))')} AS preferred_only FROM jobs""",
     "u02_domain_skills": f"SELECT domain, count(DISTINCT skill) AS n_skills FROM (SELECT domain, unnest(list_concat({_R}, {_P})) AS skill FROM jobs) GROUP BY domain",
-    "u04_preferred_only": """SELECT id, len(list_distinct(list_filter(coalesce(preferred_skills, []::VARCHAR[]), lambda s: NOT list_contains(coalesce(required_skills, []::VARCHAR[]), s))))::INT
-        AS n_preferred_only FROM jobs""",
+    "u04_preferred_only": """SELECT id, coalesce(array_to_string(list_filter(p, lambda s, i: NOT list_contains(r, s) AND list_position(p, s) = i), '|'), '') AS preferred_only
+        FROM (SELECT id, coalesce(preferred_skills, []::VARCHAR[]) AS p, coalesce(required_skills, []::VARCHAR[]) AS r FROM jobs)""",
     "u07_searches": """SELECT lower(job_title) AS title_key, lower(location) AS place_key, id FROM jobs WHERE job_title IS NOT NULL AND location IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY lower(job_title), lower(location) ORDER BY (status <> 'applied'), id) = 1""",
     "a26_distinct_titles": "SELECT job_title, min(id) AS first_id FROM jobs GROUP BY job_title",
-    "k04_activation": "SELECT id, id = 7 AS is_active FROM master_resumes",
+    "k04_activation": "SELECT id, id = (SELECT id FROM master_resumes WHERE NOT is_sample ORDER BY created_at DESC, id DESC LIMIT 1) AS is_active FROM master_resumes",
+    "k08_notified": "SELECT id, match_score FROM jobs WHERE coalesce(match_score, 0) >= 60 ORDER BY id LIMIT 20",
+    "c14_tagged": "SELECT id, coalesce(domain, CASE source " + " ".join(f"WHEN '{s}' THEN '{x}'" for s, x in SEARCHED.items()) + " END) AS domain FROM jobs",
+    "c20_search_configs": """SELECT lower(job_title) AS keywords, CASE WHEN status = 'applied' THEN 'remote' ELSE lower(coalesce(location, '')) END AS place, id, domain FROM jobs
+        WHERE job_title IS NOT NULL AND status IN ('applied', 'new') AND domain IN (SELECT domain FROM master_resumes WHERE is_active)
+        QUALIFY row_number() OVER (PARTITION BY lower(job_title), CASE WHEN status = 'applied' THEN 'remote' ELSE lower(coalesce(location, '')) END ORDER BY status <> 'applied', id) = 1""",
     "k10_cascade": """WITH gone AS (SELECT id FROM jobs WHERE source = 'tasknest')
         SELECT a.id, a.job_id, t.id AS tailored_resume_id FROM applications a
         LEFT JOIN tailored_resumes t ON t.id = a.tailored_resume_id AND t.job_id NOT IN (SELECT id FROM gone) WHERE a.job_id NOT IN (SELECT id FROM gone)""",

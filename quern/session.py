@@ -91,9 +91,14 @@ def forget(spark: SparkSession) -> None:
         _delete(spark, at)
 
 
-def _delete(spark: SparkSession, at: str) -> None:
+def remove(spark: SparkSession, at: str) -> None:
+    """Deletes a folder or file, if it is there."""
     fs, p = _path(spark, at)
     fs.delete(p, True)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    remove(spark, at)
     _kept.remove(at)
 
 

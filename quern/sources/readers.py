@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 from pathlib import Path
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,7 +87,10 @@ def first_text(html: Column, selectors: tuple[str, ...]) -> Column:
     def pick(pages: pd.Series) -> pd.Series:
         def one(page: str) -> str | None:
             p = _Selected(selectors)
-            p.feed(page)
+            try:
+                p.feed(page)
+            except (AssertionError, ValueError):  # a page that can't be read costs only itself
+                return None
             return next((" ".join(p.found[s]) for s in selectors if s in p.found), None)
 
         return pages.map(one, na_action="ignore")
@@ -94,14 +98,16 @@ def first_text(html: Column, selectors: tuple[str, ...]) -> Column:
     return pick(html)
 
 
-def postings_of_pages(pages: DataFrame, selectors: dict[str, tuple[str, ...]]) -> DataFrame:
+def postings_of_pages(pages: DataFrame, selectors: dict[str, tuple[str, ...]], most: int | None = None) -> DataFrame:
     """Pages (url, html) as postings: JSON-LD first, else selectors of each field; without title, company and
-    text a page is left out; of pages with one address (without query) the one with the least whole address counts."""
+    text, or if it can't be read, a page is left out; of pages with one address (without query) the one with the least whole
+    address counts. most: only so many postings of a run, the first by address (S07's cap), all if absent."""
     one = pages.groupBy(F.substring_index("url", "?", 1).alias("application_url")).agg(F.min_by("html", "url").alias("html"))
     d = one.withColumn("p", json_ld_posting(F.col("html")))
     pick = lambda f: F.coalesce(F.nullif(F.col(f"p.{f}"), F.lit("")), first_text(F.when(F.col("p").isNull(), F.col("html")), selectors.get(f, ())))
     out = d.select("application_url", *[pick(f).alias(f) for f in ("title", "company", "location", "description")], F.col("p.posted").alias("posted"), F.col("p.salary").alias("salary"))
-    return out.where("length(trim(title)) > 0 and length(trim(company)) > 0 and length(trim(description)) > 0")
+    out = out.where("length(trim(title)) > 0 and length(trim(company)) > 0 and length(trim(description)) > 0")
+    return out.orderBy("application_url").limit(most) if most is not None else out
 
 
 # --- files ---------------------------------------------------------------------------------------------------------------
@@ -123,6 +129,27 @@ def seed_samples(masters: DataFrame, samples: DataFrame) -> DataFrame:
     return masters.select("id", "name", "content", "is_active", "is_sample", "domain").unionByName(rows)
 
 
+# Sections that a resume should have.
+NEEDED_SECTIONS = ("personal_info", "work_experience", "skills")
+
+
+def uploaded(masters: DataFrame, new: DataFrame, activate: bool = False) -> DataFrame:
+    """Masters after the resumes new (name, content) were added, with missing, the needed sections that an added one lacks.
+
+    With activate the last of them by name is the only active one. Content that is no JSON object lacks all. Other rows have null.
+    """
+    top = masters.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    keys = F.coalesce(F.json_object_keys("content"), F.array().cast("array<string>"))
+    missing = F.array_sort(F.array_except(F.array(*[F.lit(s) for s in NEEDED_SECTIONS]), keys))
+    added = new.select("name", "content").crossJoin(F.broadcast(top)).withColumn("n", F.row_number().over(_one_by("name")))  # an upload's files: few
+    added = added.select((F.col("top") + F.col("n")).alias("id"), "name", "content", F.lit(False).alias("is_active"), F.lit(False).alias("is_sample"), missing.alias("missing"))
+    both = masters.select("id", "name", "content", "is_active", "is_sample", F.lit(None).cast("array<string>").alias("missing")).unionByName(added)
+    if not activate:
+        return both
+    last = added.agg(F.max("id").alias("last"))
+    return both.crossJoin(F.broadcast(last)).withColumn("is_active", F.when(F.col("last").isNull(), F.col("is_active")).otherwise(F.col("id") == F.col("last"))).drop("last")
+
+
 def _one_by(column: str):  # noqa: ANN202
     from pyspark.sql import Window
 
@@ -135,8 +162,8 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     Lower case; a missing or unreadable file gives no rows.
     """
     try:
-        lines = Path(path).read_text(encoding="utf-8").splitlines()
-    except (OSError, UnicodeDecodeError):
+        lines = [x for r in spark.read.text(path, wholetext=True).limit(1).collect() for x in r.value.splitlines()]
+    except AnalysisException:
         lines = []
     rows, category = [], None
     for line in lines:
@@ -171,9 +198,17 @@ def table_folder(env: dict[str, str], settings: dict, default: str) -> str:
 
 
 def read_usage(spark: SparkSession, path: str, today: str) -> DataFrame:
-    """Model, day, n_calls, n_tokens of today from a ledger of JSON objects, one a line."""
-    d = spark.read.schema("model string, date string, calls long, tokens_estimated long").json(path)
-    return d.where(F.col("date") == today).select("model", F.col("date").alias("day"), F.col("calls").alias("n_calls"), F.col("tokens_estimated").alias("n_tokens"))
+    """Model, day, n_calls, n_tokens of today from a ledger in any of its forms: one JSON object of models with their counts, the
+    older flat one (date, calls, tokens_estimated) for the model 'primary', or lines of objects with their model."""
+    counts = "date string, calls long, tokens_estimated long"
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m")).where("m is not null and m['model'] is null")
+    flat = whole.where("m['date'] is not null").select(F.lit("primary").alias("model"), F.from_json(F.to_json("m"), "date string, calls string, tokens_estimated string").alias("c"))
+    flat = flat.select("model", F.struct("c.date", F.col("c.calls").try_cast("long").alias("calls"), F.col("c.tokens_estimated").try_cast("long").alias("tokens_estimated")).alias("c"))
+    models = whole.where("m['date'] is null").select(F.explode("m").alias("model", "j")).select("model", F.from_json("j", counts).alias("c"))
+    each = lines.select(F.get_json_object("line", "$.model").alias("model"), F.from_json("line", counts).alias("c")).where("model is not null")
+    found = flat.unionByName(models).unionByName(each)
+    return found.where(F.col("c.date") == today).select("model", F.col("c.date").alias("day"), F.col("c.calls").alias("n_calls"), F.col("c.tokens_estimated").alias("n_tokens"))
 
 
 def text_of_bytes(content: Column) -> Column:

@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quern.operators import upsert
-from quern.session import shared_folder
+from quern.session import remove, shared_folder
 
 WATERMARK = "10 minutes"
 
 
-def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the Parquet files in the folder path, or of the one file path."""
+def stream_of(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the Parquet files in the folder path, or of the one file path, in the order of their times."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # a stream's path is a folder
         folder, _, name = path.rpartition("/")
@@ -49,28 +51,47 @@ def replay_batches(stream: DataFrame, name: str, write: Callable[[DataFrame, int
     return at
 
 
-def upsert_stream(postings: DataFrame, files_per_batch: int = 1) -> DataFrame:
+#: Parts of an upserted table; a batch rewrites only those that it touches.
+BUCKETS = 64
+
+
+def upsert_stream(postings: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Micro-batches of postings kept as one table by application_url.
 
-    Each batch is merged into the last version of the table and written as a new one, so a batch that is run again after a
-    failure starts from the same version: exactly once.
+    The table lies in buckets of its key. A batch is merged into the buckets it touches, which are written anew, and a list of all
+    buckets' folders is written as the table's next version: a batch that is run again after a failure starts from the same version, so
+    each counts exactly once. Folders that neither this version nor the one before names are deleted.
     """
+    bucket = F.pmod(F.xxhash64("application_url"), F.lit(buckets)).cast("int")
+    spark = postings.sparkSession
+
+    def version(at: str, n: int) -> dict[int, str]:
+        return {r.bucket: r.folder for r in spark.read.schema("bucket int, folder string").parquet(f"{at}/list{n}").collect()} if n >= 0 else {}
 
     def write(batch: DataFrame, n: int, at: str) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{at}/v{n - 1}") if n else spark.createDataFrame([], batch.select(*upsert.FIELDS).schema)
-        upsert.upsert_postings(before, batch).select(*upsert.FIELDS).write.mode("overwrite").parquet(f"{at}/v{n}")
-        batch.sparkSession.createDataFrame([(n,)], "n int").write.mode("overwrite").parquet(f"{at}/last")
+        batch = batch.select(*upsert.FIELDS).where("application_url is not null")
+        before, older = version(at, n - 1), version(at, n - 2)
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most buckets rows
+        there = [before[b] for b in touched if b in before]
+        stored = spark.read.schema(batch.schema).parquet(*there) if there else spark.createDataFrame([], batch.schema)
+        merged = upsert.upsert_postings(stored, batch).select(*upsert.FIELDS, bucket.alias("bucket"))
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/batch{n}")
+        now = before | {b: f"{at}/batch{n}/bucket={b}" for b in touched}
+        spark.createDataFrame(sorted(now.items()), "bucket int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{at}/list{n}")
+        for folder in set(older.values()) - set(before.values()):
+            remove(spark, folder)
 
-    spark = postings.sparkSession
     at = replay_batches(postings, "upsert", write)
-    n = spark.read.parquet(f"{at}/last").first().n
-    return spark.read.parquet(f"{at}/v{n}")
+    n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    names = [f.getPath().getName() for f in n.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(n)]
+    folders = version(at, max((int(x[4:]) for x in names if x.startswith("list")), default=-1)).values()
+    schema = postings.select(*upsert.FIELDS).schema
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def drain(jobs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """New rows of the stream worked on as they come."""
-    return replay(work(jobs.where(F.col("status") == "new")), "drain")
+    """New rows of the stream worked on as they come, with status analyzed."""
+    return replay(work(jobs.where(F.col("status") == "new")).withColumn("status", F.lit("analyzed")), "drain")
 
 
 def sliding_counts(events: DataFrame, key: str, at: str, length: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:

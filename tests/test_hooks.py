@@ -24,3 +24,21 @@ def test_rewrite(spark):
     assert sorted(map(tuple, hooks.rewritten(d, "t", rewrite).collect())) == [(1, "new"), (2, "b"), (3, None)]
     assert hooks.rewritten(d, "t") is d
     assert hooks.observed(d, "n").count() == 3
+
+
+def test_retried():
+    calls = []
+
+    def flaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return x
+
+    assert hooks.retried(flaky, wait=0)(5) == 5 and calls == [5, 5, 5]
+    calls.clear()
+    try:
+        hooks.retried(flaky, tries=2, wait=0)(1)
+    except OSError:
+        pass
+    assert calls == [1, 1]

@@ -277,3 +277,34 @@ Boat
     assert [tuple(e) for e in x.education] == [("BSc, b.s in Maths", "Town College", "2017")]
     assert x.certifications == ["PMP"] and [tuple(p) for p in x.projects] == [("Rocket", "flies far"), ("Boat", "")]
     assert r[1].r.positions == [] and r[2].r.personal_info.name == ""
+
+
+def test_cover():
+    import random
+
+    random.seed(9)
+    for _ in range(300):
+        cover, given = extract.Cover(), []
+        for _ in range(30):
+            a = random.randint(0, 30)
+            b = a + random.randint(1, 12)
+            want = not any(x <= a and b <= y for x, y in given)
+            assert cover.take(a, b) == want
+            if want:
+                given.append((a, b))
+
+
+def test_bullets_that_lose_a_figure_are_rejected(spark):
+    kind = "array<struct<title:string,bullets:array<string>>>"
+    d = row(spark, f"a {kind}, b {kind}", [("t", ["Cut cost by 20%", "Led a team", "Third"]), ("u", ["x"])], [("t", ["Reduced cost", "Headed a team"])])
+    got = d.select(resumes.merged_bullets(A, B).alias("m")).first().m
+    assert [(x.bullet, x.rejected) for x in got] == [("Cut cost by 20%", True), ("Headed a team", False), ("Third", False), ("x", False)]
+
+
+def test_skills_by_category(spark):
+    d = row(spark, "a map<string,array<string>>, b array<string>", {"Languages": ["Go", "Java"], "Tools": ["Git"]}, ["java", "Docker", None, "docker"])
+    get = lambda groups: d.select(resumes.promoted_groups(groups, B, F.lit("uses DOCKER and Java")).alias("g")).first().g
+    assert get(A) == {"Languages": ["Go", "Java"], "Tools": ["Git", "Docker"]}
+    assert get(F.map_filter(A, lambda k, v: k != "Tools")) == {"Languages": ["Go", "Java"], "Additional Skills": ["Docker"]}
+    groups = F.from_json(F.lit('{"Languages": ["Go", "Java"], "Tools": ["Git"]}'), "map<string,array<string>>")
+    assert d.select(resumes.tailored_skills(F.array(F.lit("z")), groups, B, F.lit("")).alias("s")).first().s == ["Java", "Go", "Git"]

@@ -13,10 +13,14 @@ def test_numbers(spark):
     for key in {r[0] for r in rows}:
         for n, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2])), 1):
             want[r[2]] = n
-    for hot in (50_000, 100, 0):
-        got = numbered(d, "k", "t", "i", hot)
+    for coalesced in ("true", "false"):  # one slice, and several that cut the hot key
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        got = numbered(d, "k", "t", "i")
         assert got.columns == ["k", "t", "i", "n"]
         assert {r.i: r.n for r in got.collect()} == want
+        two = numbered(d.withColumn("m", F.lit(None).cast("int")), ["k", "m"], "t", "i", name="place")
+        assert {r.i: r.place for r in two.collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert numbered(d.limit(0), "k", "t", "i").count() == 0
 
 

@@ -1,3 +1,4 @@
+import pytest
 import datetime
 import json
 
@@ -43,6 +44,47 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in readers.read_usage(spark, str(tmp_path / "u.json"), "d1").collect()] == [("m", "d1", 2, 3)]
 
 
+def test_usage_forms(spark, tmp_path):
+    read = lambda text: (tmp_path / "f.json").write_text(text) and sorted(tuple(r) for r in readers.read_usage(spark, str(tmp_path / "f.json"), "d1").collect())
+    assert read('{"primary": {"date": "d1", "calls": 4, "tokens_estimated": 5}, "bulk": {"date": "d0", "calls": 1, "tokens_estimated": 1}}') == [("primary", "d1", 4, 5)]
+    assert read('{"date": "d1", "calls": 4, "tokens_estimated": 5}') == [("primary", "d1", 4, 5)]
+    assert read("not json") == [] and read("{}") == []
+
+
+def test_uploads(spark):
+    m = spark.createDataFrame([(5, "n", "{}", True, False)], "id long, name string, content string, is_active boolean, is_sample boolean")
+    new = spark.createDataFrame([("b", '{"skills": [], "personal_info": {}}'), ("a", "no json"), ("c", None)], "name string, content string")
+    got = [(r.id, r.name, r.is_active, r.missing) for r in readers.uploaded(m, new, activate=True).orderBy("id").collect()]
+    all_ = ["personal_info", "skills", "work_experience"]
+    assert got == [(5, "n", False, None), (6, "a", False, all_), (7, "b", False, ["work_experience"]), (8, "c", True, all_)]
+    assert [r.is_active for r in readers.uploaded(m, new.limit(0), activate=True).collect()] == [True]
+
+
+def test_a_page_that_cannot_be_read_costs_only_itself(spark):
+    pages = spark.createDataFrame([("https://h/1", "<h1>T</h1><p class='c'>C</p><p class='d'>D</p>"), ("https://h/2", "<![bad[ <h1>"), ("https://h/3", None)], "url string, html string")
+    found = lambda **k: [r.application_url for r in readers.postings_of_pages(pages, {"title": ("h1",), "company": (".c",), "description": (".d",)}, **k).collect()]
+    assert found() == ["https://h/1"] and found(most=0) == []
+
+
+def test_tables(spark, tmp_path):
+    at = str(tmp_path)
+    assert sinks.list_tables(spark, at + "/none") == []
+    sinks.create_tables(spark, at, {"b": "x int", "a": "x int"})
+    assert sinks.list_tables(spark, at) == ["a", "b"] and sinks.healthy(spark, at, ["a", "b"]) and not sinks.healthy(spark, at, ["a", "c"])
+    assert sinks.drop_tables(spark, at, ["a", "c"]) == ["a"] and sinks.list_tables(spark, at) == ["b"]
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    at = str(tmp_path / "t.parquet")
+    sinks.write_table(spark.createDataFrame([(1,)], "i int"), at)
+    bad = spark.createDataFrame([(2,)], "i int").select(F.raise_error("broken").cast("int").alias("i"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_table(bad, at)
+    assert [r.i for r in spark.read.parquet(at).collect()] == [1]
+    sinks.write_table(spark.read.parquet(at).selectExpr("i + 1 AS i"), at)  # it may read what it replaces
+    assert [r.i for r in spark.read.parquet(at).collect()] == [2] and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t.parquet"]
+
+
 def test_sinks(spark, tmp_path):
     assert sinks.create_tables(spark, str(tmp_path), {"a": "x int"}) == ["a"] and sinks.create_tables(spark, str(tmp_path), {"a": "x int"}) == []
     d = spark.createDataFrame([(1, "é", None)], "i int, s string, n string")
