@@ -340,31 +340,28 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, i, j, block, class, low, high) sorted by the first four to pairs of classes: the whole group of a small band
-    (i and j are -1), block i against block j of a large one."""
+    """Rows (band, task, class, low, high) sorted by the first two to pairs of classes: the whole group of a small band (task 0),
+    one block of a large one, or one block (even tasks) against another (the odd task after it)."""
 
     def near(x: list[np.ndarray]) -> pa.RecordBatch:
-        small = x[1] < 0
-        i, j = near_in_groups(x[0][small], _sketches(x[5][small], x[6][small]), RADIUS)
-        a, b = [x[4][small][i]], [x[4][small][j]]
+        small = x[1] == 0
+        i, j = near_in_groups(x[0][small], _sketches(x[3][small], x[4][small]), RADIUS)
+        a, b = [x[2][small][i]], [x[2][small][j]]
         x = [y[~small] for y in x]
-        heads = _heads(*x[:3])
+        heads = _heads(x[0], x[1] >> 1)
         for h, e in zip(heads, np.append(heads[1:], len(x[0]))):
-            c, s = x[4][h:e], _sketches(x[5][h:e], x[6][h:e])
-            if x[1][h] == x[2][h]:
-                i, j = near_in_block(s, None, RADIUS)
-            else:
-                cut = int(np.searchsorted(x[3][h:e], x[2][h]))
-                i, j = near_in_block(s[:cut], s[cut:], RADIUS)
-                j = j + cut
-            a.append(c[i]), b.append(c[j])
+            c, s, second = x[2][h:e], _sketches(x[3][h:e], x[4][h:e]), (x[1][h:e] & 1).astype(bool)
+            alone = x[1][h] >> 33 == x[1][h] >> 1 & 0xFFFFFFFF
+            cut = int(np.searchsorted(second, True))
+            i, j = near_in_block(s, None, RADIUS) if alone else near_in_block(s[:cut], s[cut:], RADIUS)
+            a.append(c[i]), b.append(c[j if alone else j + cut])
         return _found(np.concatenate(a), np.concatenate(b))
 
     rest: list[np.ndarray] | None = None
     for x in _gathered(batches):
         if rest is not None:
             x = [np.concatenate([r, y]) for r, y in zip(rest, x)]
-        tail = _heads(*x[:3])[-1]  # the last group may go on
+        tail = _heads(x[0], x[1] >> 1)[-1]  # the last group may go on
         if tail:
             yield near([y[:tail] for y in x])
         rest = [y[tail:] for y in x]
@@ -376,11 +373,13 @@ def close_sketches(sets: DataFrame, size_of_block: int = BLOCK, sampled: int = S
     """a, b (a < b): classes that share a band and whose sketches are within RADIUS."""
     bands = banded(sets, hot_bands(sets, size_of_block, sampled))
     others = F.when(F.col("blocks") == 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = bands.select("band", "class", "low", "high", "block", F.explode(others).alias("other"))
-    small = F.col("other") < 0
-    tasks = tasks.select("band", F.when(small, -1).otherwise(F.least("block", "other")).alias("i"), F.when(small, -1).otherwise(F.greatest("block", "other")).alias("j"), "block", "class", "low", "high")
-    tasks = tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block")
-    return tasks.mapInArrow(_compare, "a long, b long").distinct()
+    rows = bands.select("band", "class", "low", "high", "block", F.explode(others).alias("other"))
+    i, j = F.least("block", "other") + 1, F.greatest("block", "other") + 1
+    second = (F.col("block") > F.col("other")).cast("long")
+    task = F.when(F.col("other") < 0, F.lit(0).cast("long")).otherwise((F.shiftleft(i.cast("long"), 32) + j) * 2 + second)
+    rows = rows.select("band", task.alias("task"), "class", "low", "high")
+    rows = rows.repartition("band", F.shiftright("task", 1)).sortWithinPartitions("band", "task")
+    return rows.mapInArrow(_compare, "a long, b long").distinct()
 
 
 def _jaccard(x: Column, y: Column) -> Column:
@@ -390,8 +389,10 @@ def _jaccard(x: Column, y: Column) -> Column:
 
 def similar_classes(sets: DataFrame, similarity: float = SIMILARITY, size_of_block: int = BLOCK, sampled: int = SAMPLED) -> DataFrame:
     """a, b (a < b): classes whose words have at least this similarity, checked exactly."""
-    pairs = close_sketches(sets, size_of_block, sampled)
-    words = sets.select("class", "words").dropDuplicates(["class"])
+    pairs = kept(close_sketches(sets, size_of_block, sampled), "sketch-pairs")
+    # only words of classes in a pair travel; the pairs are written, so their size is known when this is planned
+    met = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    words = sets.select("class", "words").join(met, "class", "left_semi").dropDuplicates(["class"])
     return (
         pairs.join(words.select(F.col("class").alias("a"), F.col("words").alias("x")), "a")
         .join(words.select(F.col("class").alias("b"), F.col("words").alias("y")), "b")
