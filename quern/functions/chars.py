@@ -40,11 +40,23 @@ LOOK_ALIKES = {
     # Armenian
     "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L", "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "յ": "j",
     "ք": "p", "ա": "w", "ռ": "n",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y",
+    "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮓ": "Z",
+    "Ꮖ": "I", "Ꮞ": "S", "Ꮟ": "b", "Ꮤ": "W", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
     # phonetic script
     "ɑ": "a", "ɡ": "g", "ɩ": "i", "ɪ": "i", "ʏ": "y", "ʟ": "l", "ɴ": "n", "ʀ": "r", "ʙ": "b", "ɢ": "g", "ʜ": "h",
     "ɛ": "e", "ʋ": "v", "ı": "i", "ɯ": "w", "ᴀ": "a", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ᴊ": "j", "ᴋ": "k", "ᴍ": "m",
     "ᴏ": "o", "ᴘ": "p", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
 }
+#: Small capitals of phonetic script by their names, as the table above has most of them.
+LOOK_ALIKES |= {
+    chr(c): m[1].lower()
+    for c in (*range(0x250, 0x2B0), *range(0x1D00, 0x1D80), *range(0xA720, 0xA800))
+    if chr(c) not in LOOK_ALIKES and (m := re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(chr(c), "")))
+}
 _IGNORED = re.compile(f"[{char_class(IGNORABLE)}]")
 _SPACE = re.compile(f"[{char_class(SPACES)}]")
 _LINE = re.compile(f"\r\n?|[{char_class(LINE_ENDS)}]")

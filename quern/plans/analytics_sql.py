@@ -295,6 +295,11 @@ SQL = {
     "a24_years": f"""WITH {PARTS} SELECT m.id, coalesce(list_sum(list_transform(positions, lambda x: CASE WHEN len({_YEARS}) >= 2 THEN abs({_YEARS}[-1]::INT - {_YEARS}[1]::INT) ELSE 0 END)), 0)::INT AS years
         FROM master_resumes m LEFT JOIN parts USING (id)""",
     "w03_offered_load": "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS n_window FROM events",
+    "w03_admissions": """WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL),
+        s AS (SELECT event_type, event_id, n, t AS admitted_at, [t] AS recent FROM e WHERE n = 1
+          UNION ALL SELECT event_type, event_id, n, a, list_append(CASE WHEN len(recent) >= 3 THEN recent[2:] ELSE recent END, a)
+          FROM (SELECT e.*, recent, greatest(e.t, recent[-1], CASE WHEN len(recent) >= 3 THEN recent[1] + 3600000001 ELSE 0 END) AS a FROM s JOIN e ON e.event_type = s.event_type AND e.n = s.n + 1))
+        SELECT event_type, event_id, admitted_at FROM s""",
     "w04_daily_quota": """SELECT event_id, n::INT AS n_today, n <= 5 AS admitted, greatest(0, 5 - n)::INT AS "left" FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id) AS n FROM events)""",
     "w05_quota_use": "SELECT event_type, (ts::DATE)::VARCHAR AS day, round(count(*) / 50 * 100, 1) AS used_percentage, 50 - count(*) <= 5 AS low FROM events GROUP BY event_type, ts::DATE",
     "a13_capped_sum": "SELECT user_id, round(least(sum(value), 100.0), 6) AS score FROM events GROUP BY user_id",

@@ -1,3 +1,4 @@
+import zipfile
 import pytest
 import datetime
 import json
@@ -44,6 +45,16 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in readers.read_usage(spark, str(tmp_path / "u.json"), "d1").collect()] == [("m", "d1", 2, 3)]
 
 
+def test_docx(spark, tmp_path):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Ann &amp; Bo</w:t><w:tab/><w:t>x</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>é</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "b.docx").write_bytes(b"no zip")
+    (tmp_path / "c.txt").write_text("plain")
+    got = {r.path.rpartition("/")[2]: r.text for r in readers.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.docx": "Ann & Bo\tx\n\né", "b.docx": None, "c.txt": "plain"}
+
+
 def test_usage_forms(spark, tmp_path):
     read = lambda text: (tmp_path / "f.json").write_text(text) and sorted(tuple(r) for r in readers.read_usage(spark, str(tmp_path / "f.json"), "d1").collect())
     assert read('{"primary": {"date": "d1", "calls": 4, "tokens_estimated": 5}, "bulk": {"date": "d0", "calls": 1, "tokens_estimated": 1}}') == [("primary", "d1", 4, 5)]
