@@ -14,13 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.chars import one_form, visible
+from quern.functions.chars import MAY_CHANGE, one_form, visible
 from quern.session import heavy
 
-#: Texts that this does not match need no replacement: ASCII, Latin-1 letters, dashes, quotes, bullet, currency signs.
-MAY_CHANGE = "[^\\x00-\\x7F\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u00FF\\u2013\\u2014\\u2018-\\u201D\\u2022\\u20AC\\u20B9\\u00A3]"
-
-
 def is_case(text: str) -> bool:
     """Whether visible() replaces or removes a character. Case, tabs and line ends are no reason."""
     return not text.isascii() and visible(text) != text
