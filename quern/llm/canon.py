@@ -170,6 +170,7 @@ class Reference:
             if w in self.with_word and s not in self.with_word:
                 self.words.add(s, w, int(len(s) > 3))
         self.seen: dict[str, dict[str, int]] = {}
+        self.sure: dict[str, dict[str, int]] = {}
 
     def _near(self, w: str) -> dict[str, int]:
         """Words of the list within reach of w."""
@@ -182,8 +183,13 @@ class Reference:
 
     def _meant(self, w: str) -> dict[str, int]:
         """Words that w is or misspells: an exact word is no misspelling of another."""
-        near = self._near(w)
-        return {g: d for g, d in near.items() if not d} if 0 in near.values() else near
+        got = self.sure.get(w)
+        if got is None:
+            if len(self.sure) > KEPT_VALUES:
+                self.sure.clear()
+            near = self._near(w)
+            got = self.sure[w] = {g: d for g, d in near.items() if not d} if 0 in near.values() else near
+        return got
 
     def _by_words(self, ws: list[str], search: Callable[[str], dict[str, int]]) -> Found:
         """Entries with a form all of whose words are found by words of their own: the fullest form's key."""
