@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.text import normalise_skill
+from quern.functions.text import normalise_skill, words_map
 
 # Other names of a skill with the name it counts under, one step only; three pairs point both ways.
 SYNONYMS = {
@@ -31,9 +29,7 @@ def none_as_empty(c: Column) -> Column:
 
 def canonical(skill: Column, extra: dict[str, str] | None = None) -> Column:
     """The name a normalised skill counts under, one step; extra synonyms (X08) win. Unknown ones stay."""
-    pairs = SYNONYMS | (extra or {})
-    names = F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])
-    return F.coalesce(F.try_element_at(names, skill), skill)
+    return F.coalesce(F.try_element_at(words_map(SYNONYMS | (extra or {})), skill), skill)
 
 
 def expanded(skills: Column, extra: dict[str, str] | None = None) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +18,20 @@ SKILL_LABELS = ("requirements", "qualifications", "responsibilities", "overview"
 _END = "[.,;:!?\"']+$"
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def words_array(words: Iterable[str]) -> Column:
+    """A constant array of texts, made by one call to the JVM however many they are."""
+    return F.expr("array(" + ", ".join(map(_quoted, words)) + ")")
+
+
+def words_map(pairs: dict[str, str]) -> Column:
+    """A constant map of texts, made by one call to the JVM."""
+    return F.expr("map(" + ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in pairs.items()) + ")")
+
+
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of value, with value worked out once however often f names it."""
     return F.transform(F.array(value), f)[0]
@@ -131,7 +145,7 @@ def negated_before(c: Column, position: Column) -> Column:
 def clean_skill(c: Column) -> Column:
     """A captured skill without the sentence's last words; structural labels become ''."""
     cut = lambda out, tail: F.when(F.endswith(out, tail), stripped(F.left(out, F.length(out) - F.length(tail)))).otherwise(out)
-    out = F.aggregate(F.array(*[F.lit(t) for t in SKILL_TAILS]), F.regexp_replace(F.lower(stripped(c)), _END, ""), cut)
+    out = F.aggregate(words_array(SKILL_TAILS), F.regexp_replace(F.lower(stripped(c)), _END, ""), cut)
     return bound(F.regexp_replace(out, _END, ""), lambda x: F.when(x.isin(*SKILL_LABELS), F.lit("")).otherwise(x))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.text import EMAIL, PHONE, bound
+from quern.functions.text import EMAIL, PHONE, bound, words_array
 
 #: Keywords of the domains of the test tables; domain_finder() takes any table of them.
 DOMAIN_KEYWORDS = {
@@ -121,7 +121,7 @@ def document_kind(text: Column) -> Column:
     inconclusive, which without a further judge (X03) ends as not_resume. Null counts as ''.
     """
     t = F.coalesce(text, F.lit(""))
-    count = lambda low, signs: F.size(F.filter(F.array(*[F.lit(s) for s in signs]), lambda s: F.contains(low, s)))
+    count = lambda low, signs: F.size(F.filter(words_array(signs), lambda s: F.contains(low, s)))
     flag = lambda p, v: F.when(t.rlike(p), v).otherwise(0.0)
     counts = bound(F.lower(t), lambda low: F.struct(count(low, RESUME_SIGNS).alias("yes"), count(low, OTHER_SIGNS).alias("no")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import sets
-from quern.functions.text import bound, stripped, voice
+from quern.functions.text import bound, stripped, voice, words_array
 
 _SHAPE = (
     "professional_summary string, summary string, work_experience string, experience string, skills string, education string, "
@@ -168,7 +168,7 @@ def new_skills(original: Column, modified: Column, known: Column) -> Column:
     tokens = F.array_distinct(F.regexp_extract_all(modified, F.lit(TOKENS), 1))
     old = F.transform(F.regexp_extract_all(original, F.lit(TOKENS), 1), F.lower)
     known_low = F.transform(F.filter(sets.none_as_empty(known), lambda s: s.isNotNull()), F.lower)
-    common = F.array(*[F.lit(w) for w in COMMON_WORDS])
+    common = words_array(COMMON_WORDS)
     fresh = F.filter(tokens, lambda t: ~F.array_contains(old, F.lower(t)) & ~F.array_contains(known_low, F.lower(t)) & ~F.array_contains(common, F.lower(t)))
     return F.slice(F.array_sort(F.filter(fresh, lambda t: t.rlike(r"\d") | (t.rlike("^[A-Z]") & (F.length(t) > 4)))), 1, 5)
 
@@ -206,8 +206,8 @@ def _checks(original: Column, modified: Column, known: Column | None, least: int
     named = {
         "figures removed": figures_lost(original, modified) if bullet else F.lit(False),
         "too short": n < least, "too long": n > most,
-        "unfit word": F.exists(F.array(*[F.lit(w) for w in UNFIT]), lambda w: F.contains(low, w)),
-        "filler phrase": F.exists(F.array(*[F.lit(w) for w in FILLERS]), lambda w: F.contains(low, w)) if bullet else F.lit(False),
+        "unfit word": F.exists(words_array(UNFIT), lambda w: F.contains(low, w)),
+        "filler phrase": F.exists(words_array(FILLERS), lambda w: F.contains(low, w)) if bullet else F.lit(False),
         "new skill": F.size(new_skills(original, modified, known)) > 0 if known is not None else F.lit(False),
         "empty": n == 0,
     }
@@ -268,7 +268,7 @@ def promoted_groups(groups: Column, words: Column, text: Column) -> Column:
     """N04 for skills by category (map): new words go to the first of CATEGORIES that is there, else to OTHER_CATEGORY."""
     have = F.filter(F.flatten(F.transform(F.map_values(groups), sets.none_as_empty)), lambda s: s.isNotNull())
     names = F.map_keys(groups)
-    target = F.coalesce(F.try_element_at(F.filter(F.array(*[F.lit(c) for c in CATEGORIES]), lambda c: F.array_contains(names, c)), F.lit(1)), F.lit(OTHER_CATEGORY))
+    target = F.coalesce(F.try_element_at(F.filter(words_array(CATEGORIES), lambda c: F.array_contains(names, c)), F.lit(1)), F.lit(OTHER_CATEGORY))
 
     def grown(x: Column) -> Column:
         there = F.transform_values(groups, lambda k, v: F.when(k == x["target"], F.concat(sets.none_as_empty(v), x["new"])).otherwise(v))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions.sets import canonical, expanded, none_as_empty, share_of
-from quern.functions.text import bound, normalise_skill, stripped
+from quern.functions.text import bound, normalise_skill, stripped, words_array
 from quern.operators.extract import LEVEL_RANKS
 
 # Weights of the score's parts; words that tell a level.
@@ -83,7 +83,7 @@ def education_rank(skills: Column) -> Column:
     low = F.transform(none_as_empty(skills), F.lower)
     out = F.lit(0)
     for rank in sorted(LEVEL_WORDS):
-        out = F.when(F.arrays_overlap(low, F.array(*[F.lit(w) for w in LEVEL_WORDS[rank]])), rank).otherwise(out)
+        out = F.when(F.arrays_overlap(low, words_array(LEVEL_WORDS[rank])), rank).otherwise(out)
     return out
 
 

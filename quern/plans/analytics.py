@@ -300,7 +300,7 @@ def _demanding(spark: SparkSession, d: str) -> DataFrame:
     """id, text: the adverts' whole texts with a closing paragraph of demands, made of their skills, as the texts themselves ask for little."""
     s = lambda n: F.try_element_at("required_skills", F.lit(n))
     n = lambda k: (F.col("id") % k).cast("string")
-    more = F.element_at(F.array(*[F.lit(x) for x in DEMANDS]), (F.col("id") % len(DEMANDS) + 1).cast("int"))
+    more = F.element_at(text.words_array(DEMANDS), (F.col("id") % len(DEMANDS) + 1).cast("int"))
     parts = ("job_description", F.lit(" "), n(30), F.lit("+ years of "), s(1), F.lit(" and more. No 4 years of "), s(2), F.lit(" needed. "), s(3), F.lit(": "), n(9), F.lit(" years. "), more)
     return _jobs(spark, d, "job_description", "required_skills").select("id", F.concat_ws("", *parts).alias("text"))
 
@@ -418,7 +418,7 @@ def _section_names() -> Column:
 
 def o10_section_order(spark: SparkSession, d: str) -> DataFrame:
     p = _masters(spark, d).withColumnRenamed("resume_id", "id")
-    return p.select("id", _list(sets.in_order(F.array(*[F.lit(s) for s in resumes.SECTIONS]), _section_names())).alias("sections"))
+    return p.select("id", _list(sets.in_order(text.words_array(resumes.SECTIONS), _section_names())).alias("sections"))
 
 
 def _both(spark: SparkSession, d: str) -> DataFrame:
@@ -487,7 +487,7 @@ def c15_tailoring(spark: SparkSession, d: str, rewrite: hooks.Judge | None = Non
         _list(F.transform(resumes.best_bullets(F.col("bullets"), F.col("words"), 3), lambda i: i.cast("string"))).alias("bullet_places"),
         "coverage_before", "coverage_after", F.round(F.col("coverage_after") - F.col("coverage_before"), 1).alias("improvement"),
         F.size(F.filter("merged", lambda b: b["rejected"])).alias("n_rejected"), resumes.years_of_experience(F.col("old")).alias("years"),
-        _list(sets.in_order(F.array(*[F.lit(k) for k in parts]), _section_names())).alias("sections"),
+        _list(sets.in_order(text.words_array(parts), _section_names())).alias("sections"),
     )
 
 

@@ -26,6 +26,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8) -> Spa
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # without the call site of each expression a query of many expressions is built in half the calls to the JVM
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.text import html_text, iso_date
+from quern.functions.text import html_text, iso_date, words_array
 
 # --- pages -------------------------------------------------------------------------------------------------------------
 
@@ -143,7 +143,7 @@ def uploaded(masters: DataFrame, new: DataFrame, activate: bool = False) -> Data
     """
     top = masters.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     keys = F.coalesce(F.json_object_keys("content"), F.array().cast("array<string>"))
-    missing = F.array_sort(F.array_except(F.array(*[F.lit(s) for s in NEEDED_SECTIONS]), keys))
+    missing = F.array_sort(F.array_except(words_array(NEEDED_SECTIONS), keys))
     added = new.select("name", "content").crossJoin(F.broadcast(top)).withColumn("n", F.row_number().over(_one_by("name")))  # an upload's files: few
     added = added.select((F.col("top") + F.col("n")).alias("id"), "name", "content", F.lit(False).alias("is_active"), F.lit(False).alias("is_sample"), missing.alias("missing"))
     both = masters.select("id", "name", "content", "is_active", "is_sample", F.lit(None).cast("array<string>").alias("missing")).unionByName(added)
