@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import sets
@@ -36,6 +36,22 @@ def upsert_postings(jobs: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
+def upsert_batch(jobs: DataFrame, postings: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
+    """upsert_postings() of the postings that ok holds for, and (outcome, n_postings) of all: failed, saved, updated.
+
+    A posting that isn't ok, or for which ok is null, costs only itself. Of several with a new address the first is saved, the others update it.
+    A null address is saved each time.
+    """
+    valid = F.coalesce(ok, F.lit(False))
+    known = jobs.select("application_url").dropna().distinct().withColumn("known", F.lit(True))
+    n = postings.where(valid).groupBy("application_url").agg(F.count("*").alias("n")).join(known, "application_url", "left")
+    new = F.when(F.col("application_url").isNull(), F.col("n")).when(F.col("known").isNull(), F.lit(1)).otherwise(F.lit(0))
+    counts = n.agg(F.coalesce(F.sum(new), F.lit(0)).alias("saved"), F.coalesce(F.sum(F.col("n") - new), F.lit(0)).alias("updated"))
+    both = counts.select(F.explode(F.map_from_arrays(F.array(F.lit("saved"), F.lit("updated")), F.array("saved", "updated"))).alias("outcome", "n_postings"))
+    lost = postings.where(~valid).agg(F.count("*").alias("n_postings")).select(F.lit("failed").alias("outcome"), "n_postings")
+    return upsert_postings(jobs, postings.where(valid)), both.unionByName(lost)
+
+
 FIELDS = (
     "id", "application_url", "job_title", "company_name", "location", "job_description", "required_skills", "preferred_skills", "salary_range",
     "date_posted", "status",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import sets, text
 from quern.operators import classify, extract, hooks, quota, resume_text, resumes, skills, upsert
-from quern.plans.relational import TODAY, resume_for_domain
+from quern.plans.relational import TODAY, p10_ok, resume_for_domain
 from quern.session import heavy, table
 
 # --- text functions over adverts --------------------------------------------------------------------------------------
@@ -589,6 +589,21 @@ def k01_upsert(spark: SparkSession, d: str) -> DataFrame:
     return u.select("id", "application_url", "job_title", "salary_range", "status", "is_new")
 
 
+def _batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The arriving postings of K01, every 17th without company."""
+    stored, arriving = _halves(spark, d)
+    arriving = arriving.withColumn("company_name", F.when(F.col("id") % 17 != 0, F.col("company_name")))
+    return upsert.upsert_batch(stored, arriving, p10_ok())
+
+
+def k02_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _batch(spark, d)[0].select("id", "application_url", "job_title", "status", "is_new")
+
+
+def k02_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return _batch(spark, d)[1]
+
+
 def u03_merged_skills(spark: SparkSession, d: str) -> DataFrame:
     return _jobs(spark, d, "required_skills", "preferred_skills").select("id", _list(sets.merged(F.col("required_skills"), F.col("preferred_skills"))).alias("skills"))
 

@@ -56,6 +56,9 @@ _LIST = "coalesce(array_to_string({a}, '|'), '')"
 _LISTED = "coalesce(required_skills, req) AS req, CASE WHEN required_skills IS NULL THEN coalesce(preferred_skills, pref) ELSE coalesce(preferred_skills, []::VARCHAR[]) END AS pref"
 _KEYWORDS = """SELECT DISTINCT lower(unnest(list_concat([canon_value], coalesce(alt_names, []::VARCHAR[])))) AS phrase, kind AS category FROM canon_values WHERE kind IS NOT NULL
     UNION ALL SELECT unnest(['mentor', 'coach', 'organise', 'negotiate', 'trust', 'clarity', 'strong interest', 'willingness']), 'soft_skills'"""
+_HALVES = f"""j AS (SELECT *, coalesce(date_scraped < TIMESTAMPTZ '2025-07-01 00:00:00+00', false) AS early FROM jobs),
+    o AS (SELECT * FROM j WHERE early QUALIFY row_number() OVER (PARTITION BY application_url ORDER BY id DESC) = 1),
+    v AS (SELECT * FROM j WHERE id % 17 <> 0 AND {' AND '.join(f"coalesce(length({strip(c)}), 0) > 0" for c in ('job_title', 'company_name', 'job_description', 'application_url'))})"""
 _DEMANDS = ("AWS Certified Developer Associate preferred", "PMP or Certified Scrum Master is a plus", "Six  Sigma Green Belt and CISSP required", "CompTIA Security+ desired; ITIL v4", "Bachelor's degree in Physics or an MBA, PhD preferred")
 _DEMANDING = f"""dj AS (SELECT id, concat(job_description, ' ', id % 30, '+ years of ', required_skills[1], ' and more. No 4 years of ', required_skills[2], ' needed. ', required_skills[3], ': ', id % 9, ' years. ',
     [{', '.join(map(q, _DEMANDS))}][id % 5 + 1]) AS text FROM jobs)"""
@@ -316,6 +319,11 @@ SQL = {
         o AS (SELECT * FROM j WHERE early QUALIFY row_number() OVER (PARTITION BY application_url ORDER BY id DESC) = 1),
         n AS (SELECT * REPLACE (CASE WHEN early THEN '' ELSE salary_range END AS salary_range) FROM j QUALIFY row_number() OVER (PARTITION BY application_url ORDER BY id DESC) = 1)
         SELECT coalesce(o.id, n.id) AS id, n.application_url, n.job_title, coalesce(nullif(n.salary_range, ''), o.salary_range) AS salary_range, coalesce(o.status, 'new') AS status, o.id IS NULL AS is_new FROM n LEFT JOIN o USING (application_url)""",
+    "k02_batch": f"""WITH {_HALVES}, nn AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY application_url ORDER BY id DESC) = 1)
+        SELECT coalesce(o.id, n.id) AS id, coalesce(n.application_url, o.application_url) AS application_url, coalesce(n.job_title, o.job_title) AS job_title, coalesce(o.status, 'new') AS status, o.id IS NULL AS is_new FROM nn n FULL JOIN o USING (application_url)""",
+    "k02_outcomes": f"""WITH {_HALVES}, c AS (SELECT application_url, count(*) AS n, bool_or(application_url IN (SELECT application_url FROM o)) AS known FROM v GROUP BY 1)
+        SELECT 'saved' AS outcome, count(*) FILTER (NOT known) AS n_postings FROM c UNION ALL SELECT 'updated', (sum(n) - count(*) FILTER (NOT known))::BIGINT FROM c
+        UNION ALL SELECT 'failed', (SELECT count(*) FROM jobs) - (SELECT count(*) FROM v)""",
     "u03_merged_skills": f"""WITH x AS (SELECT id, coalesce(required_skills, []::VARCHAR[]) AS o, {_MERGE_NEW} AS n FROM jobs), y AS (SELECT id, o, n, {_LOWERED.format(a='o')} AS ol, {_LOWERED.format(a='n')} AS nl FROM x)
         SELECT id, array_to_string(CASE WHEN len(n) = 0 THEN CASE WHEN len(o) > 0 THEN o END WHEN len(o) = 0 THEN n ELSE list_concat(o, list_filter(n, lambda s, i: NOT list_contains(ol, lower(s)) AND list_position(nl, lower(s)) = i)) END, '|') AS skills FROM y""",
     "k03_tailored": """SELECT id + 1000000000 AS id, job_id, master_resume_id, match_score / 2 AS match_score FROM tailored_resumes""",

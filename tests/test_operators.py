@@ -308,3 +308,15 @@ def test_skills_by_category(spark):
     assert get(F.map_filter(A, lambda k, v: k != "Tools")) == {"Languages": ["Go", "Java"], "Additional Skills": ["Docker"]}
     groups = F.from_json(F.lit('{"Languages": ["Go", "Java"], "Tools": ["Git"]}'), "map<string,array<string>>")
     assert d.select(resumes.tailored_skills(F.array(F.lit("z")), groups, B, F.lit("")).alias("s")).first().s == ["Java", "Go", "Git"]
+
+
+def test_upsert_batch(spark):
+    kind = "id long, application_url string, job_title string, company_name string, location string, job_description string, required_skills array<string>, preferred_skills array<string>, salary_range string, date_posted date, status string"
+    full = lambda i, url, company="c": (i, url, "t", company, None, "d", None, None, None, None, "applied")
+    jobs = spark.createDataFrame([full(1, "u")], kind)
+    came = spark.createDataFrame([full(2, "u"), full(3, "v"), full(4, "v"), full(5, "w", ""), full(6, "x", None)], kind)
+    after, counts = upsert.upsert_batch(jobs, came, F.length("company_name") > 0)
+    assert sorted((r.id, r.application_url, r.status) for r in after.collect()) == [(1, "u", "applied"), (4, "v", "new")]
+    assert {r.outcome: r.n_postings for r in counts.collect()} == {"failed": 2, "saved": 1, "updated": 2}
+    none = upsert.upsert_batch(jobs.limit(0), came.limit(0), F.lit(True))
+    assert none[0].count() == 0 and {r.n_postings for r in none[1].collect()} == {0}
