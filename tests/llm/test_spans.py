@@ -58,6 +58,16 @@ def test_against_all_windows(spark, span, gram, hot):
     assert {r.doc_id: r.cluster_id for r in clusters(d, span, gram, hot).collect()} == want
 
 
+def test_one_run_of_a_whole_text(spark, monkeypatch):
+    """A text of one character is a single run, whatever its length: many such windows are settled by aggregation."""
+    docs = [(i, "z" * (300 + i)) for i in range(8)] + [(50, "q" * 400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    want = by_force(docs, 200)
+    assert {r.doc_id: r.shared_chars for r in shared_chars(d).collect()} == want
+    monkeypatch.setattr("quern.llm.spans.HOT_WINDOWS", 50)
+    assert {r.doc_id: r.shared_chars for r in shared_chars(d).collect()} == want
+
+
 def test_edges(spark):
     d = spark.createDataFrame([(1, "abc " * 200, 0), (2, None, 0), (3, "", 0), (4, "x", 0)], "doc_id long, text string, lo int")
     assert shared_chars(d).count() == 0
