@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,18 @@ SECTIONS = {
 }
 LISTS = {"bullets": "bullets", "coursework": "coursework", "technologies": "technologies", "tech": "technologies"}
 
+
+class Shape(NamedTuple):
+    """What of a record becomes rows: members of the root by the section they count under, members of an entry by the kind of items they
+    count under (older names beside the newer ones), and sections that may hold lists by category."""
+
+    sections: dict[str, str]
+    lists: dict[str, str]
+    categories: tuple[str, ...] = ()
+
+
+RESUME = Shape(SECTIONS, LISTS, ("skills",))
+
 _KINDS = np.zeros(256, np.uint8)
 for _i, _c in enumerate(b"{}[]:,", 1):
     _KINDS[_c] = _i
@@ -157,11 +171,15 @@ class Index:
             except ValueError:
                 ok[doc[i]] = False
         self.null = np.zeros(m, bool)
-        for i in np.flatnonzero(value & ~leads & ~text & ~empty & ok[doc]):
-            v = raw[self.lo[i] : self.hi[i]]
-            if not _PLAIN.fullmatch(v):
+        bare = np.flatnonzero(value & ~leads & ~text & ~empty & ok[doc])
+        self.null[bare] = self.spelled(b"null", self.lo[bare], self.hi[bare])
+        figures = np.concatenate([[0], np.cumsum((b >= 0x30) & (b <= 0x39))])
+        long = self.hi[bare] - self.lo[bare]
+        whole = (figures[self.hi[bare]] - figures[self.lo[bare]] == long) & ((b[self.lo[bare]] != 0x30) | (long == 1))
+        known = self.null[bare] | whole | self.spelled(b"true", self.lo[bare], self.hi[bare]) | self.spelled(b"false", self.lo[bare], self.hi[bare])
+        for i in bare[~known]:  # numbers with sign, fraction or exponent, and what is no value
+            if not _PLAIN.fullmatch(raw[self.lo[i] : self.hi[i]]):
                 ok[doc[i]] = False
-            self.null[i] = v == b"null"
         self.is_value, self.is_text = value & ok[doc], text
         self.opens = np.where(leads, np.arange(m) + 1, -1)
         # places: how many slots of the same container come before
@@ -182,14 +200,20 @@ class Index:
         self.v_lo = np.where(in_range, at[np.minimum(at_open, m - 1)], self.lo) if m else self.lo
         self.v_hi = np.where(in_range, at[close[np.minimum(at_open, m - 1)]] + 1, self.hi) if m else self.hi
 
+    def spelled(self, word: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which stretches lo:hi are word."""
+        out = hi - lo == len(word)
+        same = np.flatnonzero(out)
+        out[same] = (self.buf[lo[same][:, None] + np.arange(len(word))] == np.frombuffer(word, np.uint8)).all(axis=1)
+        return out
+
     def key_is(self, name: str) -> np.ndarray:
         """Tokens that are the ':' after the key name, as plain text without escapes or with."""
-        want = json.dumps(name).encode()
-        hit = np.flatnonzero((self.kind == COLON) & self.is_value & (((self.key_hi - self.key_lo) == len(want)) | self.escaped[np.maximum(np.arange(len(self.kind)) - 1, 0)]))
+        keys = np.flatnonzero((self.kind == COLON) & self.is_value)
         out = np.zeros(len(self.kind), bool)
-        for i in hit:
-            k = self.raw[self.key_lo[i] : self.key_hi[i]]
-            out[i] = k == want or (b"\\" in k and json.loads(k) == name)
+        out[keys] = self.spelled(json.dumps(name).encode(), self.key_lo[keys], self.key_hi[keys])
+        for i in keys[self.escaped[np.maximum(keys - 1, 0)]]:
+            out[i] |= json.loads(self.raw[self.key_lo[i] : self.key_hi[i]]) == name
         return out
 
     def blank(self, i: np.ndarray) -> np.ndarray:
@@ -210,8 +234,8 @@ def _last_of_key(slots: np.ndarray, group: np.ndarray, prefer: np.ndarray) -> np
     return slots[o][keep]
 
 
-def flatten(texts: list[str | None]) -> pd.DataFrame:
-    """Rows (doc, section, entry_no, item_kind, item_no, value) of resume texts; doc counts from 0.
+def flatten(texts: list[str | None], shape: Shape = RESUME) -> pd.DataFrame:
+    """Rows (doc, section, entry_no, item_kind, item_no, value) of texts of a shape; doc counts from 0.
 
     value is the JSON text of the entry or item. Null, empty and unreadable texts give no rows. JSON text in a
     JSON string is read as the text; of repeated keys the last counts, of an older and a newer name the newer
@@ -256,9 +280,9 @@ def flatten(texts: list[str | None]) -> pd.DataFrame:
             got.append((i, owner[x.box[i]], np.full(len(i), canon.index(to)), np.where(x.null[i], 0, 1 + (name == to))))
         i, own, name, prefer = (np.concatenate(a) for a in zip(*got))
         keep = _last_of_key(i, own * len(canon) + name, prefer)
-        at = {k: (o, n) for k, o, n in zip(i, own, name)}
-        pairs = [at[k] for k in keep]
-        return keep, np.array([p[0] for p in pairs], np.int64), np.array([canon[p[1]] for p in pairs], object)
+        order = np.argsort(i, kind="stable")
+        at = order[np.searchsorted(i[order], keep)]
+        return keep, own[at].astype(np.int64), np.array(canon, object)[name[at]]
 
     empty = pd.DataFrame({"doc": [], "section": [], "entry_no": [], "item_kind": [], "item_no": [], "value": []})
     if not len(x.kind):
@@ -269,7 +293,7 @@ def flatten(texts: list[str | None]) -> pd.DataFrame:
     roots = roots[x.kind[roots] == OPEN_O]
     x.opens = np.append(x.opens, roots)  # virtual slots behind the tokens
     fake = np.arange(len(roots)) + len(x.kind)
-    sec, _, names = members(fake, SECTIONS)
+    sec, _, names = members(fake, shape.sections)
     live = ~x.blank(sec) if len(sec) else np.zeros(0, bool)
     sec, names = sec[live], names[live]
     if not len(sec):
@@ -280,22 +304,24 @@ def flatten(texts: list[str | None]) -> pd.DataFrame:
     live = ~x.blank(e)
     e, own = e[live], own[live]
     entry, entry_sec, entry_no = [e], [names[own]], [x.place[e]]
-    # a single value for a list, but skills by category
-    one = (holds != OPEN_A) & ~((holds == OPEN_O) & (names == "skills"))
+    # a single value for a list, but not lists by category
+    by_category = (holds == OPEN_O) & np.isin(names.astype(str), shape.categories)
+    one = (holds != OPEN_A) & ~by_category
     entry.append(sec[one]), entry_sec.append(names[one]), entry_no.append(np.zeros(one.sum(), np.int64))
     entries, sections, numbers = np.concatenate(entry), np.concatenate(entry_sec), np.concatenate(entry_no)
     emit(entries, sections, numbers, "", -1)
     # categories
-    owner = np.zeros(len(x.kind), bool)
-    owner[x.opens[sec[(holds == OPEN_O) & (names == "skills")]]] = True
+    owner = np.full(len(x.kind), -1, np.int64)
+    owner[x.opens[sec[by_category]]] = np.flatnonzero(by_category)
     cat = np.flatnonzero((x.kind == COLON) & x.is_value & (x.box >= 0))
-    cat = cat[owner[x.box[cat]]]
+    cat = cat[owner[x.box[cat]] >= 0]
     cat = cat[~x.blank(cat)]
-    emit(cat, np.full(len(cat), "skills", object), x.place[cat], "", -1)
+    cat_names = names[owner[x.box[cat]]]
+    emit(cat, cat_names, x.place[cat], "", -1)
     # items of entries and of categories
-    lists, own, kinds = members(entries, LISTS)
+    lists, own, kinds = members(entries, shape.lists)
     lists = np.concatenate([lists, cat]).astype(np.int64)
-    l_sec = np.concatenate([sections[own], np.full(len(cat), "skills", object)])
+    l_sec = np.concatenate([sections[own], cat_names])
     l_no = np.concatenate([numbers[own], x.place[cat]])
     l_kind = np.concatenate([kinds, np.full(len(cat), "category_items", object)])
     i, own = elements(lists)
@@ -314,13 +340,13 @@ NAMES = ["record_kind", "record_id", "section", "entry_no", "item_kind", "item_n
 SCHEMA = "record_kind string, record_id long, section string, entry_no int, item_kind string, item_no int, value string"
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(2).to_pylist()
         start = size = 0
         for i in range(len(texts) + 1):
             if i == len(texts) or (size and size + len(texts[i] or "") > BATCH_BYTES):
-                out = flatten(texts[start:i])
+                out = flatten(texts[start:i], shape)
                 if len(out):
                     at = pa.array(out["doc"].to_numpy().astype(np.int64) + start)
                     ints = [pa.array(out[c].to_numpy().astype(np.int32)) for c in ("entry_no", "item_no")]
@@ -331,14 +357,14 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(texts[i] or "")
 
 
-def flatten_records(records: DataFrame) -> DataFrame:
+def flatten_records(records: DataFrame, shape: Shape = RESUME) -> DataFrame:
     """records (record_kind, record_id, content) as rows of SCHEMA: item_no -1 is an entry, the parent of the
     items with its record, section and entry_no. Narrow: no shuffle, and long texts are indexed alone.
 
     Null, empty and unreadable contents give no rows; repeated records give their rows again; columns beyond
     the three are ignored.
     """
-    return records.select("record_kind", F.col("record_id").cast("long"), "content").mapInArrow(_batches, SCHEMA)
+    return records.select("record_kind", F.col("record_id").cast("long"), "content").mapInArrow(partial(_batches, shape=shape), SCHEMA)
 
 
 def resume_records(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.operators.nested import LISTS, SECTIONS, flatten, flatten_records
+from quern.operators.nested import LISTS, SECTIONS, Shape, flatten, flatten_records
 
 
 def blank(v):
@@ -99,3 +99,14 @@ def test_long_text():
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_repeats(n):
     assert len(flatten(['{"skills":["a","b"]}'] * n)) == 2 * n
+
+
+def test_another_shape():
+    shape = Shape({"orders": "orders", "purchases": "orders", "tags": "tags", "prices": "prices"}, {"lines": "lines", "notes": "notes"}, ("prices",))
+    t = '{"purchases": [{"lines": ["a", null, 1.5e3], "notes": "n"}, null, true], "prices": {"x": [1, 2], "y": null}, "tags": ["t\\u0041"], "skills": ["not asked for"]}'
+    got = [tuple(r) for r in flatten([t, "[1]", "{"], shape)[["section", "entry_no", "item_kind", "item_no", "value"]].itertuples(index=False)]
+    assert sorted(got) == sorted([
+        ("orders", 0, "", -1, '{"lines": ["a", null, 1.5e3], "notes": "n"}'), ("orders", 2, "", -1, "true"), ("tags", 0, "", -1, '"t\\u0041"'), ("prices", 0, "", -1, "[1, 2]"),
+        ("orders", 0, "lines", 0, '"a"'), ("orders", 0, "lines", 2, "1.5e3"), ("orders", 0, "notes", 0, '"n"'), ("prices", 0, "category_items", 0, "1"), ("prices", 0, "category_items", 1, "2"),
+    ])
+    assert flatten(['{"orders": [01]}', '{"orders": [-1, 0, 12, 1.0, 1.]}'], shape).empty and len(flatten(['{"orders": [-1, 0, 12, 1.5]}'], shape)) == 4
