@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import sets, text
 from quern.operators import classify, extract, hooks, quota, resume_text, resumes, skills, upsert
-from quern.plans.relational import TODAY, p10_ok, resume_for_domain
+from quern.plans.relational import TODAY, valid_posting, resume_for_domain
 from quern.session import heavy, table
 
 # --- text functions over adverts --------------------------------------------------------------------------------------
@@ -593,7 +593,7 @@ def _batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The arriving postings of K01, every 17th without company."""
     stored, arriving = _halves(spark, d)
     arriving = arriving.withColumn("company_name", F.when(F.col("id") % 17 != 0, F.col("company_name")))
-    return upsert.upsert_batch(stored, arriving, p10_ok())
+    return upsert.upsert_batch(stored, arriving, valid_posting())
 
 
 def k02_batch(spark: SparkSession, d: str) -> DataFrame:

@@ -91,7 +91,7 @@ def a08_newest(spark: SparkSession, d: str) -> DataFrame:
 def a18_upsert_counters(spark: SparkSession, d: str) -> DataFrame:
     """Postings by what their arrival does: failed without a required field, saved if the address is new, else updated."""
     j = table(spark, d, "jobs")
-    ok = p10_ok()
+    ok = valid_posting()
     w = Window.partitionBy("application_url").orderBy("id")
     good = j.where(ok).select("application_url", "id").withColumn("n", F.row_number().over(w)).select(F.when(F.col("n") == 1, "saved").otherwise("updated").alias("outcome"))
     bad = j.where(~ok).select(F.lit("failed").alias("outcome"))
@@ -166,7 +166,7 @@ def blank_fields(fields: tuple[str, ...] = NEEDED) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(F.length(text.stripped(F.col(f))), F.lit(0)) == 0, F.lit(f)) for f in fields]), lambda x: x.isNotNull())
 
 
-def p10_ok() -> Column:
+def valid_posting() -> Column:
     """P10: the fields a posting needs aren't blank."""
     return F.size(blank_fields()) == 0
 
@@ -415,7 +415,7 @@ def k10_cascade(spark: SparkSession, d: str) -> DataFrame:
     return a.join(lost, "tailored_resume_id", "left").select("id", "job_id", F.when(F.col("lost").isNull(), F.col("tailored_resume_id")).alias("tailored_resume_id"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[:1] in "acjkopuw" and k[1:3].isdigit() and callable(v) and k != "p10_ok"}
+QUERIES = {k: v for k, v in list(globals().items()) if k[:1] in "acjkopuw" and k[1:3].isdigit() and callable(v)}
 
 _OK = " AND ".join(f"coalesce(length(regexp_replace({f}, '^\\s+|\\s+$', '', 'g')), 0) > 0" for f in ("job_title", "company_name", "job_description", "application_url"))
 _STATUS = ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in ("new", "analyzed", "applied", "archived"))
